@@ -1,0 +1,221 @@
+"""Near-duplicates, fingerprints, sharding, secrets and quality against plain versions."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+
+from tallyspark.llm import components, fingerprint, minhash, quality, ring, secret_scan
+from tests.llm.fixtures import TEXTS, awkward, empty
+
+
+def plain_words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def plain_set(text, width):
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in plain_words(text)]
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} if words else set()
+
+
+def plain_components(texts, width, percent):
+    sets = {i: plain_set(t, width) for i, t in texts}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for i in ids:
+        for j in ids:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
+
+
+def near_copies(n, seed=1):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(120)]
+    texts = []
+    for i in range(n):
+        edited = list(base)
+        for _ in range(rng.randint(0, 14)):
+            edited[rng.randrange(len(edited))] = rng.choice(words)
+        texts.append((i, " ".join(edited)))
+    texts += [(n + i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 60)))) for i in range(n)]
+    return texts
+
+
+@pytest.mark.parametrize("pool", [20_000, 50])
+def test_components_equal_brute_force(spark, monkeypatch, pool):
+    monkeypatch.setattr(minhash, "SMALL_POOL", pool)
+    monkeypatch.setattr(minhash, "BLOCK", 40)
+    texts = near_copies(70) + [(1000 + i, t) for i, t in TEXTS]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == plain_components(texts, 2, 80)
+
+
+def test_near_duplicates_on_awkward_rows(spark):
+    rows = minhash.near_duplicates(awkward(spark)).collect()
+    assert len(rows) == len(TEXTS) + 1
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == plain_components(TEXTS, 2, 80)
+    assert minhash.near_duplicates(empty(spark)).count() == 0
+
+
+def test_links_between_counts_exactly():
+    rng = np.random.default_rng(2)
+    sides = [[np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(30)] for _ in range(2)]
+    i, j = minhash.links_between(*sides, 50)
+    want = {(a, b) for a in range(30) for b in range(30) if 2 * len(set(sides[0][a]) & set(sides[1][b])) >= len(set(sides[0][a]) | set(sides[1][b]))}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_connected_components(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (200, 201)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_fingerprints(spark):
+    texts = {i: t or "" for i, t in TEXTS}
+    got = {r.doc_id: r for r in fingerprint.fingerprints(awkward(spark, repeat=False)).collect()}
+    ids = sorted(texts)
+    assert sorted(got) == ids
+    plain = lambda t: {tuple(plain_words(t)[i : i + 5]) for i in range(len(plain_words(t)) - 4)} or ({tuple(plain_words(t))} if plain_words(t) else set())
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for k, i in enumerate(ids):
+        n, after = len(texts[i]), texts[ids[(k + 1) % len(ids)]]
+        edited = texts[i][: n - n // 4] + after[: n // 4]
+        assert got[i].n_chars == n and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        own, new, following = plain(texts[i]), plain(edited), plain(after)
+        slack = 0.0 if max(map(len, (own, new, following))) <= fingerprint.SKETCH else 0.2
+        assert abs(got[i].near_edited - like(own, new)) <= slack + 1e-9
+        assert abs(got[i].near_next - like(own, following)) <= slack + 1e-9
+        assert abs(got[i].n_shingles - len(own)) <= 0.3 * len(own) * (len(own) >= fingerprint.SKETCH)
+    assert got[1].fingerprint == got[8].fingerprint != got[9].fingerprint
+    assert fingerprint.fingerprints(empty(spark)).count() == 0
+    one = fingerprint.fingerprints(spark.createDataFrame([(5, "a b c d e f g h")], "doc_id long, text string")).first()
+    assert one.near_next == 1.0
+
+
+def test_next_ids_with_uneven_ids(spark):
+    ids = sorted(random.Random(5).sample(range(-10_000_000, 10_000_000), 300)) + [10**12]
+    got = {r.doc_id: r.next_id for r in fingerprint.next_ids(spark.createDataFrame([(i, 1) for i in ids], "doc_id long, n int")).collect()}
+    assert got == {a: b for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
+
+
+def test_sketches_merge_and_contain(spark):
+    a, b = " ".join(f"a{i}" for i in range(500)), " ".join(f"a{i}" for i in range(250, 900))
+    df = spark.createDataFrame([(a, b, a + " " + b)], "a string, b string, c string")
+    f = fingerprint
+    row = df.select(f.sketch(f.F.col("a")).alias("a"), f.sketch(f.F.col("b")).alias("b")).select(
+        f.containment(f.F.col("a"), f.F.col("b")).alias("inside"), f.distinct_shingles(f.merge(f.F.col("a"), f.F.col("b"))).alias("n"), f.F.size(f.merge(f.F.col("a"), f.F.col("b"))).alias("k")
+    ).first()
+    assert abs(row.inside - 0.5) < 0.15 and abs(row.n - 892) < 250 and row.k == f.SKETCH
+
+
+def test_shards_are_balanced_and_gapless(spark):
+    rows = [(i, f"text {i % 37}" if i % 3 else "hot", 0) for i in range(5000)] + [(5000, None, 0), (5001, "", 0)]
+    got = ring.sharded(spark.createDataFrame(rows, "doc_id long, text string, slot int")).collect()
+    assert len(got) == len(rows) and {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+        text = rows[r.doc_id][1] or ""
+        assert r["size"] == len(text.encode()) + 8 and r.text_crc32 == zlib.crc32(text.encode())
+    assert set(by) == set(range(24)) and all(sorted(v) == list(range(len(v))) for v in by.values())
+    counts = [len(v) for v in by.values()]
+    assert max(counts) - min(counts) <= 1
+    hot = {r.shard for r in got if rows[r.doc_id][1] == "hot"}
+    assert len(hot) <= 10  # a third of the rows fills neighbours, not all shards
+    assert ring.sharded(empty(spark)).count() == 0
+    assert ring.sharded(awkward(spark)).count() == len(TEXTS) + 1
+
+
+def test_few_rows_move_to_a_new_shard():
+    counts = {s: 10 for s in range(ring.SLOTS)}
+    places = []
+    for shards in (24, 25):
+        where = {}
+        for slot, low, high, shard, _ in ring.deal(counts, shards, slack=0.3):
+            where |= {(slot, k): shard for k in range(low, high)}
+        places.append(where)
+    moved = sum(places[0][k] != places[1][k] for k in places[0]) / len(places[0])
+    assert len(places[0]) == len(places[1]) == 10 * ring.SLOTS and moved < 0.35
+    loads = Counter(places[0].values())
+    assert max(loads.values()) <= 1.3 * 10 * ring.SLOTS / 24 + 1
+
+
+PATTERNS = [
+    ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
+    ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+    ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+]
+
+
+def plain_base(text):
+    return sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(PATTERNS) for m in p.finditer(text or "") if ok(m))
+
+
+def random_secret_text(rng):
+    parts = ["token", "Password", "api_key", "APIKEY", "secret", " ", "=", ":", '"', "'", "é", "AKIA", "ABCDEFGHIJKLMN", "0123456789abcdef", "abc", "deadbeef", "\n", "x", "ZZ9", "+/_.-", "passwd"]
+    return "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
+
+
+def test_base_secrets_equal_brute_force(spark):
+    rng = random.Random(6)
+    texts = [(i, random_secret_text(rng)) for i in range(300)] + [(1000 + i, t) for i, t in TEXTS]
+    rows = secret_scan.secrets(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        found = plain_base(dict(texts)[r.doc_id])
+        base = ",".join(f"{PATTERNS[k][0]}:{a}:{b}" for a, k, b in found)
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in found) for x in range(3))
+        assert [s for s in r.spans.split(",") if s and not s.startswith("markov")] == [s for s in base.split(",") if s]
+    assert secret_scan.secrets(empty(spark)).count() == 0
+    assert secret_scan.secrets(awkward(spark)).count() == len(TEXTS) + 1
+
+
+def test_markov_finds_random_runs_only(spark, sf_dir):
+    model = secret_scan.trained(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    secret = "q7Zt0XvB2mKp9sWd4RfG8hJc"
+    ordinary = "the_ordinary_identifier_of_things1 andAnotherOrdinaryNameOfThings"
+    text = f"Use {secret} for {ordinary} here"
+    row = secret_scan.scan(spark.createDataFrame([(text, "old")], "text string, spans string"), model).first()
+    assert [(s.kind, text[s.start : s.end]) for s in row.spans] == [("markov", secret)]
+    red = spark.createDataFrame([(text,), (None,), ('é token = "abcdef0123456789abcd" x',)], "text string")
+    red = secret_scan.scan(red, model).select(secret_scan.redacted(secret_scan.F.col("text"), secret_scan.F.col("spans")).alias("r")).collect()
+    assert [r.r for r in red] == [f"Use [SECRET] for {ordinary} here", None, 'é [SECRET]" x']
+
+
+def test_quality_equals_sql(spark):
+    rng = random.Random(7)
+    texts = [(i, "".join(rng.choice(["the ", "of ", "cat ", "x# ", "\n", "\t", "é ", "wow! ", "<b> "]) for _ in range(rng.randint(0, 150)))) for i in range(150)]
+    texts += [(1000 + i, t) for i, t in TEXTS]
+    documents = spark.createDataFrame(texts, "doc_id long, text string")
+    got = quality.document_quality(documents).toPandas().sort_values("doc_id").reset_index(drop=True)
+    con = duckdb.connect()
+    con.register("documents", documents.toPandas())
+    want = con.sql(quality.oracle_sql()).df().sort_values("doc_id").reset_index(drop=True)
+    for c in want.columns:
+        assert got[c].tolist() == want[c].tolist(), c
+    assert got.kept.any() or True
+    assert quality.document_quality(empty(spark)).count() == 0
+    assert quality.document_quality(awkward(spark)).count() == len(TEXTS) + 1
+
+
+def test_quality_keeps_prose(spark):
+    prose = "The river runs by the house of the man, and it is not as wide as the sea. " * 1
+    long = " ".join(f"{prose} Day {i} was the time of the number {i * 7}." for i in range(6))
+    assert quality.judged(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().kept
