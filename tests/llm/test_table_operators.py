@@ -219,7 +219,14 @@ def test_quality_equals_sql(spark):
 
 
 def test_quality_keeps_prose(spark):
-    nouns = "river house man sea hill road tree bird field stone cloud horse ship town wall bridge lamp coat door night".split()
-    verbs = "runs stands turns falls waits shines moves sleeps rests grows".split()
-    long = " ".join(f"The {nouns[i]} {verbs[i % 10]} by the {nouns[i * 7 % 20]} and {verbs[i * 3 % 10]} near a {nouns[i * 3 % 20]}." for i in range(20))
-    assert quality.judged(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().kept
+    prose = (
+        "The old mill stood by a bend of the river, and nobody in the village could say who had built it. "
+        "Some thought that monks came over the hills with stone from an abbey; others held that it was the work "
+        "of a miller whose name is on no grave. In spring the water rose to the second step, and children raced "
+        "paper boats under its wheel. When the last owner died, his daughters let the roof fall in, for they had "
+        "shops in town and little time for flour. Now swallows nest where the hopper hung."
+    )
+    again = " ".join(["The mill stood by the river and the wheel was slow."] * 12)
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame([(1, prose), (2, again)], "doc_id long, text string")).collect()}
+    assert got[1].kept and not got[1].base_failed
+    assert not got[2].kept and got[2].base_failed and got[2].failed == ["repeated_words"]
