@@ -231,7 +231,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     queries = attached.join(large, "major").select("major", "node", "root", "inside", "outside")
     inner = roots.join(large, F.col("root") == F.col("major")).select("major", "node", "root", "inside", "outside")
-    edges = saved(edges.unionByName(_in_blocks(queries, inner.unionByName(queries), sets, percent)))
+    # a major without any link is in no row of roots
+    alone = large.filter("inside is null").select("major", F.col("major").alias("node"), F.col("major").alias("root"), "inside", "outside")
+    edges = saved(edges.unionByName(_in_blocks(queries, inner.unionByName(alone).unionByName(queries), sets, percent)))
     roots = saved(components(edges))
 
     by_class = classes.join(roots, F.col("first") == F.col("node"), "left").select("set_key", F.coalesce("root", "first").alias("root"))

@@ -64,6 +64,41 @@ def test_components_equal_brute_force(spark, monkeypatch, pool):
     assert got == plain_components(texts, 2, 80)
 
 
+def template_family(n, seed):
+    """A long template with own ends, all below the threshold; only the two smallest ids are near copies."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    template = [word() for _ in range(265)]
+    ends = [[word() for _ in range(36)] for _ in range(n)]
+    ends[1][:6] = ends[0][:6]
+    return [(i, " ".join(template + e)) for i, e in enumerate(ends)]
+
+
+def keys_without_their_hub(texts, pair):
+    """Whether no key that the pair shares has one of the two as its hub."""
+    keys = {}
+    for i, t in texts:
+        bands = minhash.band_hashes(minhash.shingle_set(t, 2)).tolist()
+        for key in {(a, b) for a in bands[: minhash.BANDS] for b in bands[minhash.BANDS :]}:
+            keys.setdefault(key, []).append(i)
+    degree = Counter()
+    for m in keys.values():
+        degree.update({i: len(m) for i in m} if len(m) > 1 else {})
+    shared = [m for m in keys.values() if set(pair) <= set(m)]
+    return bool(shared) and all(max(m, key=lambda i: (degree[i], -i)) not in pair for m in shared)
+
+
+@pytest.mark.parametrize("pool", [20_000, 50])
+def test_an_unlinked_major_is_compared(spark, monkeypatch, pool):
+    monkeypatch.setattr(minhash, "SMALL_POOL", pool)
+    monkeypatch.setattr(minhash, "BLOCK", 40)
+    texts = next(t for seed in range(200) if keys_without_their_hub(t := template_family(60, seed), (0, 1)))
+    want = plain_components(texts, 2, 80)
+    assert want[1][1] == 0 and sum(kept for _, _, kept in want.values()) == 59
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_near_duplicates_on_awkward_rows(spark):
     rows = minhash.near_duplicates(awkward(spark)).collect()
     assert len(rows) == len(TEXTS) + 1
