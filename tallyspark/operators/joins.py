@@ -95,16 +95,19 @@ def pattern_counts(texts: DataFrame, patterns: dict[str, str]) -> DataFrame:
 def leaked_needles(texts: DataFrame, needles: DataFrame, width: int = 32) -> DataFrame:
     """(text_id, needle_id): texts that contain a needle, however many of both.
 
-    Needles shorter than ``width`` characters join by broadcast if few; the others
-    by the hash of their first ``width`` characters against every window of that
-    width in the texts, confirmed by ``contains``.
+    The first ``width`` characters of a needle, or all of a shorter one, join by
+    hash with every window of that length in the texts, confirmed by ``contains``.
+    An empty needle counts as in no text.
     """
-    heads = needles.filter(F.length("needle") >= width).select("needle_id", "needle", F.xxhash64(F.substring("needle", 1, width)).alias("h"))
-    places = F.sequence(F.lit(1), F.length("text") - (width - 1))
-    windows = texts.filter(F.length("text") >= width).select("text_id", F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring("text", i, F.lit(width)))))).alias("h"))
-    pairs = windows.join(heads, "h").select("text_id", "needle_id", "needle").distinct()
-    long = pairs.join(texts.select("text_id", "text"), "text_id").filter(F.contains("text", "needle")).select("text_id", "needle_id")
-    return long
+    sized = needles.filter(F.length("needle") > 0).withColumn("w", F.least(F.length("needle"), F.lit(width)))
+    heads = sized.select("needle_id", "needle", "w", F.xxhash64(F.substring("needle", F.lit(1), F.col("w"))).alias("h"))
+    # at most ``width`` rows, hence broadcast
+    widths = heads.select("w").distinct()
+    places = F.sequence(F.lit(1), F.length("text") - F.col("w") + 1)
+    hashes = F.transform(places, lambda i: F.xxhash64(F.substring("text", i, F.col("w"))))
+    windows = texts.join(F.broadcast(widths), F.length("text") >= F.col("w")).select("text_id", "w", F.explode(F.array_distinct(hashes)).alias("h"))
+    pairs = windows.join(heads, ["w", "h"]).select("text_id", "needle_id", "needle").distinct()
+    return pairs.join(texts.select("text_id", "text"), "text_id").filter(F.contains("text", "needle")).select("text_id", "needle_id")
 
 
 def uncovered_files(expected: DataFrame, touched: DataFrame) -> DataFrame:
