@@ -2,8 +2,9 @@
 
 Fixed patterns find the known kinds. For the rest, two character bigram models,
 of random strings and of ordinary identifiers, are trained from labelled samples
-with Spark aggregations; a long run of key characters is a secret where its mean
-log-likelihood ratio favours the random model. Only DataFrame functions run.
+with Spark aggregations; a long run of key characters is a secret where some
+stretch of it has log-likelihood ratios that together favour the random model, so
+a name or path in the same run does not hide it. Only DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN_LEAST = 12
 
-#: Runs that the models judge: key characters with a digit or both cases, 20 or more.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Runs that the models judge: key characters with a digit or both cases, 16 or more.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 
 #: Bounds of the training samples: random strings made, documents whose words are taken.
 RANDOM_STRINGS, IDENTIFIER_DOCS = 4_000, 4_000
 
-#: Mean log-likelihood ratio a character above which a run counts as random.
-THRESHOLD = 1.0
+#: Sum of log-likelihood ratios of a stretch above which its run counts as random:
+#: a run of 20 characters or more with a mean above 1 always has it.
+THRESHOLD = 19.0
 
 _CODES = 128
 
@@ -86,14 +88,19 @@ def train(samples: DataFrame) -> Markov:
     return Markov(tuple(x - y for x, y in zip(logs[True], logs[False], strict=True)))
 
 
-def mean_ratio(value: Column, model: Markov) -> Column:
-    """Mean log-likelihood ratio of a string's bigrams; 0.0 below two characters."""
+def best_stretch(value: Column, model: Markov) -> Column:
+    """Largest sum of log-likelihood ratios of a string's bigrams over any stretch; 0.0 below two characters."""
 
     def of(pair: Column) -> Column:
         v, table = pair["v"], pair["t"]
         code = lambda i: F.ascii(F.substring(v, i, F.lit(1)))
-        total = F.aggregate(F.sequence(F.lit(1), F.length(v) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table, code(i) * _CODES + code(i + 1)))
-        return F.when(F.length(v) < 2, F.lit(0.0)).otherwise(total / (F.length(v) - 1))
+        zero = F.struct(F.lit(0.0).alias("now"), F.lit(0.0).alias("best"))
+
+        def step(acc: Column, i: Column) -> Column:
+            return let(acc["now"] + F.get(table, code(i) * _CODES + code(i + 1)), lambda x: F.struct(F.greatest(x, F.lit(0.0)).alias("now"), F.greatest(x, acc["best"]).alias("best")))
+
+        total = F.aggregate(F.sequence(F.lit(1), F.length(v) - 1), zero, step, lambda acc: acc["best"])
+        return F.when(F.length(v) < 2, F.lit(0.0)).otherwise(total)
 
     return let(F.struct(value.alias("v"), model.column().alias("t")), of)
 
@@ -143,7 +150,7 @@ def scan(df: DataFrame, model: Markov, text_col: str = "text", spans_col: str =
     def added(pair: Column) -> Column:
         clear = lambda m: ~F.exists(pair["k"], lambda k: (k["start"] < m["end"]) & (m["start"] < k["end"]))
         varied = lambda v: v.rlike("[0-9]") | v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[^A-Z_-][A-Z]")
-        return F.filter(pair["m"], lambda m: clear(m) & varied(m["value"]) & (mean_ratio(m["value"], model) > THRESHOLD))
+        return F.filter(pair["m"], lambda m: clear(m) & varied(m["value"]) & (best_stretch(m["value"], model) > THRESHOLD))
 
     more = let(F.struct(matches(t, CANDIDATE).alias("m"), F.col("_known").alias("k")), added)
     every = F.array_sort(F.concat("_known", tagged(more, 3)))

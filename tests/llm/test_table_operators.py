@@ -238,6 +238,16 @@ def test_markov_finds_random_runs_only(spark, sf_dir):
     assert [r.r for r in red] == [f"Use [SECRET] for {ordinary} here", None, 'é [SECRET]" x']
 
 
+def test_markov_finds_secrets_in_longer_and_shorter_runs(spark, sf_dir):
+    model = secret_scan.trained(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    key = "q7Zt0XvB2mKp9sWd4RfG8hJc"
+    runs = [f"service_account_credential={key}", f"credentials_for_service_account={key}", f"home/users/deployment/credentials/{key}", f"{key}/and_some_ordinary_identifier", key[:16], key[3:20]]
+    plain = ["service_account_credential=ordinary_value1", "home/users/deployment/Credentials/version2", "anOrdinaryNameOfThings2", "chapter12_section3"]
+    rows = spark.createDataFrame([(k, f"Use {r} here") for k, r in enumerate(runs + plain)], "k int, text string")
+    got = {r.k: [(s.kind, s.start, s.end) for s in r.spans] for r in secret_scan.scan(rows, model).collect()}
+    assert got == {k: [("markov", 4, 4 + len(r))] if k < len(runs) else [] for k, r in enumerate(runs + plain)}
+
+
 def test_quality_equals_sql(spark):
     rng = random.Random(7)
     texts = [(i, "".join(rng.choice(["the ", "of ", "cat ", "x# ", "\n", "\t", "é ", "wow! ", "<b> "]) for _ in range(rng.randint(0, 150)))) for i in range(150)]
