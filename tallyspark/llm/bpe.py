@@ -49,6 +49,12 @@ def plain_pattern() -> re.Pattern:
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\x09-\x0d \x85\xa0{letters}{digits}]+")
 
 
+def other_pattern() -> re.Pattern:
+    """A sign beyond PLAIN_LIMIT, or one whose lower case holds such a sign."""
+    rising = "".join(chr(c) for c in range(PLAIN_LIMIT + 1) if max(chr(c).lower()) > chr(PLAIN_LIMIT))
+    return re.compile(f"[{rising}{chr(PLAIN_LIMIT + 1)}-{chr(0x10FFFF)}]")
+
+
 class WordBpe:
     """Encoder and decoder for a byte-level BPE vocabulary with word ends."""
 
@@ -62,7 +68,7 @@ class WordBpe:
         self.strings = {i: s for s, i in (self.ids | self.special).items()}
         self.letters = byte_letters()
         self.plain = plain_pattern()
-        self.other = re.compile(f"[^\x00-{chr(PLAIN_LIMIT)}]")
+        self.other = other_pattern()
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.words = Memo(self.merged if own_merges else self.library_word)
         self._library = None

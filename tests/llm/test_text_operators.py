@@ -43,6 +43,14 @@ def test_bpe_on_random_unicode(library):
         assert mine.decoded(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_on_capitals_that_fall_beyond_the_plain_range(library):
+    mine = bpe.load(bpe.vocabulary_path())
+    rising = [chr(c) for c in range(bpe.PLAIN_LIMIT + 1) if max(chr(c).lower()) > chr(bpe.PLAIN_LIMIT)]
+    assert "\u018f" in rising
+    for text in ["\u018fli", *[f"plain {c}li ba{c} a{c}b {c}" for c in rising]]:
+        assert np.frombuffer(mine.packed(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
 <header><a href="/">Home</a> <p>Site of many things and the people who are in it with the rest of them all</p></header>
 <nav><ul><li><a href="/a">The</a></li><li><a href="/b">and</a></li></ul></nav><div class="cookie-notice">We use cookies for the good of the site and of you, and this is the text of it.</div>
