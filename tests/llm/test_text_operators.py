@@ -76,6 +76,132 @@ def test_headings_and_links_outside_articles():
     assert html_extract.main_text(page) == "Old days\n" + " ".join(body.split())
 
 
+PROSE = "The river runs by the house of the man and it is not as wide as the sea, but they say that it was so in the old days. " * 2
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<div class="layout has-sidebar">', '<div class="overflow-hidden">', '<div style="overflow:hidden">', '<div class="post-with-comments">',
+    '<div id="top">', '<form method="post" action="./page.aspx" id="aspnetForm">', '<div class="notice">', '<section class="search"><div hidden>',
+])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_text_survives_its_wrappers(wrapper, tag):
+    page = f"<body>{wrapper}<{tag}><h1>Days</h1><p>{PROSE}</p><p><a href=x>See the report</a></p><p>{PROSE}</p></{tag}>"
+    want = ["Days", " ".join(PROSE.split()), "See the report", " ".join(PROSE.split())]
+    assert html_extract.main_text(page).split("\n") == [w for w in want if tag != "div" or w != "See the report"]
+
+
+def test_parts_that_are_no_article_go():
+    card = f'<article class="comment"><p>{PROSE}</p></article>'
+    page = (
+        f"<article><h1>Days</h1><p>{PROSE}</p><svg><p>Short.</p><h2>Related</h2><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul>"
+        f'<div class="ad-slot">{PROSE}</div></article><div class="comments">{card}<article><p>{PROSE}</p></article></div>'
+        f"<aside><article><p>{PROSE}</p></article></aside><div>We use cookies. {PROSE}</div>"
+    )
+    assert html_extract.main_text(page).split("\n") == ["Days", " ".join(PROSE.split()), "Short."]
+    assert html_extract.main_text("<p>Hello there</p>") == "Hello there"
+    assert html_extract.main_text("<form>" * 5000 + f"<p>{PROSE}</p>") == " ".join(PROSE.split())
+
+
+def plain_labels(rows, rules):
+    """Both passes over (text, link part, article, mark, heading), by looking at all blocks for each."""
+    n = len(rows)
+    known, unlinked = [""] * n, [len(t) - k for t, k, *_ in rows]
+    marks = [mark for _, _, _, mark, _ in rows]
+    for m in {m for m in marks if m and m[0] == "weak"}:
+        if sum(u for u, x in zip(unlinked, marks, strict=True) if x == m) >= rules.wrapper * sum(unlinked) > 0:
+            marks = [None if x == m else x for x in marks]
+    linked = [k > rules.links * len(t) for t, k, *_ in rows]
+    for i, (t, k, article, _, _) in enumerate(rows):
+        words = ["".join(c for c in w if c.isalpha()) for w in t.lower().split()]
+        words = [w for w in words if w]
+        stop = sum(w in html_extract.STOP_WORDS for w in words) / max(1, len(words))
+        if linked[i]:
+            beside = any(linked[j] and rows[j][2] == article for j in (i - 1, i + 1) if 0 <= j < n)
+            known[i] = "short" if article and not marks[i] and not beside else "bad"
+        elif marks[i] or not article and (len(t) >= rules.short and stop < rules.stop_low or "©" in t and len(t) < rules.long or k and len(t) < rules.short):
+            known[i] = "bad"
+        elif len(t) >= rules.short and stop >= rules.stop_high and (article or len(t) >= rules.long):
+            known[i] = "good"
+        else:
+            known[i] = "near" if len(t) >= rules.short and stop >= rules.stop_low else "short"
+    prose = lambda inside: sum(len(r[0]) for r, x in zip(rows, known, strict=True) if x == "good" and (r[2] or not inside))
+    if prose(True) and prose(True) >= rules.article * prose(False):
+        known = [x if r[2] else "bad" for r, x in zip(rows, known, strict=True)]
+    out = list(known)
+    for i, (_, _, article, _, heading) in enumerate(rows):
+        if known[i] in ("good", "bad"):
+            continue
+
+        def seek(path, i=i, article=article):
+            for j in path:
+                if article and rows[j][2] != article:
+                    return ""
+                if known[j] in ("good", "bad"):
+                    return known[j]
+            return ""
+
+        before, after = seek(range(i - 1, -1, -1)), seek(range(i + 1, n))
+        if article and heading > 1:
+            under = []
+            for j in range(i + 1, n):
+                if rows[j][2] != article or rows[j][4] and not marks[j]:
+                    break
+                under.append(known[j])
+            bad = bool(under) and set(under) == {"bad"}
+        elif article:
+            bad = any(x == "good" and r[2] == article for r, x in zip(rows, known, strict=True)) and before == after == "bad"
+        elif "good" not in known:
+            bad = False
+        elif heading and after:
+            bad = after == "bad"
+        elif known[i] == "near":
+            bad = "good" not in (before, after)
+        else:
+            bad = {before, after} - {""} != {"good"}
+        out[i] = "bad" if bad else "good"
+    return out
+
+
+def random_page(rng):
+    """A page and its blocks: (text, link characters, article, mark, heading)."""
+    words = ["the", "of", "and", "it", "river", "stone", "haus", "maple", "copper", "lantern", "©"]
+    rows, parts, number = [], [], 0
+    for k in range(rng.randint(1, 6)):
+        kind = rng.choice(["article", "article", "", "", "nav", "notice", "comments"])
+        number += kind == "article"
+        opening = {"article": "<article>", "": "<div>", "nav": "<nav>", "notice": '<div class="notice">', "comments": '<div class="comments">'}[kind]
+        parts.append(opening)
+        for _ in range(rng.randint(1, 6)):
+            choice, heading = words[: rng.choice([4, 8, 10, 11])], rng.choice([0, 0, 0, 0, 1, 2])
+            text = " ".join(rng.choice(choice) for _ in range(rng.choice([2, 4, 14, 25, 60])))
+            part = rng.choice([0, 0, 0, 0, 1, 2])
+            link = " ".join(text.split()[: len(text.split()) * part // 2]) if part else ""
+            tag = f"h{heading}" if heading else "p"
+            parts.append(f"<{tag}>" + (f"<a href=x>{link}</a>{text[len(link):]}" if link else text) + f"</{tag}>")
+            mark = {"nav": ("strong", k), "comments": ("strong", k), "notice": ("weak", k)}.get(kind)
+            rows.append((text, len(link), number if kind == "article" else 0, mark, heading))
+        parts.append({"article": "</article>", "nav": "</nav>"}.get(kind, "</div>"))
+    return "".join(parts), rows
+
+
+def test_both_passes_equal_a_plain_version():
+    rng, seen = random.Random(8), set()
+    for _ in range(1500):
+        page, rows = random_page(rng)
+        got = html_extract.labelled(page)
+        assert [(b.text, b.link_chars, b.article > 0, b.heading) for b in got] == [(t, k, a > 0, h) for t, k, a, _, h in rows]
+        assert [b.label for b in got] == plain_labels(rows, html_extract.Rules())
+        seen |= {(b.label, b.rule) for b in got}
+    assert seen == {(x, "neighbours") for x in ("good", "bad")} | {("good", "stop words"), ("bad", "stop words"), ("bad", "links"), ("bad", "mark"), ("bad", "length"), ("bad", "outside"), ("good", "alone")}
+
+
+def test_most_blocks_are_decided_by_density_and_neighbours(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rules = {r.rule: r["count"] for r in html_extract.labelled_blocks(pages, keep=["page_id"]).groupBy("rule").count().collect()}
+    assert rules["mark"] < 0.25 * sum(rules.values())
+    assert min(rules["links"], rules["stop words"], rules["neighbours"]) > 0.1 * sum(rules.values())
+
+
 def test_languages_learn_and_hold_out(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = langid.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
