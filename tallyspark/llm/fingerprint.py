@@ -7,7 +7,9 @@ containment and the number of distinct shingles. Only DataFrame functions run.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tallyspark.llm.lambdas import let, shingle_hashes, words
@@ -15,6 +17,9 @@ from tallyspark.llm.lambdas import let, shingle_hashes, words
 #: Hashes in a sketch and words in a shingle.
 SKETCH, WIDTH = 128, 5
 
+#: Bound of the ranges that rows are put in order in, and keys sampled for each.
+PARTS, SAMPLE = 16_384, 16
+
 
 def sketch(text: Column, k: int = SKETCH, width: int = WIDTH) -> Column:
     """Sorted array of the k smallest distinct shingle hashes; null and wordless texts give []."""
@@ -52,35 +57,72 @@ def as_string(a: Column) -> Column:
     return F.base64(F.unhex(F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")))
 
 
-def next_ids(ids: DataFrame) -> DataFrame:
-    """(doc_id, next_id, n): the next id in ascending order, after the last the first.
+def ranges(keys: DataFrame, most: int = PARTS) -> list[int]:
+    """Bounds that cut the distinct ``key`` arrays into about equal ranges, one after the other.
 
-    ``ids`` is (doc_id, n). Ids are dealt to about as many ranges as each holds
-    rows; a range's last id finds the first of the next range, so no task gets
-    more than about the square root of the rows (for ids of one density).
+    About the square root of the rows, ``most`` at most; they come from a sample of
+    about SAMPLE keys a range, which is all that reaches the driver.
+    """
+    rows = keys.count()
+    parts = max(1, min(most, math.isqrt(rows)))
+    share = min(1.0, SAMPLE * parts / max(1, rows))
+    picked = keys.filter(F.shiftrightunsigned(F.xxhash64("key", F.lit("sample")), 24) < int(share * 2**40)).select("key").distinct()
+    found = sorted(r["key"] for r in picked.collect())
+    cuts = sorted({len(found) * i // parts for i in range(1, parts)} - {0})
+    return [x for i in cuts for x in found[i]]
+
+
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """The number of bounds up to a key, by binary search."""
+    n = len(bounds) // 3
+    if not n:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+
+    def step(acc: Column, _: Column) -> Column:
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
+        below = (acc["lo"] < acc["hi"]) & (F.slice(table, mid * 3 + 1, F.lit(3)) <= key)
+        return F.struct(F.when(below, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(below, acc["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), start, step, lambda acc: acc["lo"])
+
+
+def with_next(docs: DataFrame) -> tuple[DataFrame, WindowSpec]:
+    """Rows (doc_id, text, key, part, guard) and the window in which each one's next document follows.
+
+    Rows stand in the order of their ids, nulls first, and of one id in that of a
+    hash of the text. They are dealt to ranges of about equal size; behind the last
+    row of a range stands, as a guard row, a copy of the first of the next range (of
+    the last range: of the first), so each text crosses one shuffle.
     """
-    low, high, count = ids.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, int((high - low + 1) / max(1.0, count**0.5))) if count else 1
-    rows = ids.withColumn("part", F.floor((F.col("doc_id") - F.lit(low)) / width))
-    inside = rows.withColumn("next_id", F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id")))
-    firsts = rows.groupBy("part").agg(F.min("doc_id").alias("first"))
-    after = firsts.select("part", F.coalesce(F.lead("first").over(Window.orderBy("part")), F.lit(low)).alias("after"))
-    return inside.join(after, "part").select("doc_id", F.coalesce("next_id", "after").alias("next_id"), "n")
+    text = F.coalesce("text", F.lit(""))
+    key = F.array(F.col("doc_id").isNotNull().cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64(text))
+    texts = docs.select("doc_id", text.alias("text"), key.alias("key"))
+    rows = texts.withColumn("part", range_of(F.col("key"), ranges(texts.select("key"))))
+    by_part = Window.orderBy("part")
+    firsts = rows.groupBy("part").agg(F.min("key").alias("first"))
+    everywhere = by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    following = firsts.select("part", F.coalesce(F.lead("first").over(by_part), F.first("first").over(everywhere)).alias("key"))
+    # PARTS rows at most, of three numbers each
+    guards = texts.join(F.broadcast(following), "key").dropDuplicates(["part"]).select("doc_id", "text", "key", "part", F.lit(1).alias("guard"))
+    return rows.withColumn("guard", F.lit(0)).unionByName(guards), Window.partitionBy("part").orderBy("guard", "key")
 
 
 def fingerprints(docs: DataFrame, k: int = SKETCH, width: int = WIDTH) -> DataFrame:
-    """The contract: fingerprints of each text and of its edited text.
+    """The contract: fingerprints of each text and of its edited text, one row for each row.
 
-    Null texts count as empty. Equal ids count as one document each; an empty
-    table gives an empty one; only doc_id and text are read.
+    Null texts count as empty. Null ids stand before all others; rows of one id
+    follow each other in the order of a hash of the text, so of rows that repeat all
+    but the last have their own text next. An empty table gives an empty one; only
+    doc_id and text are read.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    links = next_ids(texts.select("doc_id", F.length("text").alias("n")))
-    rows = texts.select("doc_id", "text", sketch(F.col("text"), k, width).alias("own"))
-    heads = rows.join(links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before"), "n"), "doc_id")
-    heads = heads.select(F.col("before").alias("doc_id"), F.col("own").alias("next"), F.expr("substring(text, 1, n div 4)").alias("head"))
-    both = rows.join(heads, "doc_id").withColumn("n", F.length("text"))
-    both = both.withColumn("edited", F.expr("concat(substring(text, 1, n - n div 4), head)"))
+    rows, w = with_next(docs)
+    # the window is the same twice: the sketches are made behind the only shuffle
+    rows = rows.withColumn("n", F.length("text")).withColumn("after", F.lead("text").over(w))
+    rows = rows.withColumn("own", sketch(F.col("text"), k, width)).withColumn("next", F.lead("own").over(w)).filter("guard = 0")
+    edited = F.expr("concat(substring(text, 1, n - n div 4), substring(after, 1, n div 4))")
+    both = rows.select("doc_id", "n", "own", "next", edited.alias("edited"))
     both = both.select("doc_id", "n", F.sha2("edited", 256).alias("edited_sha256"), "own", "next", sketch(F.col("edited"), k, width).alias("after"))
     return both.select(
         "doc_id",

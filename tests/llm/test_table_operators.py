@@ -147,10 +147,35 @@ def test_fingerprints(spark):
     assert one.near_next == 1.0
 
 
-def test_next_ids_with_uneven_ids(spark):
-    ids = sorted(random.Random(5).sample(range(-10_000_000, 10_000_000), 300)) + [10**12]
-    got = {r.doc_id: r.next_id for r in fingerprint.next_ids(spark.createDataFrame([(i, 1) for i in ids], "doc_id long, n int")).collect()}
-    assert got == {a: b for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
+def plain_fingerprints(rows):
+    """(doc_id, n_chars, edited_sha256) of rows in the order of ids, nulls first."""
+    hashed = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))
+    out = []
+    for k, (i, t, _) in enumerate(hashed):
+        n, after = len(t), hashed[(k + 1) % len(hashed)][1]
+        out.append((i, n, hashlib.sha256((t[: n - n // 4] + after[: n // 4]).encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16_384])
+def test_fingerprints_with_repeats_null_ids_and_outliers(spark, monkeypatch, parts):
+    monkeypatch.setattr(fingerprint.ranges, "__defaults__", (parts,))
+    rng = random.Random(5)
+    ids = [*rng.sample(range(-10_000_000, 10_000_000), 200), 10**15, -(10**15), 7, 7, 7, None, None, None, *[40] * 120]
+    rows = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(0, 30)))) for i in ids] + [(7, None), (None, None), (7, ""), (8, "a b c d")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = [(r.doc_id, r.t, r.h) for r in df.selectExpr("doc_id", "coalesce(text, '') as t", "xxhash64(coalesce(text, '')) as h").collect()]
+    got = fingerprint.fingerprints(df).collect()
+    assert sorted([(r.doc_id, r.n_chars, r.edited_sha256) for r in got], key=repr) == plain_fingerprints(hashed)
+    assert fingerprint.fingerprints(awkward(spark)).count() == len(TEXTS) + 1
+
+
+def test_ranges_are_about_equal(spark):
+    ids = [*range(20_000), 10**15]
+    keys = spark.createDataFrame([([1, i, i * 7],) for i in ids], "key array<bigint>")
+    bounds = fingerprint.ranges(keys)
+    sizes = [r["count"] for r in keys.groupBy(fingerprint.range_of(keys.key, bounds).alias("part")).count().collect()]
+    assert sum(sizes) == len(ids) and len(sizes) > 100 and max(sizes) < 6 * len(ids) / len(sizes)
 
 
 def test_sketches_merge_and_contain(spark):
