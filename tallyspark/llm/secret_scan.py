@@ -10,12 +10,13 @@ a name or path in the same run does not hide it. Only DataFrame functions run.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.lambdas import let, words
+from tallyspark.llm.lambdas import let, running, words
 
 #: The known kinds in their order, and the least length of a match
 #: (of the value for ``assign``).
@@ -31,11 +32,24 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 #: Bounds of the training samples: random strings made, documents whose words are taken.
 RANDOM_STRINGS, IDENTIFIER_DOCS = 4_000, 4_000
 
-#: Sum of log-likelihood ratios of a stretch above which its run counts as random:
-#: a run of 20 characters or more with a mean above 1 always has it.
-THRESHOLD = 19.0
+#: A stretch is random where its log-likelihood ratios, each less PENALTY, sum to more
+#: than THRESHOLD. So ordinary names, whose ratios lie about 0, gather nothing however
+#: long they are. Chosen on planted strings and on names of words that train no model.
+PENALTY, THRESHOLD = 0.7, 18.0
+
+#: Words that are frequent in identifiers, of the ordinary model's samples,
+#: and the samples made of them.
+CODE_WORDS = """add all api app arg array async auth base batch bin block bool buffer build byte cache call case char check class clean client close code column
+command config connect const content context copy core count create current data date debug default delete device directory disk document domain download element
+email enable encode entry env error event exec export field file filter find flag float folder format frame function get group handle hash head header host image
+import index info init input insert int item job json key label last length level library line link list load local lock log main manager map match max memory
+menu message meta method min mode model module name network next node null number object offset open option order output owner package page param parse path
+pattern play point port post process profile project property public query queue random range read record region register remove render report request reset
+resource result return root route row run save schema scope search select server service session set size source""".split()
+CODE_SAMPLES = 20_000
 
 _CODES = 128
+_FEW_SPANS = 64
 
 
 @dataclass(frozen=True)
@@ -50,21 +64,48 @@ class Markov:
 
 
 def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
-    """Labelled samples of random strings: digests in base64 and in hex."""
+    """Labelled samples of random strings: digests in base64 of both kinds, base32 and hex."""
     digest = F.sha2(F.col("id").cast("string"), 256)
-    text = F.when(F.col("id") % 4 == 0, F.substring(digest, 1, 40)).otherwise(F.regexp_replace(F.base64(F.unhex(digest)), "=+$", ""))
+    plain = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
+    upper = F.upper(F.translate(plain, "0189+/", "ABCDEF"))
+    kind = F.col("id") % 4
+    text = F.when(kind == 0, F.upper(F.substring(digest, 1, 40))).when(kind == 1, F.substring(upper, 1, 40)).when(kind == 2, F.lower(F.translate(plain, "+/", "-_"))).otherwise(plain)
     return spark.range(n).select(F.lit(True).alias("random"), text.alias("value"))
 
 
+def joined(words: Column) -> Column:
+    """Neighbouring words joined in the ways of identifiers, paths and settings."""
+
+    def at(w: Column, x: Column, i: Column) -> Column:
+        second, third = F.coalesce(F.get(w, i + 1), F.lit("")), F.coalesce(F.get(w, i + 2), F.lit(""))
+        number = (i % 100).cast("string")
+        forms = [
+            F.concat(x, F.lit("_"), second), F.concat(x, F.initcap(second), F.initcap(third)), F.upper(F.concat(x, F.lit("_"), second)), F.concat(x, F.lit("/"), second, F.lit("/"), third),
+            F.concat(x, F.lit("-"), second, number), F.concat(F.initcap(x), F.initcap(second)), F.concat(x, F.lit("="), second), F.concat(x, number),
+        ]
+        chosen = forms[-1]
+        for k, form in enumerate(forms[:-1]):
+            chosen = F.when(i % len(forms) == k, form).otherwise(chosen)
+        return chosen
+
+    return let(words, lambda w: F.transform(w, lambda x, i: at(w, x, i)))
+
+
 def identifiers(docs: DataFrame, text_col: str = "text", most_docs: int = IDENTIFIER_DOCS) -> DataFrame:
-    """Labelled samples of ordinary identifiers: words of about ``most_docs`` documents, and
-    neighbouring words joined as code joins them."""
-    count = docs.count()
+    """Labelled samples of ordinary identifiers: words of about ``most_docs`` documents and words
+    of programs, neighbours joined as identifiers join them, and numbers and times."""
+    spark, count = docs.sparkSession, docs.count()
     share = int(min(1.0, most_docs / max(1, count)) * 1_000_000)
     rows = docs.filter(F.pmod(F.xxhash64(F.col(text_col), F.lit("identifiers")), F.lit(1_000_000)) < share)
     plain = F.filter(words(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[^A-Za-z]+", " ")), lambda w: F.length(w) >= 2)
-    joined = let(plain, lambda w: F.transform(w, lambda x, i: F.when(i % 4 == 0, F.concat_ws("_", x, F.get(w, i + 1))).when(i % 4 == 1, F.concat(x, F.initcap(F.get(w, i + 1)), F.coalesce(F.initcap(F.get(w, i + 2)), F.lit("")))).otherwise(x)))
-    return rows.select(F.lit(False).alias("random"), F.explode(joined).alias("value")).filter("value is not null")
+    table = F.split(F.lit(" ".join(CODE_WORDS)), " ")
+    code = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda j: F.get(table, F.pmod(F.xxhash64("id", j), F.lit(len(CODE_WORDS))).cast("int")))
+    digits = lambda salt, n: F.lpad(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(10**n)).cast("string"), n, "0")
+    time = F.date_format(F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(4_000_000_000))), "yyyy-MM-dd'T'HH-mm")
+    made = spark.range(CODE_SAMPLES)
+    values = rows.select(F.explode(joined(plain)).alias("value")).unionByName(made.select(F.explode(joined(code)).alias("value")))
+    values = values.unionByName(made.select(F.explode(F.array(digits("a", 16), digits("b", 5), time)).alias("value")))
+    return values.select(F.lit(False).alias("random"), "value").filter("value is not null")
 
 
 def train(samples: DataFrame) -> Markov:
@@ -88,43 +129,51 @@ def train(samples: DataFrame) -> Markov:
     return Markov(tuple(x - y for x, y in zip(logs[True], logs[False], strict=True)))
 
 
+def characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
 def best_stretch(value: Column, model: Markov) -> Column:
-    """Largest sum of log-likelihood ratios of a string's bigrams over any stretch; 0.0 below two characters."""
+    """Largest sum over any stretch of a string's log-likelihood ratios less PENALTY; 0.0 below two characters."""
 
     def of(pair: Column) -> Column:
-        v, table = pair["v"], pair["t"]
-        code = lambda i: F.ascii(F.substring(v, i, F.lit(1)))
+        codes, table = pair["c"], pair["t"]
         zero = F.struct(F.lit(0.0).alias("now"), F.lit(0.0).alias("best"))
 
         def step(acc: Column, i: Column) -> Column:
-            return let(acc["now"] + F.get(table, code(i) * _CODES + code(i + 1)), lambda x: F.struct(F.greatest(x, F.lit(0.0)).alias("now"), F.greatest(x, acc["best"]).alias("best")))
+            return let(acc["now"] + F.get(table, F.get(codes, i) * _CODES + F.get(codes, i + 1)) - PENALTY, lambda x: F.struct(F.greatest(x, F.lit(0.0)).alias("now"), F.greatest(x, acc["best"]).alias("best")))
 
-        total = F.aggregate(F.sequence(F.lit(1), F.length(v) - 1), zero, step, lambda acc: acc["best"])
-        return F.when(F.length(v) < 2, F.lit(0.0)).otherwise(total)
+        total = F.aggregate(F.sequence(F.lit(0), F.size(codes) - 2), zero, step, lambda acc: acc["best"])
+        return F.when(F.size(codes) < 2, F.lit(0.0)).otherwise(total)
 
-    return let(F.struct(value.alias("v"), model.column().alias("t")), of)
+    codes = F.transform(characters(value), lambda c: F.ascii(c))
+    return let(F.struct(codes.alias("c"), model.column().alias("t")), of)
 
 
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches of a pattern: array of (start, end, value) in code points."""
+    nothing = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def of(found: Column) -> Column:
-        pieces = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
+        pieces = F.split(text, pattern, -1)
+        # the end of each match: what stands before it and all matches up to it
+        steps = F.zip_with(found, pieces, lambda m, p: F.length(m) + F.length(p))
+        ends = running(F.slice(steps, F.lit(1), F.size(found)), lambda a, b: a + b)
+        span = lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("value"))
+        return F.when(F.size(found) == 0, nothing).otherwise(F.zip_with(found, ends, span))
 
-        def walk(p: Column) -> Column:
-            zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    return let(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), of)
 
-            def step(acc: Column, i: Column) -> Column:
-                start = acc["at"] + F.get(p, i)
-                end = start + F.length(F.get(found, i))
-                span = F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("value"))
-                return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda acc: acc["out"])
+def is_assign(match: Column) -> Column:
+    return F.length(F.regexp_extract(match, "^" + ASSIGN, 2)) >= ASSIGN_LEAST
 
-        return F.when(F.size(found) == 0, F.array().cast("array<struct<start:int,end:int,value:string>>")).otherwise(let(pieces, walk))
 
-    return let(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), of)
+def blanked(text: Column, pattern: str, which: Callable[[Column], Column]) -> Column:
+    """The text with those matches of a pattern that ``which`` takes turned into as many spaces."""
+    found, pieces = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), F.split(text, pattern, -1)
+    one = lambda p, m: F.concat(p, F.when(m.isNull(), "").when(which(m), F.repeat(F.lit(" "), F.length(m))).otherwise(m))
+    return F.array_join(F.zip_with(pieces, found, one), "")
 
 
 def scan(df: DataFrame, model: Markov, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
@@ -135,28 +184,31 @@ def scan(df: DataFrame, model: Markov, text_col: str = "text", spans_col: str =
     empty texts give []; a text may hold overlapping spans of different kinds;
     rows are independent; a column named like the new one is replaced.
     """
-    others = [c for c in df.columns if c not in (spans_col, "_t", "_known", "_more")]
+    others = [c for c in df.columns if c not in (spans_col, "_t", "_assign", "_known", "_more")]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = df.select(*[F.col(f"`{c}`") for c in others], text.alias("_t"))
     t, low = F.col("_t"), F.lower(F.col("_t"))
     named = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("key")
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    assign = F.when(named, F.filter(matches(t, ASSIGN), lambda m: F.length(F.regexp_extract(m["value"], "^" + ASSIGN, 2)) >= ASSIGN_LEAST)).otherwise(empty)
+    assign = F.when(named, F.filter(matches(t, ASSIGN), lambda m: is_assign(m["value"]))).otherwise(empty)
     access = F.when(t.contains("AKIA"), matches(t, ACCESS)).otherwise(empty)
     tagged = lambda spans, rank: F.transform(spans, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end")))
-    known = F.concat(tagged(assign, 0), tagged(access, 1), tagged(matches(t, HEX), 2))
-    rows = rows.select(*others, "_t", known.alias("_known"))
-
-    def added(pair: Column) -> Column:
-        clear = lambda m: ~F.exists(pair["k"], lambda k: (k["start"] < m["end"]) & (m["start"] < k["end"]))
-        varied = lambda v: v.rlike("[0-9]") | v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[^A-Z_-][A-Z]")
-        return F.filter(pair["m"], lambda m: clear(m) & varied(m["value"]) & (best_stretch(m["value"], model) > THRESHOLD))
-
-    more = let(F.struct(matches(t, CANDIDATE).alias("m"), F.col("_known").alias("k")), added)
-    every = F.array_sort(F.concat("_known", tagged(more, 3)))
+    rows = rows.select(*[F.col(f"`{c}`") for c in others], "_t", assign.alias("_assign"))
+    known = F.concat(tagged(F.col("_assign"), 0), tagged(access, 1), tagged(matches(t, HEX), 2))
+
+    def random(m: Column) -> Column:
+        v = m["value"]
+        # the other two kinds consist of key characters, so they would lie inside of the run
+        clear = ~v.rlike(HEX) & ~v.rlike(ACCESS)
+        varied = v.rlike("[0-9]") | v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[^A-Z_-][A-Z]")
+        return clear & varied & (best_stretch(v, model) > THRESHOLD)
+
+    rest = F.when(F.size("_assign") == 0, t).otherwise(blanked(t, ASSIGN, is_assign))
+    more = F.filter(matches(rest, CANDIDATE), random)
+    every = F.array_sort(F.concat(known, tagged(more, 3)))
     kind = lambda rank: F.element_at(F.array(*[F.lit(k) for k in KINDS]), rank + 1)
     spans = F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind(s["rank"]).alias("kind"), s["rank"].alias("rank")))
-    return rows.select(*others, spans.alias(spans_col))
+    return rows.select(*[F.col(f"`{c}`") for c in others], spans.alias(spans_col))
 
 
 def written(spans: Column) -> Column:
@@ -166,15 +218,22 @@ def written(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every stretch that spans cover replaced by ``mark``; null stays null."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def of(s: Column) -> Column:
+        tops = running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+
+        def join(p: Column) -> Column:
+            x, top = p["s"], p["t"]
+            before = lambda k: F.when(k == 0, 0).otherwise(F.get(top, k - 1))
+            cut = lambda a, n: F.when(F.size(x) > _FEW_SPANS, F.array_join(F.slice(p["c"], a + 1, n), "")).otherwise(F.substring(text, a + 1, n))
+            pieces = F.transform(x, lambda m, k: F.when(m["start"] >= before(k), F.concat(cut(before(k), m["start"] - before(k)), F.lit(mark))).otherwise(""))
+            return F.concat(F.array_join(pieces, ""), cut(F.element_at(top, -1), F.length(text)))
+
+        # many cuts go by characters, for each substring seeks its place from the start
+        chars = F.when(F.size(s) > _FEW_SPANS, characters(text))
+        return let(F.struct(s.alias("s"), tops.alias("t"), chars.alias("c")), join)
 
-    cut = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, text).otherwise(cut)
+    return F.when(F.size(spans) == 0, text).otherwise(let(spans, of))
 
 
 def trained(docs: DataFrame, text_col: str = "text") -> Markov:
