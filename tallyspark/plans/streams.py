@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tallyspark.plans.registry import query, read
-from tallyspark.sources.shared import shared_dir
+from tallyspark.sources.shared import Scratch
 from tallyspark.streaming import turns as T
 
 
@@ -20,7 +18,7 @@ def _events_as_stream(spark, d):
 
 def _finished(spark, stream, mode="complete"):
     """Run a stream to its end; its whole result from the shared folder."""
-    top = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    top = Scratch(spark, "stream", lasting=True).top
 
     def keep(batch, n):
         batch.write.mode("overwrite").parquet(f"{top}/out/batch={n}")

@@ -169,10 +169,7 @@ def levels(spark, d):
     loops = part.filter("p_partkey % 97 = 5").select(F.col("p_partkey").alias("src"), (-F.col("p_partkey") - 1).alias("dst"))
     back = loops.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     ghosts = back.select(F.col("src").alias("node"))
-    from tallyspark.sources.shared import shared_dir
-
-    out = D.import_levels(nodes.unionByName(ghosts), tree.unionByName(loops).unionByName(back), shared_dir(spark))
-    return out.filter("node >= 0")
+    return D.import_levels(nodes.unionByName(ghosts), tree.unionByName(loops).unionByName(back)).filter("node >= 0")
 
 
 @query("alias_keys", """with r as (select p_partkey as pos, 'i' || p_size as instance_id, p_brand || '/' || replace(p_name, ' ', '-') as repo, replace(p_name, ' ', '_') as original_repo, replace(p_name, ' ', '-') as base from part)
