@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import saved
+from tallyspark.sources.shared import Scratch
 
 
 def _digest(edges: DataFrame) -> tuple[int, int]:
@@ -13,16 +13,16 @@ def _digest(edges: DataFrame) -> tuple[int, int]:
     return row[0], int(row[1])
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v), root: the smallest node it reaches.
 
     Alternates large-star and small-star steps. A step takes the minimum per node
     with a partially aggregated ``groupBy`` and joins it back, so a hub with most
     of the edges is never gathered in one task. Nulls, self-loops and repeated
-    edges are ignored; an empty table gives an empty one.
+    edges are ignored; an empty table gives an empty one. Rounds are written to ``scratch``.
     """
     named = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    now = saved(named.filter("u is not null and v is not null and u <> v").distinct())
+    now = scratch.saved(named.filter("u is not null and v is not null and u <> v").distinct())
     seen = _digest(now)
     for _ in range(most_rounds):
         if not seen[0]:
@@ -33,7 +33,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = saved(small)
+        now = scratch.saved(small)
         last, seen = seen, _digest(now)
         if seen == last:
             break

@@ -104,21 +104,30 @@ class Profiles:
         return self.langs[best], float(1 - far[best] / (PROFILE * len(top)))
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", by: Column | None = None, train_docs: int = TRAIN_DOCS) -> Profiles:
-    """Profiles from rows with a text and a language.
-
-    A hash of ``by`` (default: the text) picks about ``train_docs`` rows of each
-    language, a documented bound; n-grams are counted in the tasks and summed by
-    Spark. Only the ranked profiles, PROFILE n-grams a language, reach the driver.
-    """
-    ship(docs.sparkSession)
+def sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", by: Column | None = None, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """(lang, text) of about ``train_docs`` labelled rows of each language, a documented bound,
+    picked by a hash of ``by`` (default: the text); rows without text or language never are."""
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(text_col) if by is None else by).alias("h"))
     rows = rows.filter("text is not null and lang is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
-        return Profiles.of({})
+        return rows.select("lang", "text")
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, train_docs / n) * 1_000_000))])
-    picked = rows.filter(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
+    return rows.filter(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
+
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", by: Column | None = None, train_docs: int = TRAIN_DOCS) -> Profiles:
+    """Profiles from a sample of the rows with a text and a language.
+
+    N-grams are counted in the tasks and summed by Spark. Only the ranked profiles,
+    PROFILE n-grams a language, reach the driver; without such rows there are none.
+    """
+    return train_on(sample(docs, text_col, lang_col, by, train_docs))
+
+
+def train_on(picked: DataFrame) -> Profiles:
+    """Profiles from all rows of (lang, text)."""
+    ship(picked.sparkSession)
 
     def count(parts):
         for part in parts:
@@ -130,9 +139,9 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", by: C
     grams = picked.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = F.row_number().over(_by_rank())
     top = grams.withColumn("rank", order).filter(F.col("rank") <= PROFILE).select("lang", "gram", "rank").collect()
-    found: dict[str, list[int]] = {lang: [] for lang in counts}
+    found: dict[str, list[int]] = {}
     for row in sorted(top, key=lambda r: (r["lang"], r["rank"])):
-        found[row["lang"]].append(row["gram"])
+        found.setdefault(row["lang"], []).append(row["gram"])
     return Profiles.of(found)
 
 
@@ -160,6 +169,17 @@ def identify(df: DataFrame, profiles: Profiles, text_col: str = "text", lang_col
     return with_arrow(df, text_col, [T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())], make, keep)
 
 
+def least_score(picked: DataFrame, profiles: Profiles, quantile: float = 0.01, margin: float = 0.6) -> float:
+    """A score below which a text is like no learned language: ``margin`` of the given quantile
+    of the scores of labelled rows (lang, text). 0.0 without rows.
+
+    Texts of languages that were not learned score about half as high as the lowest labelled ones.
+    """
+    scores = identify(picked.filter("text rlike '[A-Za-z]'"), profiles, keep=[]).select("score")
+    found = scores.agg(F.percentile_approx("score", quantile, 10_000)).first()[0]
+    return margin * found if found is not None else 0.0
+
+
 def held_out() -> Column:
     """Rows that never train: the remainder 2 of crc32(doc_id as text) by 4."""
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2

@@ -64,24 +64,26 @@ def shard_rows(df: DataFrame, key_col: str, place_col: Column, shards: int = 24,
 
     ``place_col`` is the ring slot of a row; rows of one slot are dealt in the
     order of a hash of ``key_col``. Null keys and repeated rows are rows like any
-    other; an empty table gives an empty one; columns named shard, slot or _ring
-    are replaced.
+    other; an empty table gives an empty one; columns named shard or slot are
+    replaced, others pass whatever their names.
     """
     spark = df.sparkSession
-    rows = df.drop("shard", "slot").withColumn("_ring", place_col)
-    counts = {r["_ring"]: r["count"] for r in rows.groupBy("_ring").count().collect()}
-    plan = spark.createDataFrame(deal(counts, shards, slack), "_ring int, _low long, _high long, shard int, _base long")
-    buckets = spark.createDataFrame([(s, math.isqrt(n - 1) + 1) for s, n in counts.items()], "_ring int, _buckets int")
-    others = [c for c in df.columns if c not in ("shard", "slot", "_ring")]
-
-    rows = rows.join(F.broadcast(buckets), "_ring").withColumn("_bucket", F.pmod(F.xxhash64(key_col), "_buckets").cast("int"))
-    sizes = rows.groupBy("_ring", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_ring").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_ring", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_ring", "_bucket").orderBy(*others)) - 1
-    ranked = rows.withColumn("_inside", inside).join(starts, ["_ring", "_bucket"]).withColumn("_rank", F.col("_start") + F.col("_inside"))
-    out = ranked.join(F.broadcast(plan), "_ring").filter("_rank >= _low and _rank < _high")
-    return out.select(*others, "shard", (F.col("_base") + F.col("_rank") - F.col("_low")).alias("slot"))
+    others = [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]
+    # all columns of a row in one, so that no work column can clash
+    rows = df.select(F.struct(*others).alias("row"), place_col.alias("ring"), F.xxhash64(F.col(f"`{key_col}`")).alias("h"))
+    counts = {r["ring"]: r["count"] for r in rows.groupBy("ring").count().collect()}
+    # both tables are bounded by SLOTS and the shards
+    plan = spark.createDataFrame(deal(counts, shards, slack), "ring int, low long, high long, shard int, base long")
+    buckets = spark.createDataFrame([(s, math.isqrt(n - 1) + 1) for s, n in counts.items()], "ring int, buckets int")
+
+    rows = rows.join(F.broadcast(buckets), "ring").withColumn("bucket", F.pmod("h", "buckets").cast("int"))
+    sizes = rows.groupBy("ring", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("ring").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("ring", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("ring", "bucket").orderBy("row")) - 1
+    ranked = rows.withColumn("inside", inside).join(starts, ["ring", "bucket"]).withColumn("rank", F.col("start") + F.col("inside"))
+    out = ranked.join(F.broadcast(plan), "ring").filter("rank >= low and rank < high")
+    return out.select("row.*", "shard", (F.col("base") + F.col("rank") - F.col("low")).alias("slot"))
 
 
 def sharded(docs: DataFrame, shards: int = 24) -> DataFrame:

@@ -23,8 +23,10 @@ def test_run_equals_a_plain_version(spark, sf_dir):
     texts = dict(duckdb.sql("select doc_id, text from documents").fetchall())
     good = {i for i, kept in duckdb.sql(f"select doc_id, kept from ({quality.oracle_sql()})").fetchall() if kept}
     assert 0.3 * len(texts) < len(good) < len(texts)
-    profiles = langid.train(spark.read.parquet(f"{sf_dir}/documents.parquet").filter(quality.F.col("doc_id").isin(*good)), by=quality.F.col("doc_id"))
-    good = {i for i in good if profiles.predict(texts[i])[1] >= corpus_pipeline.LEAST_LANGUAGE_SCORE}
+    picked = langid.sample(spark.read.parquet(f"{sf_dir}/documents.parquet").filter(quality.F.col("doc_id").isin(*good)), by=quality.F.col("doc_id"))
+    profiles = langid.train_on(picked)
+    least = langid.least_score(picked, profiles)
+    good = {i for i in good if profiles.predict(texts[i])[1] >= least}
     groups = plain_components([(i, texts[i]) for i in sorted(good)], 5, 80)
     kept = {i for i, (_, _, keep) in groups.items() if keep}
     assert {r.doc_id for r in rows} == kept and len(kept) < len(good)
@@ -52,3 +54,32 @@ def test_stages_keep_columns_and_clean_documents(spark, sf_dir):
     clean = docs.join(labels.filter("quality = 1"), "doc_id", "left_semi").filter("size(split(text, ' ')) > 60")
     after = corpus_pipeline.language_id(spark, corpus_pipeline.quality_rules(spark, clean, sf_dir), sf_dir)
     assert after.count() == clean.count()
+
+
+#: The same paragraph in languages that the corpus teaches and in others.
+KNOWN = [
+    "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another in a spirit of brotherhood. Everyone is entitled to all the rights and freedoms set forth in this Declaration, without distinction of any kind, such as race or birth or other status, and no one shall be held in slavery.",
+    "Alle Menschen sind frei und gleich an Würde und Rechten geboren. Sie sind mit Vernunft und Gewissen begabt und sollen einander im Geist der Brüderlichkeit begegnen. Jeder hat Anspruch auf die in dieser Erklärung verkündeten Rechte und Freiheiten ohne irgendeinen Unterschied, etwa nach der Sprache, der Religion, der Geburt oder dem sonstigen Stand der Familie.",
+]
+UNKNOWN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin ja vapauksiin ilman minkäänlaista rotuun, väriin, sukupuoleen perustuvaa erotusta.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler. Herkes, ırk, renk, cinsiyet, dil, din, siyasi veya diğer herhangi bir akide ayrımı gözetilmeksizin",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+]
+
+
+def test_language_stage_drops_unlearned_languages_only(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = spark.createDataFrame([(10**9 + k, t, None, "s", len(t)) for k, t in enumerate(KNOWN + UNKNOWN)], docs.schema)
+    good = corpus_pipeline.quality_rules(spark, docs, sf_dir)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, good.unionByName(more), sf_dir).select("doc_id").collect()}
+    assert {i for i in kept if i >= 10**9} == {10**9 + k for k in range(len(KNOWN))}
+    assert len(kept) - len(KNOWN) >= 0.99 * good.count()
+
+
+def test_dedup_stage_keeps_documents_that_share_an_id(spark, sf_dir):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "en", "s", 1), (1, text[::-1], "en", "s", 1), (2, None, None, "s", 0), (None, text + " eleven", "en", "s", 1), (None, "a b c d e f", "en", "s", 1), (1, text, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted([(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()], key=repr)
+    assert kept == sorted([(1, text), (1, text[::-1]), (2, None), (None, "a b c d e f")], key=repr)
