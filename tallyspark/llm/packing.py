@@ -25,7 +25,7 @@ from tallyspark.shipping import ship
 CONTEXT, END_ID = 2048, 1
 
 #: Tokens of padding that a window, a cut at a sentence's end and a cut elsewhere are worth.
-WINDOW, SENTENCE, HARD = 4.0, 2.0, 16.0
+WINDOW, SENTENCE, HARD = 64.0, 4.0, 16.0
 
 #: A gap without natural cuts is cut at this step at least; a chunk of the stream
 #: is packed when it has CHUNK tokens, which bounds the memory of a task.
