@@ -145,20 +145,107 @@ class TapRows:
 
 def tap(docs: DataFrame) -> DataFrame:
     """(doc, name, status, seconds) of TAP texts, a stack machine over each whole text."""
-    spark = docs.sparkSession
-    spark.udtf.register("tap_rows", TapRows)
-    docs.createOrReplaceTempView("tap_docs")
-    return spark.sql("select d.doc, t.name, t.status, t.seconds from tap_docs d, lateral tap_rows(d.text) t")
+    return docs.lateralJoin(TapRows(F.col("text").outer())).select("doc", "name", "status", "seconds")
 
 
 def gtest(docs: DataFrame) -> DataFrame:
-    """(doc, name, status, seconds) of GoogleTest output; a test that starts but does not end is an error."""
-    pattern = r"^\[\s+(OK|FAILED|SKIPPED)\s+\] ([\w/.]+) \((\d+) ms\)"
-    at = lines(docs)
-    ends = at.select("doc", F.regexp_extract("line", pattern, 1).alias("w"), F.regexp_extract("line", pattern, 2).alias("name"), F.regexp_extract("line", pattern, 3).alias("ms")).filter("w <> ''")
-    ends = ends.select("doc", "name", F.when(F.col("w") == "OK", "PASSED").otherwise(F.col("w")).alias("status"), (F.col("ms").cast("double") / 1000).alias("seconds"))
-    runs = at.select("doc", F.regexp_extract("line", r"^\[ RUN      \] ([\w/.]+)", 1).alias("name")).filter("name <> ''").join(ends, ["doc", "name"], "left_anti")
-    return ends.unionByName(runs.select("doc", "name", F.lit("ERROR").alias("status"), F.lit(0.0).alias("seconds")))
+    """(doc, name, status, seconds) of GoogleTest output, also where CTest puts ``N: `` before each line."""
+    pattern = r"^(?:\d+: )?\[ {2,7}(OK|FAILED) {1,2}\] (.+?)(?:\s+\((\d+)\s*ms\))?$"
+    ends = lines(docs).select("doc", F.regexp_extract("line", pattern, 1).alias("w"), F.trim(F.regexp_extract("line", pattern, 2)).alias("name"), F.regexp_extract("line", pattern, 3).alias("ms")).filter("w <> ''")
+    return ends.select("doc", "name", F.when(F.col("w") == "OK", "PASSED").otherwise("FAILED").alias("status"), (F.coalesce(F.col("ms").try_cast("double"), F.lit(0.0)) / 1000).alias("seconds"))
+
+
+def _counted(docs: DataFrame, prefix: str, passed, failed) -> DataFrame:
+    """(doc, name, status): as many made names of each outcome as a summary counts."""
+    part = lambda n, word, status: F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(F.concat(F.lit(f"{prefix}_{word}_"), k.cast("string")).alias("name"), F.lit(status).alias("status")))
+    none = F.array().cast("array<struct<name:string,status:string>>")
+    rows = F.concat(F.when(passed > 0, part(passed, "test", "PASSED")).otherwise(none), F.when(failed > 0, part(failed, "failed", "FAILED")).otherwise(none))
+    return docs.select("doc", F.explode(rows).alias("t")).select("doc", "t.*")
+
+
+def _number(pattern: str, group: int = 1):
+    return F.regexp_extract("text", pattern, group).try_cast("int")
+
+
+def catch2(docs: DataFrame) -> DataFrame:
+    """(doc, name, status) of a Catch2 summary, which counts cases without naming those that pass."""
+    table = r"test cases:\s*(\d+)\s*\|\s*(\d+)\s*passed\s*\|\s*(\d+)\s*failed"
+    all_passed = F.contains("text", F.lit("All tests passed"))
+    total, failed = _number(r"(\d+)\s+test cases?\s*(?:passed|:)"), _number(r"(\d+)\s+test cases?\s+failed")
+    good = F.when(all_passed, _number(r"(\d+)\s+test case")).otherwise(F.coalesce(_number(table, 2), total - F.coalesce(failed, F.lit(0))))
+    bad = F.when(~all_passed, F.coalesce(_number(table, 3), failed))
+    return _counted(docs, "catch2", F.coalesce(good, F.lit(0)), F.coalesce(bad, F.lit(0)))
+
+
+def doctest(docs: DataFrame) -> DataFrame:
+    """(doc, name, status) of a doctest summary."""
+    head = r"\[doctest\]\s*test cases:\s*(\d+)"
+    table = head + r"\s*\|\s*(\d+)\s*passed\s*\|\s*(\d+)\s*failed"
+    return _counted(docs, "doctest", F.coalesce(_number(table, 2), _number(head), F.lit(0)), F.coalesce(_number(table, 3), F.lit(0)))
+
+
+def boost(docs: DataFrame) -> DataFrame:
+    """(doc, name, status) of a Boost.Test summary; without a count an errorless run is one test."""
+    total, clean = _number(r"Running\s+(\d+)\s+test case"), F.contains("text", F.lit("*** No errors detected ***"))
+    broken = F.contains("text", F.lit("*** Errors were detected")) | F.contains(F.lower("text"), F.lit("*** failures"))
+    failed = F.when(broken & ~clean, F.coalesce(_number(r"(\d+)\s+failure"), F.lit(0))).otherwise(0)
+    return _counted(docs, "boost", F.greatest(F.lit(0), F.coalesce(total, F.when(clean, 1), F.lit(0)) - failed), failed)
+
+
+def go_list(docs: DataFrame, module: str = "") -> DataFrame:
+    """(doc, pos, test_id) of ``go test -list``: names precede the line of their package; names
+    that see none belong to ``module``, or to nothing where that is empty."""
+    at = lines(docs).withColumn("line", F.trim("line"))
+    package = F.nullif(F.regexp_extract("line", r"^(?:ok|FAIL|\?)\s+(\S+)", 1), F.lit(""))
+    after = Window.partitionBy("doc").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
+    named = at.withColumn("pkg", F.coalesce(F.first(package, ignorenulls=True).over(after), F.nullif(F.lit(module), F.lit(""))))
+    name = F.regexp_extract("line", r"^((?:Test|Example|Fuzz)\w\S*)", 1)
+    return named.filter((name != "") & F.col("pkg").isNotNull()).select("doc", "pos", F.concat_ws("/", "pkg", name).alias("test_id"))
+
+
+def cargo_list(docs: DataFrame) -> DataFrame:
+    """(doc, pos, test_id) of ``cargo test -- --list``: lines that end in ``: test``."""
+    status = r"^(Running|Compiling|Finished|Downloading|Downloaded|Fresh) |^[Ww]arning:|^error[:\[]"
+    at = lines(docs).withColumn("line", F.trim("line")).filter(F.col("line").endswith(": test") & ~F.col("line").rlike(status))
+    return at.select("doc", "pos", F.rtrim(F.regexp_replace("line", ": test$", "")).alias("test_id"))
+
+
+def gtest_list(docs: DataFrame) -> DataFrame:
+    """(doc, pos, test_id) of a GoogleTest binary's listing: tests are indented below their suite."""
+    at = lines(docs).filter(F.trim("line") != "")
+    indented = F.col("line").rlike(r"^[ \t]")
+    above = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    suite = F.last(F.when(~indented, F.regexp_replace(F.trim("line"), r"\.+$", "")), ignorenulls=True).over(above)
+    name = F.trim(F.get(F.split("line", "#"), F.lit(0)))
+    return at.withColumn("suite", suite).filter(indented & (name != "") & (F.col("suite") != "")).select("doc", "pos", F.concat_ws(".", "suite", name).alias("test_id"))
+
+
+@udtf(returnType="name string")
+class StaticTests:
+    """Names of test calls in JavaScript sources: describe blocks nest by indentation."""
+
+    def eval(self, text: str) -> Iterator[tuple]:
+        import re
+
+        call = re.compile(r"([ \t]*)(describe|it|test)\s*\(\s*(['\"`])((?:\\.|(?!\3).)*?)\3")
+        blocks: list[tuple[int, str]] = []
+        seen: set[str] = set()
+        for line in (text or "").splitlines():
+            m = call.match(line)
+            if m is None:
+                continue
+            depth, name = len(m[1].expandtabs(4)), m[4].replace("\\'", "'").replace('\\"', '"')
+            blocks = [b for b in blocks if b[0] < depth]
+            if m[2] == "describe":
+                blocks.append((depth, name))
+            elif (full := " > ".join([*(n for _, n in blocks), name])) not in seen:
+                seen.add(full)
+                yield (full,)
+
+
+def static_tests(docs: DataFrame) -> DataFrame:
+    """(doc, name) of the tests that sources declare, the first of each name."""
+    return docs.lateralJoin(StaticTests(F.col("text").outer())).select("doc", "name")
 
 
 def ctest(docs: DataFrame) -> DataFrame:
@@ -222,8 +309,8 @@ def sections(docs: DataFrame) -> DataFrame:
 
 def verdicts(docs: DataFrame, known: list[str]) -> DataFrame:
     """(doc, id, passed) of the first JSON list in a model's answer; unknown ids are dropped."""
-    found = F.from_json(F.regexp_extract("text", r"(?s)(\[.*\])", 1), "array<struct<id:string,passed:boolean>>")
-    return docs.select("doc", F.explode(found).alias("v")).select("doc", "v.id", F.coalesce("v.passed", F.lit(False)).alias("passed")).filter(F.col("id").isin(*known))
+    found = F.from_json(F.regexp_extract("text", r"(?s)(\[.*\])", 1), "array<struct<id:string,passed:boolean,pos:long>>")
+    return docs.select("doc", F.explode(found).alias("v")).select("doc", "v.id", F.coalesce("v.passed", F.lit(False)).alias("passed"), "v.pos").filter(F.col("id").isin(*known))
 
 
 EDIT = r"(?s)(?m)^([^\n`]+)\n(`{3,})[^\n]*\n<{5,9} SEARCH\n(.*?)={5,9}\n(.*?)>{5,9} REPLACE\n\2"

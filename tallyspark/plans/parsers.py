@@ -1,4 +1,4 @@
-"""Parser queries over inline text, against results worked out by hand, and over conversations."""
+"""Parser queries over texts made of table rows, and over conversations."""
 
 from __future__ import annotations
 
@@ -6,177 +6,273 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import joins as J
 from tallyspark.operators import parsers as P
-from tallyspark.plans.registry import query, read, rows_sql
+from tallyspark.plans.registry import query, read
+from tallyspark.plans.rendered import STATUS, E, numbers, text_of
 from tallyspark.sources import readers, writers
 
 
-def docs(spark, *texts):
-    return spark.createDataFrame([(k, t) for k, t in enumerate(texts, 1)], "doc long, text string")
-
-
-GO = """{"Action":"run","Package":"p","Test":"A"}
-{"Action":"pass","Package":"p","Test":"A","Elapsed":0.5}
-{"Action":"fail","Package":"p","Test":"B","Elapsed":1.5}
-{"Action":"pass","Package":"p","Test":"B","Elapsed":0.1}
-{"Action":"pass","Package":"p","Test":"C","Elapsed":0.2}
-{"Action":"skip","Package":"p","Test":"C","Elapsed":0.0}
-not json
-{"Action":"run","Package":"p","Test":"D"}
-{"Action":"fail","Package":"p","Elapsed":3.0}
-{"Action":"pas"""
-
-
-@query("go_json", rows_sql([("p/A", "PASSED", 0.5), ("p/B", "FAILED", 1.5), ("p/C", "PASSED", 0.2), ("p/D", "ERROR", None)], "test_id, status, duration"))
+@query("go_json", f"""with {E}, t as (select doc, 'p' || p || '/T' || i as test_id, pos, k, case when k < 3 then {STATUS} end as status, ms / 1000.0 as s from e where pos % 11 > 0),
+b as (select doc, test_id, arg_max(status, [case k when 1 then 2 when 0 then 1 else 0 end, pos]) as status, arg_max(s, [case k when 1 then 2 when 0 then 1 else 0 end, pos]) as duration from t where k < 3 group by doc, test_id)
+select doc, test_id, status, duration from b union all select distinct doc, test_id, 'ERROR', null from t where k = 3 and (doc, test_id) not in (select doc, test_id from b)""")
 def go_json(spark, d):
-    """2.9.1."""
-    return P.go_json(docs(spark, GO)).select("test_id", "status", "duration")
+    """2.9.1: a failure holds, a pass outlives a skip, the later of equals; a test that only starts errs."""
+    word = "element_at(array('pass', 'fail', 'skip', 'run'), cast(k + 1 as int))"
+    line = f"""case when pos % 11 = 0 then 'not json' else concat('{{"Action":"', {word}, '","Package":"p', p, '","Test":"T', i, '"', if(k < 3, concat(',"Elapsed":', ms / 1000), ''), '}}') end"""
+    return P.go_json(text_of(numbers(spark, d), line)).select("doc", "test_id", "status", "duration")
 
 
-@query("go_plain", rows_sql([("pkg/one/TestA", "PASSED"), ("pkg/two/TestB", "FAILED"), ("pkg/two/TestC", "SKIPPED")], "test_id, status"))
+@query("go_plain", f"""with {E}, w as (select *, last_value(case when k = 3 then p end ignore nulls) over (partition by doc order by pos rows unbounded preceding) as pkg from e),
+t as (select doc, coalesce('pkg/p' || pkg || '/', '') || 'T' || i as test_id, k, pos from w where k < 3)
+select doc, test_id, arg_max({STATUS}, [case k when 1 then 2 when 0 then 1 else 0 end, pos]) as status from t group by doc, test_id""")
 def go_plain(spark, d):
-    """2.9.2."""
-    return P.go_plain(docs(spark, "ok  \tpkg/one\t0.1s\n--- PASS: TestA (0.00s)\nFAIL\tpkg/two\t0.2s\n--- FAIL: TestB (0.00s)\n    --- SKIP: TestC (0.00s)")).select("test_id", "status")
+    """2.9.2: the package line above names the package."""
+    line = "case when k = 3 then concat(if(ms % 2 = 0, 'ok  ', 'FAIL'), '\\tpkg/p', p, '\\t0.1s') else concat(if(ms % 5 = 0, '    ', ''), '--- ', element_at(array('PASS', 'FAIL', 'SKIP'), cast(k + 1 as int)), ': T', i, ' (0.00s)') end"
+    return P.go_plain(text_of(numbers(spark, d), line)).select("doc", "test_id", "status")
 
 
-RUST = "running 4 tests\ntest a::b ... ok\ntest a::b ... ok\ntest a::c ... FAILED\ntest src/lib.rs - f (line 3) ... ok\ntest d ... ignored"
-NEXT = '{"type":"suite","event":"started"}\n{"type":"test","event":"started","name":"x"}\n{"type":"test","event":"ok","name":"x"}\n{"type":"test","event":"failed","name":"y"}'
-
-
-@query("rust_tests", rows_sql([(1, "a::b", "PASSED"), (1, "a::c", "FAILED"), (1, "d", "SKIPPED"), (2, "x", "PASSED"), (2, "y", "FAILED")], "doc, name, status"))
+@query("rust_tests", f"""with {E}, t as (select doc, pos, i // 9 as n, case when k = 1 then 'FAILED' when k = 2 then 'SKIPPED' else 'PASSED' end as status from e),
+text as (select *, lag((n, status)) over (partition by doc order by pos) as b from t where doc % 2 = 0 and pos % 7 > 0)
+select doc, 'm::t' || n as name, status from text where b is distinct from (n, status) union all select doc, 'x' || n, status from t where doc % 2 = 1""")
 def rust(spark, d):
-    """2.9.3, 2.9.4, 2.6.1."""
-    return P.rust_tests(docs(spark, RUST, NEXT)).select("doc", "name", "status")
-
-
-JEST = '{"testResults":[{"name":"a.test.js","assertionResults":[{"fullName":"x y","status":"passed","duration":12},{"title":"z","status":"odd"},{"status":"pending"}]},{"name":"b.test.js","assertionResults":[],"failureMessage":"boom"}]}'
-
-
-@query("jest", rows_sql([(1, "a.test.js::x y", "PASSED", 0.012), (1, "a.test.js::z", "FAILED", 0.0), (1, "a.test.js::#2", "SKIPPED", 0.0), (2, "<regex-0>", "PASSED", 0.0), (2, "<regex-1>", "FAILED", 0.0)], "doc, key, status, seconds"))
+    """2.9.3, 2.9.4, 2.6.1: libtest text without doc tests and adjacent repeats; nextest's JSON."""
+    text = "case when pos % 7 = 0 then concat('test src/lib.rs - f', i, ' (line 3) ... ok') else concat('test m::t', i div 9, ' ... ', element_at(array('ok', 'FAILED', 'ignored', 'ok'), cast(k + 1 as int))) end"
+    json = """concat('{"type":"test","event":"', element_at(array('ok', 'failed', 'ignored', 'ok'), cast(k + 1 as int)), '","name":"x', i div 9, '"}\\n{"type":"suite","event":"started"}')"""
+    return P.rust_tests(text_of(numbers(spark, d), f"if(doc % 2 = 0, {text}, {json})")).select("doc", "name", "status")
+
+
+def _jest(spark, d):
+    """(doc, text): suites by package; the reports of every fifth user are cut short."""
+    e = numbers(spark, d)
+    test = F.struct("pos", F.when(F.col("i") > 4, F.concat(F.lit("t"), "i")).alias("fullName"), F.expr("element_at(array('passed', 'failed', 'pending', 'odd'), cast(k + 1 as int))").alias("status"), F.col("ms").alias("duration"))
+    suites = e.groupBy("doc", "p").agg(F.array_sort(F.collect_list(test)).alias("a"))
+    items = F.transform("a", lambda x: F.struct(x["fullName"].alias("fullName"), x["status"].alias("status"), x["duration"].alias("duration")))
+    whole = suites.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("s"), "p").alias("name"), items.alias("assertionResults")))).alias("testResults"))
+    text = F.to_json(F.struct("testResults"))
+    return whole.select("doc", F.when(F.col("doc") % 5 == 0, F.substring(text, F.lit(1), F.length(text) - 3)).otherwise(text).alias("text"))
+
+
+@query("jest", f"""with {E}, t as (select *, case k when 0 then 'PASSED' when 2 then 'SKIPPED' else 'FAILED' end as status, row_number() over (partition by doc, p order by pos) - 1 as n, row_number() over (partition by doc order by p, pos) - 1 as all_n from e),
+r as (select *, row_number() over (partition by doc order by p, pos) - 1 as cut_n from t where doc % 5 = 0 and k < 3)
+select doc, 's' || p || '::' || case when i > 4 then 't' || i else '#' || n end as key, status, ms / 1000.0 as seconds from t where doc % 5 > 0
+union all select doc, '<regex-' || cut_n || '>', status, 0 from r""")
 def jest(spark, d):
-    """2.9.5, 2.9.7."""
-    return P.jest(docs(spark, JEST, '{"testResults":[{"name":"a","assertionResults":[{"status": "passed"},{"status":"failed"'))
+    """2.9.5, 2.9.7: whole reports and, by pattern, those cut short."""
+    return P.jest(_jest(spark, d))
 
 
-@query("jest_crashed", rows_sql([(1, True), (2, True), (3, False)], "doc, crashed"))
+@query("jest_crashed", f"with {E} select doc, count(*) filter (where k < 3) = 0 or bool_or(k = 3) as crashed from e group by doc")
 def jest_crashed(spark, d):
-    """2.9.30."""
-    return P.jest_crashed(docs(spark, JEST, '{"testResults":[]}', '{"testResults":[{"name":"a","assertionResults":[{"status":"passed"}]}]}'))
+    """2.9.30: an empty suite that has a message is a crash, and so is a report without suites."""
+    suite = F.when(F.col("k") == 3, F.lit('{"name":"a","assertionResults":[],"failureMessage":"boom"}')).otherwise(F.lit('{"name":"b","assertionResults":[{"status":"passed"}]}'))
+    docs = text_of(numbers(spark, d), suite, glue=",")
+    return P.jest_crashed(docs.select("doc", F.concat(F.lit('{"testResults":['), "text", F.lit("]}")).alias("text")))
 
 
-@query("mocha", rows_sql([("a", "FAILED"), ("b", "PASSED"), ("c", "SKIPPED")], "name, status"))
+@query("mocha", f"with {E} select doc, 't' || i as name, case when bool_or(k = 1) then 'FAILED' when bool_or(k = 0) then 'PASSED' else 'SKIPPED' end as status from e where k < 3 group by doc, i")
 def mocha(spark, d):
     """2.9.6."""
-    return P.mocha(docs(spark, '{"passes":[{"fullTitle":"a"},{"fullTitle":"b"}],"failures":[{"fullTitle":"a"}],"pending":[{"fullTitle":"b"},{"fullTitle":"c"}]}')).select("name", "status")
+    item = F.struct(F.concat(F.lit("t"), "i").alias("fullTitle"))
+    part = lambda k: F.collect_list(F.when(F.col("k") == k, item))
+    docs = numbers(spark, d).groupBy("doc").agg(part(0).alias("passes"), part(1).alias("failures"), part(2).alias("pending"))
+    return P.mocha(docs.select("doc", F.to_json(F.struct("passes", "failures", "pending")).alias("text"))).select("doc", "name", "status")
 
 
-TAP = """TAP version 13
-# Subtest: outer
-    # Subtest: inner
-    ok 1 - inner
-      ---
-      duration_ms: 1500
-      ...
-    not ok 2 - bad
-ok 1 - outer
-ok 2 - later # SKIP not now
-Bail out! end
-ok 3 - unseen"""
-
-
-@query("tap", rows_sql([("outer > inner", "PASSED", 1.5), ("outer > bad", "FAILED", 0.0), ("outer", "PASSED", 0.0), ("later", "SKIPPED", 0.0)], "name, status, seconds"))
+@query("tap", f"""with {E} select doc, pos, 'p' || p || ' > t' || i as name, case when k = 3 then 'SKIPPED' else {STATUS} end as status, case when ms % 2 = 0 then ms / 1000.0 else 0 end as seconds from e
+union all select doc, pos, 'p' || p, 'PASSED', 0 from e""")
 def tap(spark, d):
     """2.9.8: a UDTF, as subtests need a stack."""
-    return P.tap(docs(spark, TAP)).select("name", "status", "seconds")
+    word = "element_at(array('ok 1 - t', 'not ok 1 - t', 'ok 1 - t', 'not ok 1 - t'), cast(k + 1 as int))"
+    line = f"concat('# Subtest: p', p, '\\n    ', {word}, i, if(k > 1, ' # SKIP later', ''), if(ms % 2 = 0, concat('\\n      ---\\n      duration_ms: ', ms, '\\n      ...'), ''), '\\nok 1 - p', p)"
+    rows = numbers(spark, d).withColumn("doc", F.struct("doc", "pos"))
+    return P.tap(text_of(rows, line)).select("doc.doc", "doc.pos", "name", "status", "seconds")
 
 
-@query("gtest", rows_sql([("S.a", "PASSED", 0.003), ("S.b", "FAILED", 0.001), ("S.c", "ERROR", 0.0)], "name, status, seconds"))
+@query("gtest", f"with {E} select doc, 'S.t' || pos as name, {STATUS} as status, case when p = 0 then 0 else ms / 1000.0 end as seconds from e where k < 2")
 def gtest(spark, d):
-    """2.9.9."""
-    return P.gtest(docs(spark, "[ RUN      ] S.a\n[       OK ] S.a (3 ms)\n[ RUN      ] S.b\n[  FAILED  ] S.b (1 ms)\n[ RUN      ] S.c\nSegmentation fault")).select("name", "status", "seconds")
+    """2.9.9: with and without times, also behind CTest's numbers."""
+    line = "concat(if(doc % 2 = 0, '3: ', ''), '[ RUN      ] S.t', pos, if(k < 2, concat(if(k = 1, '\nx.cc:1: Failure', ''), '\n', if(doc % 2 = 0, '3: ', ''), if(k = 0, '[       OK ] S.t', '[  FAILED  ] S.t'), pos, if(p = 0, '', concat(' (', ms, ' ms)'))), ''))"
+    return P.gtest(text_of(numbers(spark, d), line)).select("doc", "name", "status", "seconds")
 
 
-@query("ctest", rows_sql([("a", "PASSED", 0.01), ("b", "FAILED", 1.5), ("c", "SKIPPED", 0.0)], "name, status, seconds"))
-def ctest(spark, d):
-    """2.9.10."""
-    return P.ctest(docs(spark, " 1/3 Test  #1: a ..........   Passed    0.01 sec\n 2/3 Test  #2: b ..........***Failed    1.50 sec\n 3/3 Test  #3: c ..........***Not Run   0.00 sec")).select("name", "status", "seconds")
+def counted_sql(prefix: str, good: str, bad: str) -> str:
+    """Made names for the passes and failures of each user."""
+    return f"""with {E}, s as (select doc, {good} as g, {bad} as b from e group by doc) select doc, '{prefix}_test_' || n as name, 'PASSED' as status from (select doc, unnest(range(1, g + 1)) as n from s) union all select doc, '{prefix}_failed_' || n, 'FAILED' from (select doc, unnest(range(1, b + 1)) as n from s)"""
+
+
+def _sums(spark, d, text: str):
+    """(doc, text) from g passes and b failures of each user."""
+    sums = numbers(spark, d).groupBy("doc").agg(F.count_if(F.col("k") != 1).alias("g"), F.count_if(F.col("k") == 1).alias("b"))
+    return sums.select("doc", F.expr(text).alias("text"))
+
+
+@query("catch2", counted_sql("catch2", "count(*) filter (where k <> 1)", "count(*) filter (where k = 1)"))
+def catch2(spark, d):
+    """2.9.9: the summary counts cases, in one of two forms."""
+    return P.catch2(_sums(spark, d, "if(b = 0, concat('All tests passed (9 assertions in ', g, ' test cases)'), concat('x.cpp:3: FAILED:\ntest cases: ', g + b, ' | ', g, ' passed | ', b, ' failed\nassertions: 20 | 3 passed | 17 failed'))"))
+
 
+@query("doctest", counted_sql("doctest", "case when doc % 2 = 0 then count(*) else count(*) filter (where k <> 1) end", "case when doc % 2 = 0 then 0 else count(*) filter (where k = 1) end"))
+def doctest(spark, d):
+    """2.9.9: without a table all cases pass."""
+    return P.doctest(_sums(spark, d, "concat('[doctest] doctest version is 2.4\n[doctest] test cases: ', g + b, if(doc % 2 = 0, '', concat(' | ', g, ' passed | ', b, ' failed | 0 skipped')))"))
 
-XML = '<testsuite><testcase classname="C" name="a"/><testcase classname="C" name="b"><failure message="x"/></testcase><testcase name="c"><skipped/></testcase><testcase classname="C" name="d"><err'
 
+@query("boost", counted_sql("boost", "case when count(*) filter (where k = 1) > 0 or doc % 2 = 0 then count(*) filter (where k <> 1) else 1 end", "count(*) filter (where k = 1)"))
+def boost(spark, d):
+    """2.9.9: an errorless run without a count is one test."""
+    return P.boost(_sums(spark, d, "case when b > 0 then concat('Running ', g + b, ' test cases...\n*** ', b, ' failures are detected in the test module \"m\"\n*** Errors were detected') when doc % 2 = 0 then concat('Running ', g, ' test cases...\n*** No errors detected ***') else '*** No errors detected ***' end"))
 
-@query("junit", rows_sql([("C#a", "PASSED"), ("C#b", "FAILED"), ("c", "SKIPPED"), ("C#d", "PASSED")], "test_id, status"))
+
+@query("ctest", f"with {E} select doc, 't' || pos as name, case when k = 3 then 'FAILED' else {STATUS} end as status, ms / 100.0 as seconds from e")
+def ctest(spark, d):
+    """2.9.10."""
+    word = "element_at(array('   Passed', '***Failed', '***Not Run', '***Timeout'), cast(k + 1 as int))"
+    return P.ctest(text_of(numbers(spark, d), f"concat(' ', i + 1, '/37 Test  #', i + 1, ': t', pos, ' ..........', {word}, '    ', ms / 100, ' sec')")).select("doc", "name", "status", "seconds")
+
+
+@query("junit", f"with {E}, t as (select *, row_number() over (partition by doc order by pos desc) = 1 and k = 3 as cut from e) select doc, case when p > 0 then 'C' || p || '#' else '' end || 't' || pos as test_id, case when k = 3 then case when cut then 'PASSED' else 'ERROR' end else {STATUS} end as status from t")
 def junit(spark, d):
-    """2.1.7, 2.1.8: by pattern, so that a report cut short still yields rows."""
-    return P.junit(docs(spark, XML)).select("test_id", "status")
+    """2.1.7, 2.1.8: by pattern, so that a report cut short inside its last case still yields rows."""
+    inner = "element_at(array('', '<failure message=\"x\"/>', '<skipped/>', '<error type=\"e\">x</error>'), cast(k + 1 as int))"
+    line = f"""concat('<testcase ', if(p > 0, concat('classname="C', p, '" '), ''), 'name="t', pos, '"', if(k = 0, '/>', concat('>', {inner}, '</testcase>')))"""
+    docs = text_of(numbers(spark, d), line)
+    cut = F.regexp_replace("text", r'<error type="e">x</error></testcase>$', "<err")
+    return P.junit(docs.select("doc", F.concat(F.lit("<testsuite>"), cut).alias("text"))).select("doc", "test_id", "status")
 
 
-@query("pytest_ids", rows_sql([("tests/test_a.py::test_x",), ("tests/sub/test_b.py::T::test_y[1]",)], "test_id"))
+@query("pytest_ids", f"with {E}, t as (select *, min(pos) filter (where i = 36) over (partition by doc) as banner from e) select distinct doc, case when p = 0 then 'tests/' else 'tests/sub/' end || 'test_a.py::test_' || i as test_id from t where (banner is null or pos < banner) and k < 3")
 def pytest_ids(spark, d):
-    """2.9.11."""
-    return P.pytest_ids(docs(spark, "test_a.py::test_x\ntests/sub/test_b.py::T::test_y[1]\n\n2 tests collected in 0.1s\ntest_c.py::late"), "tests").select("test_id")
+    """2.9.11: what a quiet collection lists up to its banner."""
+    line = "case when i = 36 then '9 tests collected in 0.1s' when k = 3 then 'warning: something' else concat(if(p = 0, '', 'tests/sub/'), 'test_a.py::test_', i) end"
+    return P.pytest_ids(text_of(numbers(spark, d), line), "tests").select("doc", "test_id")
+
 
+@query("go_list", f"with {E}, t as (select *, min(pos) filter (where k = 3) over (partition by doc order by pos rows between current row and unbounded following) as ends from e), n as (select doc, pos, p from e where k = 3) select t.doc, t.pos, coalesce('pkg/p' || n.p, 'mod') || case when t.p = 0 then '/Test' when t.p = 1 then '/Example' else '/Fuzz' end || t.i as test_id from t left join n on t.doc = n.doc and t.ends = n.pos where t.k < 2")
+def go_list(spark, d):
+    """2.9.12: names come before the line of their package; benchmarks are left out."""
+    line = "case when k = 3 then concat(if(ms % 2 = 0, 'ok  ', '?   '), '\\tpkg/p', p, '\\t0.1s') when k = 2 then concat('Benchmark', i) else concat(element_at(array('Test', 'Example', 'Fuzz'), cast(p + 1 as int)), i) end"
+    rows = numbers(spark, d)
+    found = P.go_list(text_of(rows, line), "mod")
+    from pyspark.sql import Window
 
-@query("indent_tree", rows_sql([("a.py::test_x",), ("a.py::T::test_y",), ("b.py::test_z",)], "node"))
+    at = rows.withColumn("line_no", F.row_number().over(Window.partitionBy("doc").orderBy("pos")) - 1).select("doc", "line_no", F.col("pos").alias("at"))
+    return found.join(at, (found["doc"] == at["doc"]) & (found["pos"] == at["line_no"])).select(found["doc"], F.col("at").alias("pos"), "test_id")
+
+
+@query("cargo_list", f"with {E} select doc, 'm::t' || pos as test_id from e where k < 2 union all select doc, 'late' || i from e where k = 2 and p = 0")
+def cargo_list(spark, d):
+    """2.9.12: ``name: test`` lines; benches and status lines are left out."""
+    line = "case when k < 2 then concat('m::t', pos, ': test') when k = 2 and p = 0 then concat('late', i, ': test  ') when k = 2 then concat('b', i, ': bench') else concat('Running unittests src/lib', i, ': test') end"
+    return P.cargo_list(text_of(numbers(spark, d), line)).select("doc", "test_id")
+
+
+@query("gtest_list", f"with {E}, t as (select *, last_value(case when k = 3 then pos end ignore nulls) over (partition by doc order by pos rows unbounded preceding) as suite from e) select doc, 'S' || suite || '.t' || pos as test_id from t where k < 3 and suite is not null")
+def gtest_list(spark, d):
+    """2.9.13: a binary's listing, tests indented below their suites, comments cut off."""
+    line = "if(k = 3, concat('S', pos, '.'), concat('  t', pos, if(p = 0, '  # GetParam() = 4', '')))"
+    return P.gtest_list(text_of(numbers(spark, d), line)).select("doc", "test_id")
+
+
+@query("static_tests", f"with {E} select distinct doc, 'suite' || i || ' > it t' || pos as name from e where k = 0 union all select doc, 't' || pos from e where k = 1")
+def static_tests(spark, d):
+    """2.9.14, 2.9.33: test calls nest by indentation; comments and other calls do not count."""
+    line = """case k when 0 then concat('describe("suite', i, '", () => {\\n  it("it t', pos, '", () => {});\\n  it("it t', pos, '", again);\\n});') when 1 then concat('test(`t', pos, '`, async () => {})') when 2 then concat('it.skip("t', pos, '", f)') else concat('// test("gone', pos, '")') end"""
+    return P.static_tests(text_of(numbers(spark, d), line)).select("doc", "name")
+
+
+@query("indent_tree", f"with {E}, t as (select *, last_value(case when k = 3 then pos end ignore nulls) over w as m, last_value(case when k = 2 then pos end ignore nulls) over w as c from e window w as (partition by doc order by pos rows unbounded preceding)) select doc, 'm' || m || '.py' || case when p > 0 then '::T' || c else '' end || '::test_' || pos as node from t where k < 2 and m is not null and (p = 0 or c > m)")
 def indent_tree(spark, d):
     """2.6.11: a running value for each depth instead of a stack."""
-    return P.indent_tree(docs(spark, "<Dir r>\n  <Module a.py>\n    <Function test_x>\n    <Class T>\n      <Function test_y>\n  <Module b.py>\n    <Function test_z>")).select("node")
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("doc").orderBy("pos")
+    rows = numbers(spark, d)
+    for k, name in ((3, "m"), (2, "c")):
+        rows = rows.withColumn(name, F.last(F.when(F.col("k") == k, F.col("pos")), ignorenulls=True).over(w))
+    line = "case when m is null then null when k = 3 then concat('  <Module m', pos, '.py>') when k = 2 then concat('    <Class T', pos, '>') when p = 0 then concat('    <Function test_', pos, '>') when c > m then concat('    <Class T', c, '>\\n      <Function test_', pos, '>') end"
+    return P.indent_tree(text_of(rows, line)).select("doc", "node")
 
 
-@query("eval_lines", rows_sql([("a", 1.5, 3, 4, "OK"), ("b", 0.0, None, 9, "INVENTORY_MISMATCH")], "name, runtime, passed, tests, status"))
+@query("eval_lines", f"with {E} select doc, 'r' || pos as name, case when k = 1 then 0 else ms / 10.0 end as runtime, case when k = 0 then i end as passed, case when k = 0 then 37 else i end as tests, case when k = 1 then 'INVENTORY_MISMATCH' else 'OK' end as status from e where k < 2")
 def eval_lines(spark, d):
     """2.9.20."""
-    return P.eval_lines(docs(spark, "repo,runtime,num_passed/num_tests\na,1.5,3/4\nINVENTORY_MISMATCH,b,9,5,2\nnoise")).drop("doc")
+    line = "case k when 0 then concat('r', pos, ',', ms / 10, ',', i, '/37') when 1 then concat('INVENTORY_MISMATCH,r', pos, ',', i, ',5,2') when 2 then 'repo,runtime,num_passed/num_tests' else concat('noise,', i) end"
+    return P.eval_lines(text_of(numbers(spark, d), line))
 
 
-@query("sections", rows_sql([("goal", "Do it.\n\nNow."), ("notes", "")], "section, body"))
+@query("sections", f"""with {E}, t as (select *, max(case when k = 3 then pos end) over (partition by doc order by pos rows unbounded preceding) as head from e)
+select doc, 'head ' || head as section, coalesce(string_agg(case when k < 3 then 'body ' || pos end, chr(10) order by pos), '') as body from t where head is not null group by doc, head""")
 def sections(spark, d):
-    """2.9.21."""
-    return P.sections(docs(spark, "intro\n# Goal\nDo it.\n\nNow.\n## Notes ##\n")).select("section", "body")
+    """2.9.21: the text below each heading, up to the next."""
+    line = "if(k = 3, concat(element_at(array('# ', '## ', '### '), cast(p + 1 as int)), 'Head ', pos, if(p = 1, ' ##', '')), concat('body ', pos))"
+    return P.sections(text_of(numbers(spark, d), line)).select("doc", "section", "body")
 
 
-@query("verdicts", rows_sql([("a", True), ("b", False)], "id, passed"))
+@query("verdicts", f"with {E} select doc, 'c' || i as id, k = 0 as passed, pos from e where i < 20 and doc % 7 > 0")
 def verdicts(spark, d):
-    """2.9.22."""
-    return P.verdicts(docs(spark, 'Sure: [{"id": "a", "passed": true}, {"id": "b"}, {"id": "zz", "passed": true}] done', "no list"), ["a", "b"]).select("id", "passed")
-
+    """2.9.22: the JSON list in an answer; unknown ids are dropped, an answer without a list has none."""
+    item = """concat('{"id": "c', i, '", "note": "[', pos, ']"', if(k = 0, ', "passed": true', if(k = 1, ', "passed": false', '')), ', "pos": ', pos, '}')"""
+    docs = text_of(numbers(spark, d), item, glue=", ").select("doc", F.expr("if(doc % 7 = 0, 'no list', concat('Sure: [', text, '] done'))").alias("text"))
+    return P.verdicts(docs, [f"c{i}" for i in range(20)]).select("doc", "id", "passed", "pos")
 
-EDITS = "src/a.py\n```python\n<<<<<<< SEARCH\nold\n=======\nnew\n>>>>>>> REPLACE\n```\ntext\nb.py\n````\n<<<<<<< SEARCH\n=======\n```x\n>>>>>>> REPLACE\n````\n"
 
-
-@query("edit_blocks", rows_sql([(0, "src/a.py", "old\n", "new\n"), (1, "b.py", "", "```x\n")], "k, path, old, new"))
+@query("edit_blocks", f"with {E}, t as (select *, row_number() over (partition by doc order by pos) - 1 as n from e where k < 3) select doc, n as k, 'src/f' || pos || '.py' as path, case when k = 0 then '' else 'old ' || i || chr(10) end as old, case when k = 2 then '```x' || chr(10) else '' end || 'new ' || ms || chr(10) as new from t")
 def edits(spark, d):
-    """2.9.15, 2.9.24."""
-    return P.edit_blocks(docs(spark, EDITS)).select(F.col("k").cast("long").alias("k"), "path", "old", "new")
+    """2.9.15, 2.9.24: fences match by their length."""
+    line = "if(k = 3, concat('some text ', i), concat('src/f', pos, '.py\\n', if(k = 2, '````', '```'), 'python\\n<<<<<<< SEARCH\\n', if(k = 0, '', concat('old ', i, '\\n')), '=======\\n', if(k = 2, '```x\\n', ''), 'new ', ms, '\\n>>>>>>> REPLACE\\n', if(k = 2, '````', '```')))"
+    return P.edit_blocks(text_of(numbers(spark, d), line)).select("doc", F.col("k").cast("long").alias("k"), "path", "old", "new")
 
 
-@query("think_and_code", rows_sql([("think", "hm"), ("code", "x = 1\n")], "kind, body"))
+@query("think_and_code", f"with {E} select doc, 'think' as kind, 'hm ' || pos as body from e where k = 0 union all select doc, 'code', 'x = ' || pos || chr(10) from e where k = 1")
 def think(spark, d):
-    """2.9.16."""
-    text = docs(spark, "<think> hm </think><thinking>  </thinking>\n```python\nx = 1\n```")
-    return P.think_blocks(text).select(F.lit("think").alias("kind"), "body").unionByName(P.code_blocks(text).select(F.lit("code").alias("kind"), "body"))
+    """2.9.16: blank thoughts do not count."""
+    line = "case k when 0 then concat(if(p = 0, '<think> hm ', '<thinking>hm '), pos, if(p = 0, ' </think>', '</thinking>')) when 1 then concat('```python\\nx = ', pos, '\\n```') when 2 then '<think>  </think>' else 'text' end"
+    text = text_of(numbers(spark, d), line)
+    return P.think_blocks(text).select("doc", F.lit("think").alias("kind"), "body").unionByName(P.code_blocks(text).select("doc", F.lit("code").alias("kind"), "body"))
 
 
-@query("error_gate", rows_sql([("a.rs", 1), ("c.rs", 1)], "file, more"))
+@query("error_gate", f"with {E}, a as (select doc, i, count(*) filter (where k = 0) as was, count(*) filter (where k = 1) as now from e group by doc, i) select doc, 'f' || i || '.rs' as file, now - was as more from a where now > was")
 def error_gate(spark, d):
-    """2.9.28, 2.9.23."""
-    before = P.error_counts(docs(spark, "a.rs:1:2: error x\nb.rs:3:1: error y"))
-    return P.more_errors(before, P.error_counts(docs(spark, "a.rs:1:2: error x\na.rs:9: error z\nb.rs:3:1: error y\nc.rs:1:1: fatal error q\nd.rs:1:1: warning"))).select("file", "more")
+    """2.9.28, 2.9.23: files with more errors after than before."""
+    line = "concat('f', i, '.rs:', pos, if(p = 0, ':2', ''), if(p = 1, ': fatal error: x', ': error y'))"
+    other = "concat('f', i, '.rs:', pos, ':1: warning: z')"
+    e = numbers(spark, d)
+    before, after = (P.error_counts(text_of(e, f"if(k = {k}, {line}, {other})")) for k in (0, 1))
+    return P.more_errors(before, after)
 
 
-@query("pytest_summary", rows_sql([(1, 3, 1, 0, 2, "OK"), (2, 0, 0, 0, 0, "NO_TESTS"), (3, 0, 0, 1, 0, "COLLECTION_ERROR")], "doc, passed, failed, errors, skipped, status"))
+@query("pytest_summary", f"""with {E} select doc, pos, case when k = 2 then 0 else i + 1 end as passed, case when k = 1 then ms else 0 end as failed, case when k = 3 then 1 else 0 end as errors, case when p = 0 and k < 2 then 2 else 0 end as skipped, case k when 2 then 'NO_TESTS' when 3 then 'COLLECTION_ERROR' else 'OK' end as status from e""")
 def summary(spark, d):
     """2.9.31."""
-    rows = [(1, "== 1 failed, 3 passed, 2 skipped in 1s ==", 1), (2, "no tests ran", 5), (3, "ERROR collecting a.py\n1 error in 0.1s", 2)]
-    return P.pytest_summary(spark.createDataFrame(rows, "doc long, text string, exit_code int"))
+    text = "case k when 2 then 'no tests ran in 0.1s' when 3 then concat('ERROR collecting a.py\\n', i + 1, ' passed, 1 error in 0.1s') else concat('== ', if(k = 1, concat(ms, ' failed, '), ''), i + 1, ' passed', if(p = 0, ', 2 skipped', ''), ' in 1s ==') end"
+    rows = numbers(spark, d).select(F.struct("doc", "pos").alias("doc"), F.expr(text).alias("text"), F.expr("cast(if(k = 2, 5, 1) as int)").alias("exit_code"))
+    return P.pytest_summary(rows).select("doc.doc", "doc.pos", "passed", "failed", "errors", "skipped", "status")
 
 
-HISTORY = '[{"kind":"ActionEvent","tool":"edit","tool_call_id":"c1","content":"hi"},{"kind":"ObservationEvent","tool":"edit","action_id":"c1","content":[{"text":"part"}]},{"kind":"MessageEvent"}]'
+def _histories(spark, d):
+    """(doc, text): event lists; answers cite the action before them or one that never was."""
+    head = """concat('{"kind":"', element_at(array('ActionEvent', 'ObservationEvent', 'ObservationEvent', 'MessageEvent'), cast(k + 1 as int)), '"', if(k < 3, concat(',"tool":"', if(p = 0, 'run', 'edit'), '"'), '')"""
+    call = """case k when 0 then concat(',"tool_call_id":"c', i, '"') when 1 then concat(',"action_id":"c', i, '"') when 2 then concat(',"action_id":"z', i, '"') else '' end"""
+    body = """case when k = 3 then '' when ms % 2 = 0 then concat(',"content":"say ', pos, '"') else concat(',"content":[{"text":"part ', pos, '"},{"text":"x"}]') end"""
+    docs = text_of(numbers(spark, d), f"{head}, {call}, {body}, '}}')", glue=",")
+    return docs.select("doc", F.concat(F.lit("["), "text", F.lit("]")).alias("text"))
 
 
-@query("history_events", rows_sql([(0, "ActionEvent", "edit", "c1", "hi"), (1, "ObservationEvent", "edit", "c1", "part"), (2, "MessageEvent", None, None, "")], "pos, kind, tool, call_id, text"))
+@query("history_events", f"""with {E} select doc, row_number() over (partition by doc order by pos) - 1 as pos, case k when 0 then 'ActionEvent' when 3 then 'MessageEvent' else 'ObservationEvent' end as kind, case when k < 3 then case when p = 0 then 'run' else 'edit' end end as tool,
+case k when 0 then 'c' || i when 1 then 'c' || i when 2 then 'z' || i end as call_id, case when k = 3 then '' when ms % 2 = 0 then 'say ' || pos else 'part ' || pos end as text from e""")
 def history(spark, d):
     """2.9.18."""
-    return P.history_events(docs(spark, HISTORY)).select(F.col("pos").cast("long").alias("pos"), "kind", "tool", "call_id", "text")
+    return P.history_events(_histories(spark, d)).select("doc", F.col("pos").cast("long").alias("pos"), "kind", "tool", "call_id", "text")
+
+
+@query("observed_histories", f"""with {E}, a as (select doc, i, arg_max(case when p = 0 then 'run' else 'edit' end, pos) as tool from e where k = 0 group by doc, i), o as (select doc, pos, i, k, case when p = 0 then 'run' else 'edit' end as tool from e where k in (1, 2))
+select 'orphan' as kind, o.doc as module, case when k = 1 then 'c' else 'z' end || o.i as id from o left join a on a.doc = o.doc and a.i = o.i and k = 1 where a.i is null union all select 'mismatch', o.doc, 'c' || o.i from o join a on a.doc = o.doc and a.i = o.i where k = 1 and a.tool <> o.tool""")
+def observed(spark, d):
+    """2.4.6-7 over parsed histories."""
+    e = P.history_events(_histories(spark, d)).withColumnRenamed("doc", "module")
+    actions, seen = e.filter("kind = 'ActionEvent'"), e.filter("kind = 'ObservationEvent'").withColumnRenamed("call_id", "action_id")
+    part = lambda df, kind: df.select(F.lit(kind).alias("kind"), "module", F.col("action_id").alias("id"))
+    return part(J.orphan_observations(seen, actions), "orphan").unionByName(part(J.mismatched_observations(seen, actions), "mismatch"))
 
 
 @query("turn_events", "select conv_id as conv, turn, k.k, k.kind, (conv_id * 1000000 + turn * 1000 + k.ms)::bigint as ts_ms from conversations join (values ('user', 0, 'MessageEvent', 0), ('assistant', 0, 'ActionEvent', 10), ('assistant', 1, 'ObservationEvent', 50), ('assistant', 2, 'FinishEvent', 100)) as k(r, k, kind, ms) on k.r = case when role = 'user' then 'user' else 'assistant' end")
@@ -193,45 +289,60 @@ def digests(spark, d):
     return read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))).alias("a")).select("conv_id", F.substring(F.array_join(F.transform("a", lambda x: x["p"]), "\n"), 1, 200).alias("digest"))
 
 
-@query("balanced", rows_sql([(1, True), (2, False), (3, False), (4, True)], "doc, ok"))
+@query("balanced", f"with {E}, t as (select *, sum(case k when 0 then 1 when 1 then -1 else 0 end) over (partition by doc order by pos rows unbounded preceding) as n from e) select doc, min(n) >= 0 and arg_max(n, pos) = 0 as ok from t group by doc union all select doc + 1000000, true from e group by doc")
 def balanced(spark, d):
-    """2.9.25."""
-    return P.balanced(docs(spark, "fn a() { // }\n }", "{ {", "} {", 'x = "}"; /* { */ { }'))
+    """2.9.25: braces in comments and strings do not count."""
+    e = numbers(spark, d)
+    signs = "element_at(array('{', '}', 'x = \"}\"; // }', '/* { */ y'), cast(k + 1 as int))"
+    paired = "concat('fn f', pos, '() {', if(k = 2, ' // }', ''), '\\n}')"
+    texts = text_of(e, signs).unionByName(text_of(e, paired).withColumn("doc", F.col("doc") + 1_000_000))
+    return P.balanced(texts)
 
 
-STREAMS = [(1, 0, 'data: {"type":"response.output_text.delta","delta":"Hel"}'), (1, 1, ""), (1, 2, 'data: {"type":"response.output_text.delta","delta":"lo"}'), (1, 3, 'data: {"type":"response.completed"}'), (1, 4, "data: [DONE]"), (2, 0, 'data: {"type":"response.output_text.delta","delta":"x"}'), (3, 0, 'data: {"type":"response.failed"}')]
-
-
-@query("sse_streams", rows_sql([(1, "Hello", "complete"), (2, "x", "truncated"), (3, "", "failed")], "stream, text, outcome"))
+@query("sse_streams", f"""with {E}, t as (select *, case when doc % 3 = 0 and row_number() over (partition by doc order by pos desc) = 1 then 'done' when k = 3 and i = 36 then 'failed' end as ends from e)
+select doc as stream, coalesce(string_agg(case when ends is null and k < 2 then 'w' || i || ' ' end, '' order by pos), '') as text, case when bool_or(coalesce(ends = 'failed', false)) then 'failed' when bool_or(coalesce(ends = 'done', false)) then 'complete' else 'truncated' end as outcome from t group by doc""")
 def sse(spark, d):
     """2.11.2."""
-    return P.sse_streams(spark.createDataFrame(STREAMS, "stream long, pos long, line string"))
+    from pyspark.sql import Window
+
+    last = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("pos"))) == 1
+    rows = numbers(spark, d).withColumn("done", last & (F.col("doc") % 3 == 0))
+    line = """case when done then 'data: {"type":"response.completed"}' when k = 3 and i = 36 then 'data: {"type":"response.failed"}' when k < 2 then concat('data: {"type":"response.output_text.delta","delta":"w', i, ' "}') when k = 2 then 'data: [DONE]' else ': keep-alive' end"""
+    return P.sse_streams(rows.select(F.col("doc").alias("stream"), "pos", F.expr(line).alias("line")))
 
 
-@query("marker_seen", rows_sql([(1, True), (2, False)], "stream, seen"))
+@query("marker_seen", f"with {E}, t as (select *, lead(k) over (partition by doc order by pos) as after from e) select doc as stream, coalesce(bool_or(k = 2 and after = 3), false) or bool_or(i = 36) as seen from t group by doc")
 def markers(spark, d):
-    """2.11.3."""
-    return P.marker_seen(spark.createDataFrame([(1, 0, "abc resp"), (1, 1, "onse.completed x"), (2, 0, "resp"), (2, 1, "none"), (2, 2, "onse.completed")], "stream long, pos long, chunk string"), "response.completed")
+    """2.11.3: a marker that is split between two chunks."""
+    chunk = "case when i = 36 then 'x response.completed y' when k = 2 then 'abc resp' when k = 3 then 'onse.completed' else concat('none ', i, ' of it response') end"
+    return P.marker_seen(numbers(spark, d).select(F.col("doc").alias("stream"), "pos", F.expr(chunk).alias("chunk")), "response.completed")
 
 
-@query("pytest_reports", rows_sql([(1, "t::a", "passed", 0.5), (2, "t::a", "failed", 0.25)], "doc, test_id, outcome, duration"))
+@query("pytest_reports", f"with {E} select doc, 't::' || pos as test_id, case when k = 1 then 'failed' else 'passed' end as outcome, ms / 1000.0 as duration from e where k < 2")
 def reports(spark, d):
-    """2.1.6: both layouts."""
-    return readers.pytest_report(docs(spark, '{"created": 1.0, "tests": [{"nodeid": "t::a", "call": {"outcome": "passed", "duration": 0.5}}, {"nodeid": "t::b"}]}', '[{"nodeid": "t::a", "when": "setup", "outcome": "passed", "duration": 0.1}, {"nodeid": "t::a", "when": "call", "outcome": "failed", "duration": 0.25}]'))
+    """2.1.6: both layouts; tests without a call phase have no row."""
+    outcome = "if(k = 1, 'failed', 'passed')"
+    new = f"""if(k < 2, concat('{{"nodeid": "t::', pos, '", "call": {{"outcome": "', {outcome}, '", "duration": ', ms / 1000, '}}}}'), concat('{{"nodeid": "t::', pos, '"}}'))"""
+    old = f"""concat('{{"nodeid": "t::', pos, '", "when": "', if(k < 2, 'call', 'setup'), '", "outcome": "', {outcome}, '", "duration": ', ms / 1000, '}}')"""
+    docs = text_of(numbers(spark, d), f"if(doc % 2 = 0, {new}, {old})", glue=", ")
+    return readers.pytest_report(docs.select("doc", F.expr("if(doc % 2 = 0, concat('{\"created\": 1.0, \"tests\": [', text, ']}'), concat('[', text, ']'))").alias("text")))
 
 
-@query("pipeline_rewards", rows_sql([(1, 1, 0.5), (1, 2, None), (1, 3, None), (2, 1, 0.25), (2, 2, 0.75), (2, 3, None), (3, 1, None), (3, 2, None), (3, 3, None)], "doc, stage, pass_rate"))
+@query("pipeline_rewards", f"with {E} select pos as doc, s.n as stage, case when k < 3 and (s.n = 1 or s.n = 2 and k = 1 or s.n = 3 and k = 2) then (ms + s.n) / 2000.0 end as pass_rate from e, (values (1), (2), (3)) as s(n)")
 def rewards(spark, d):
-    """2.1.15."""
-    out = readers.pipeline_rewards(docs(spark, '{"stages": {"stage1_draft": {"pass_rate": 0.5}}}', '{"stage1": {"pass_rate": 0.25}, "stage2": {"pass_rate": 0.75}}', "{broken"))
+    """2.1.15: both layouts, and results that are no JSON."""
+    stage = lambda n, name: f"""concat('"{name}": {{"pass_rate": ', (ms + {n}) / 2000, '}}')"""
+    text = f"""case k when 0 then concat('{{"stages": {{', {stage(1, "stage1_draft")}, '}}}}') when 1 then concat('{{', {stage(1, "stage1")}, ', ', {stage(2, "stage2")}, '}}') when 2 then concat('{{', {stage(1, "stage1")}, ', ', {stage(3, "stage3")}, '}}') else '{{broken' end"""
+    out = readers.pipeline_rewards(numbers(spark, d).select(F.col("pos").alias("doc"), F.expr(text).alias("text")))
     return out.withColumn("stage", F.col("stage").cast("long"))
 
 
-@query("run_modules", rows_sql([("r1", "stage1_draft", "m1", True, False, True), ("r1", "stage1_draft", "m2", False, True, False)], "run, stage, module, done, needs_retry, has_output"))
+@query("run_modules", f"with {E} select 'r' || doc as run, 'stage' || (p + 1) || '_x' as stage, 'm' || i as module, bool_or(k = 0) as done, bool_or(k = 1) as needs_retry, bool_or(k = 2) as has_output from e where k < 3 and i <> 5 group by doc, p, i")
 def run_modules(spark, d):
-    """2.1.9."""
-    paths = ["/x/r1/stage1_draft/m1/.done", "/x/r1/stage1_draft/m1/output.json", "/x/r1/stage1_draft/deep/m2/.needs_retry", "/x/r1/stage1_eval/m1/.done", "/x/r1/stage1_draft/m3/other.txt"]
-    return readers.run_modules(spark.createDataFrame([(p,) for p in paths], "path string"))
+    """2.1.9: folders of evaluations and other files do not count."""
+    name = "element_at(array('.done', '.needs_retry', 'output.json', 'other.txt'), cast(k + 1 as int))"
+    path = f"concat('/x/r', doc, '/stage', p + 1, if(i = 5, '_eval', '_x'), if(ms % 2 = 0, '/deep', ''), '/m', i, '/', {name})"
+    return readers.run_modules(numbers(spark, d).select(F.expr(path).alias("path")))
 
 
 @query("markdown_report", "select '| ' || r_regionkey || ' | ' || r_name || ' |' as value from region")
@@ -240,10 +351,13 @@ def markdown_report(spark, d):
     return writers.markdown_table(read(spark, d, "region"), ["r_regionkey", "r_name"])
 
 
-@query("toml_lines", rows_sql([("t", 'a = "x \\"y\\""'), ("t", 'b = "l1\\nl2"')], "task, value"))
+@query("toml_lines", """with t as (select doc_id as task, source || ' "' || coalesce(lang, '') || '"' as a, case when doc_id % 3 > 0 then 'l1' || chr(10) || text || chr(9) || '\\' end as b from documents)
+select task, 'a = "' || replace(a, '"', '\\"') || '"' as value from t union all select task, 'b = "' || replace(replace(replace(replace(replace(b, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(9), '\\t'), chr(13), '\\r') || '"' from t where b is not null""")
 def toml(spark, d):
-    """2.2.6."""
-    return writers.toml_lines(spark.createDataFrame([("t", 'x "y"', "l1\nl2", None)], "task string, a string, b string, c string"))
+    """2.2.6: strings are escaped, nulls left out."""
+    a = F.concat("source", F.lit(' "'), F.coalesce("lang", F.lit("")), F.lit('"'))
+    b = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("l1\n"), "text", F.lit("\t\\")))
+    return writers.toml_lines(read(spark, d, "documents").select(F.col("doc_id").alias("task"), a.alias("a"), b.alias("b")))
 
 
 @query("split_constants", """select c_mktsegment as split, upper(c_mktsegment) || ' = [' || string_agg(distinct '"n' || (c_custkey % 7) || '"', ', ' order by '"n' || (c_custkey % 7) || '"') || ']' as line from customer group by c_mktsegment""")
@@ -252,16 +366,11 @@ def constants(spark, d):
     return writers.split_constants(read(spark, d, "customer").select(F.col("c_mktsegment").alias("split"), F.concat(F.lit("n"), (F.col("c_custkey") % 7).cast("string")).alias("name")))
 
 
-@query("flattened_entries", rows_sql([("i", '{"a":"1"}', '{"c":"2"}'), ("8b4b67b9a9d7cdc56ffcc9c2e3a3b85a4e4ec06e4eabd2ba6e3a8cdd1ca1ad92", '{}', '{}')], "instance_id, setup, test").replace("'8b4b67b9a9d7cdc56ffcc9c2e3a3b85a4e4ec06e4eabd2ba6e3a8cdd1ca1ad92'", "sha256('o/r/c1')"))
+@query("flattened_entries", """select case when c_custkey % 3 > 0 then 'i' || c_custkey else sha256(c_name || '/' || 'c' || c_nationkey) end as instance_id, '{"a":"' || c_mktsegment || '"}' as setup, case when c_custkey % 2 = 0 then '{}' else '{"c":"' || c_custkey || '"}' end as test from customer""")
 def flattened(spark, d):
     """2.2.5: a missing id comes from the content, so that a retry gives the same."""
-    rows = spark.createDataFrame([("i", "o/r", "c0", {"a": "1"}, {"c": "2"}), (None, "o/r", "c1", {}, {})], "instance_id string, repo string, base_commit string, setup map<string,string>, test map<string,string>")
+    rows = read(spark, d, "customer").select(
+        F.expr("if(c_custkey % 3 > 0, concat('i', c_custkey), null)").alias("instance_id"), F.col("c_name").alias("repo"), F.expr("concat('c', c_nationkey)").alias("base_commit"),
+        F.create_map(F.lit("a"), "c_mktsegment").alias("setup"), F.expr("if(c_custkey % 2 = 0, map(), map('c', cast(c_custkey as string)))").cast("map<string,string>").alias("test"),
+    )
     return writers.flattened(rows).select("instance_id", "setup", "test")
-
-
-@query("observed_histories", rows_sql([("orphan", "z"), ("mismatch", "c1")], "kind, id"))
-def observed(spark, d):
-    """2.4.6-7 over parsed histories."""
-    e = P.history_events(docs(spark, '[{"kind":"ActionEvent","tool":"edit","tool_call_id":"c1"},{"kind":"ObservationEvent","tool":"run","action_id":"c1"},{"kind":"ObservationEvent","tool":"edit","action_id":"z"}]')).withColumnRenamed("doc", "module")
-    actions, seen = e.filter("kind = 'ActionEvent'"), e.filter("kind = 'ObservationEvent'").withColumnRenamed("call_id", "action_id")
-    return J.orphan_observations(seen, actions).select(F.lit("orphan").alias("kind"), F.col("action_id").alias("id")).unionByName(J.mismatched_observations(seen, actions).select(F.lit("mismatch").alias("kind"), F.col("action_id").alias("id")))
