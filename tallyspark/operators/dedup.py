@@ -25,10 +25,15 @@ def fuzzy_key(name: Column) -> Column:
 
 
 def duplicate_groups(folders: DataFrame) -> DataFrame:
-    """(key, winner, losers): of folders with one fuzzy key the one with most files, then a hyphen, then the greatest name wins."""
+    """(key, loser, winner): of folders with one fuzzy key the one with most files, then a hyphen, then
+    the greatest name wins; one row for each other row of the key."""
     rank = F.struct("files", F.contains("name", F.lit("-")).alias("hyphen"), "name")
-    grouped = folders.groupBy(fuzzy_key(F.col("name")).alias("key")).agg(F.max_by("name", rank).alias("winner"), F.array_sort(F.collect_list("name")).alias("names"))
-    return grouped.filter(F.size("names") > 1).select("key", "winner", F.array_join(F.array_remove("names", F.col("winner")), ",").alias("losers"))
+    rows = folders.select(fuzzy_key(F.col("name")).alias("key"), "name", rank.alias("rank"))
+    # equal rows are counted, so that a key's many copies meet in one row before any window
+    counted = rows.groupBy("key", "name", "rank").agg(F.count("*").alias("n"))
+    best = counted.groupBy("key").agg(F.max("rank").alias("best"))
+    both = counted.join(best, "key").withColumn("times", F.col("n") - (F.col("rank") == F.col("best")).cast("int")).filter("times > 0")
+    return both.select("key", F.col("name").alias("loser"), F.col("best.name").alias("winner"), F.explode(F.sequence(F.lit(1), "times")).alias("k")).drop("k")
 
 
 def distinct_patches(patches: DataFrame) -> DataFrame:

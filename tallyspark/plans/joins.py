@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.operators import joins as J
-from tallyspark.plans.registry import query, read, rows_sql
+from tallyspark.plans.registry import query, read
 
 
 @query("missing_inventory", "select o_orderkey as repo from orders where o_orderkey not in (select l_orderkey from lineitem)")
@@ -85,24 +85,24 @@ def file_pairs(spark, d):
     return J.file_pairs(read(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("key")), read(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("key")).distinct())
 
 
-@query("nearest_ancestor", """with u as (select p_partkey as unit, 'a' || (p_partkey % 5) as a, 'b' || (p_partkey % 7) as b from part), f as (select distinct 'f' || (s_suppkey % 3) as file, case when s_suppkey % 2 = 0 then 'a' || (s_suppkey % 5) else 'a' || (s_suppkey % 5) || '/b' || (s_suppkey % 7) end as dir from supplier where s_suppkey < 12)
+@query("nearest_ancestor", """with u as (select p_partkey as unit, 'a' || (p_partkey % 5) as a, 'b' || (p_partkey % 7) as b from part), f as (select distinct 'f' || (s_suppkey % 3) as file, case when s_suppkey % 2 = 0 then 'a' || (s_suppkey % 5) else 'a' || (s_suppkey % 5) || '/b' || (s_suppkey % 7) end as dir from supplier)
 select unit, coalesce((select min(file) from f where dir = a || '/b' || (unit % 7)), (select min(file) from f where dir = a)) as file from u""")
 def nearest(spark, d):
     """2.4.12, 2.1.10."""
     part = lambda p, n, c: F.concat(F.lit(p), (F.col(c) % n).cast("string"))
     units = read(spark, d, "part").select(F.col("p_partkey").alias("unit"), F.concat_ws("/", part("a", 5, "p_partkey"), part("b", 7, "p_partkey"), F.lit("c")).alias("path"))
     deep = F.concat_ws("/", part("a", 5, "s_suppkey"), part("b", 7, "s_suppkey"))
-    files = read(spark, d, "supplier").filter("s_suppkey < 12").select(part("f", 3, "s_suppkey").alias("file"), F.when(F.col("s_suppkey") % 2 == 0, part("a", 5, "s_suppkey")).otherwise(deep).alias("dir")).distinct()
+    files = read(spark, d, "supplier").select(part("f", 3, "s_suppkey").alias("file"), F.when(F.col("s_suppkey") % 2 == 0, part("a", 5, "s_suppkey")).otherwise(deep).alias("dir")).distinct()
     return J.nearest_ancestor(units, files)
 
 
-@query("supported_versions", """with v as (select n_nationkey as project, p_size as version from nation, (select distinct p_size from part where p_size between 8 and 14)), s as (select s_nationkey as project, s_suppkey % 10 as lo, case when s_suppkey % 3 = 0 then null else s_suppkey % 10 + 6 end as hi from supplier where s_suppkey < 60)
+@query("supported_versions", """with v as (select n_nationkey as project, p_size as version from nation, (select distinct p_size from part where p_size between 8 and 14)), s as (select s_nationkey as project, s_suppkey % 10 as lo, case when s_suppkey % 3 = 0 then null else s_suppkey % 10 + 6 end as hi from supplier)
 select v.project, v.version, coalesce(bool_and(version >= lo and (hi is null or version < hi)), true) as ok from v left join s using (project) group by v.project, v.version""")
 def versions(spark, d):
     """2.4.13: every declared range must hold a version."""
     sizes = read(spark, d, "part").select(F.col("p_size").alias("version")).filter("version between 8 and 14").distinct()
-    supported = read(spark, d, "nation").select(F.col("n_nationkey").alias("project"), F.explode(F.sequence(F.lit(8), F.lit(14))).alias("version")).join(F.broadcast(sizes), "version", "left_semi")
-    signals = read(spark, d, "supplier").filter("s_suppkey < 60").select(F.col("s_nationkey").alias("project"), (F.col("s_suppkey") % 10).alias("lo"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") % 10 + 6).alias("hi"))
+    supported = read(spark, d, "nation").select(F.col("n_nationkey").alias("project"), F.explode(F.sequence(F.lit(8), F.lit(14))).alias("version")).join(sizes, "version", "left_semi")
+    signals = read(spark, d, "supplier").select(F.col("s_nationkey").alias("project"), (F.col("s_suppkey") % 10).alias("lo"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") % 10 + 6).alias("hi"))
     return J.supported_versions(supported, signals)
 
 
@@ -116,10 +116,30 @@ def pattern_counts(spark, d):
     return J.pattern_counts(texts, PATTERNS)
 
 
-@query("leaked_needles", "select d.doc_id as text_id, b.item_id as needle_id from documents d join benchmark b on length(b.text) >= 32 and contains(d.text, b.text)")
+NEEDLES = "n as (select item_id * 10 + k as needle_id, case k when 0 then text when 1 then left(text, 3) when 2 then left(text, 12) when 3 then left(text, 40) when 4 then right(text, 25) else '' end as needle from benchmark, (values (0), (1), (2), (3), (4), (5)) as t(k))"
+DIFFS = """diffs as (select doc_id as run, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: case when i % 3 = 1 then '+++' when i % 3 = 2 then '+ ' else '+//' end || x), chr(10)) as diff, case when doc_id % 2 = 0 then text else left(text, 200) end as body from documents)"""
+
+
+@query("leaked_needles", f"with {NEEDLES} select d.doc_id as text_id, n.needle_id from documents d join n on n.needle <> '' and contains(d.text, n.needle)")
 def leaked(spark, d):
-    """2.4.15: benchmark items inside documents, by hashes of their first characters."""
-    return J.leaked_needles(read(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), read(spark, d, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle")))
+    """2.4.15: whole benchmark items, their first 3, 12 and 40 characters, and their ends, inside documents."""
+    b = read(spark, d, "benchmark")
+    part = lambda k, needle: b.select((F.col("item_id") * 10 + k).alias("needle_id"), needle.alias("needle"))
+    needles = part(0, F.col("text"))
+    for k, needle in enumerate((F.substring("text", 1, 3), F.substring("text", 1, 12), F.substring("text", 1, 40), F.right("text", F.lit(25)), F.lit("")), 1):
+        needles = needles.unionByName(part(k, needle))
+    return J.leaked_needles(read(spark, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), needles)
+
+
+@query("leak_guard", f"""with {DIFFS}, lines as (select distinct run, trim(l[2:]) as code from (select run, unnest(string_split(diff, chr(10))) as l from diffs) where l[1:1] = '+' and l[1:3] <> '+++'),
+good as (select * from lines where length(code) >= 24 and not (code[1:2] in ('//', '/*') or code[1:1] in ('#', '*')))
+select d.run, count(code) filter (where contains(d.body, code)) as leaked, count(code) filter (where contains(d.body, code)) >= 3 as violates from diffs d left join good using (run) group by d.run""")
+def leak_guard(spark, d):
+    """2.4.15: three or more substantive lines of the golden change in a truth text."""
+    docs = read(spark, d, "documents")
+    diff = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.when(i % 3 == 0, "+++").when(i % 3 == 1, "+ ").otherwise("+//"), x)), "\n")
+    body = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.substring("text", 1, 200))
+    return J.leak_guard(docs.select(F.col("doc_id").alias("run"), diff.alias("diff")), docs.select(F.col("doc_id").alias("run"), body.alias("body")))
 
 
 @query("uncovered_files", "select l_orderkey as run, string_agg(distinct 'p' || l_partkey, ',' order by 'p' || l_partkey) as missing, count(distinct l_partkey) as n_missing from lineitem where l_quantity > 40 and (l_orderkey, l_partkey) not in (select l_orderkey, l_partkey from lineitem where l_returnflag = 'N') group by l_orderkey")
@@ -148,9 +168,9 @@ def fifo(spark, d):
     return J.fifo_zip(turns, edits)
 
 
-@query("inventory_key", rows_sql([("my-repo-js",), ("a-b-c",)], "key"))
+@query("inventory_key", "select p_partkey, array_to_string(list_transform(string_split(p_name || '.JS', '.'), lambda x: lower(x)), '-') as key from part")
 def inventory_key(spark, d):
     """2.1.5."""
     from tallyspark.functions.text import inventory_key as key
 
-    return spark.createDataFrame([("My-Repo.js",), ("a.b.C",)], "name string").select(key(F.col("name")).alias("key"))
+    return read(spark, d, "part").select("p_partkey", key(F.concat("p_name", F.lit(".JS"))).alias("key"))

@@ -119,12 +119,12 @@ def mutation(spark, d):
     return R.mutation_score(rows)
 
 
-@query("heldout_gap", """with t as (select source as run, toxic = 0 as sound, quality = 1 as ok from labels join documents using (doc_id) where doc_id % 10 <> 0 or source < 'src15'), g as (select run, count(*) filter (where sound) as n_sound, round(1 - avg(case when sound then ok::int end), 6) as gap from t group by run)
+@query("heldout_gap", """with t as (select source as run, toxic = 0 and (source < 'src15' or doc_id % 10 = 0) as sound, quality = 1 as ok from labels join documents using (doc_id)), g as (select run, count(*) filter (where sound) as n_sound, round(1 - avg(case when sound then ok::int end), 6) as gap from t group by run)
 select run, n_sound, case when n_sound >= 3 then gap end as gap, case when n_sound < 3 then 'NOT_APPLICABLE' when g.gap <= 0.1 then 'PASS' else 'FAIL' end as status from g""")
 def heldout(spark, d):
     """2.5.15."""
-    rows = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "source"), "doc_id").filter("doc_id % 10 <> 0 or source < 'src15'")
-    return R.heldout_gap(rows.select(F.col("source").alias("run"), (F.col("toxic") == 0).alias("sound"), (F.col("quality") == 1).alias("ok")))
+    rows = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return R.heldout_gap(rows.select(F.col("source").alias("run"), F.expr("toxic = 0 and (source < 'src15' or doc_id % 10 = 0)").alias("sound"), (F.col("quality") == 1).alias("ok")))
 
 
 @query("unseen_mass", 'with c as (select user_id as "group", round(value) as species, count(*) as c from events group by all), g as (select "group", sum(c)::bigint as n, count(*) filter (where c = 1) as once from c group by "group") select "group", n, round(once / n, 6) as mass, n >= 20 and once / n < 0.05 as saturated from g')

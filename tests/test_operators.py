@@ -121,13 +121,14 @@ def test_entry_without_the_corpus_operators(missing, monkeypatch):
     assert ("pipeline" in entry.queries()) is (missing not in ("tallyspark.llm", "corpus_pipeline"))
 
 
-def test_needles_of_any_length_are_found(spark):
+@pytest.mark.parametrize("most_chars", [0, J.NEEDLE_CHARS])
+def test_needles_of_any_length_are_found(spark, most_chars):
     rng = random.Random(4)
-    texts = ["".join(rng.choice("abcé ") for _ in range(rng.randint(0, 200))) for _ in range(30)] + ["fixed by 3f9c2ab81d07 upstream", None]
+    texts = ["".join(rng.choice("abcé ") for _ in range(rng.choice((rng.randint(0, 200), 3000)))) for _ in range(30)] + ["fixed by 3f9c2ab81d07 upstream", None]
     needles = ["3f9c2ab81d07", "0" * 12, "", None, texts[0], "a"] + [t[k : k + n] for t in texts[:20] for k, n in ((rng.randint(0, 60), rng.randint(1, 40)),)]
     left = spark.createDataFrame(list(enumerate(texts)), "text_id int, text string")
     right = spark.createDataFrame(list(enumerate(needles)), "needle_id int, needle string")
     want = {(i, j) for i, t in enumerate(texts) for j, n in enumerate(needles) if t and n and n in t}
     assert (30, 0) in want
-    got = [tuple(r) for r in J.leaked_needles(left, right).select("text_id", "needle_id").collect()]
+    got = [tuple(r) for r in J.leaked_needles(left, right, most_chars).select("text_id", "needle_id").collect()]
     assert len(got) == len(set(got)) and set(got) == want
