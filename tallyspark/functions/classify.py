@@ -6,11 +6,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Signs of failures that do not come from the code, and exit codes of kills.
+TRANSIENT_MARKS = (
+    "econnreset", "etimedout", "connection reset", "connection refused", "temporary failure in name resolution", "read timed out", "429 too many requests",
+    "503 service unavailable", "no space left on device", "oomkilled", "gateway timeout", "tls handshake timeout", "i/o timeout",
+)
+KILLED = (124, 137, 143)
+
+
 def infra_failure(stderr: Column, exit_code: Column) -> Column:
-    """transient for lost networks, kills and full disks, else genuine; none on success."""
-    text = F.lower(F.coalesce(stderr, F.lit("")))
-    lost = text.rlike("connection (reset|refused)|timed? ?out|temporary failure|no space left|too many requests")
-    return F.when(F.coalesce(exit_code, F.lit(-1)) == 0, "none").when(lost | exit_code.isin(124, 137, 143), "transient").otherwise("genuine")
+    """infra_transient for lost networks, kills and full disks, else genuine."""
+    text, lost = F.lower(F.coalesce(stderr, F.lit(""))), F.lit(False)
+    for mark in TRANSIENT_MARKS:
+        lost = lost | F.contains(text, F.lit(mark))
+    return F.when(F.coalesce(exit_code.isin(*KILLED), F.lit(False)) | lost, "infra_transient").otherwise("genuine")
 
 
 def http_error(status: Column, body: Column, tokens_left: Column) -> Column:

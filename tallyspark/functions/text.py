@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyspark.functions.arrays import running
+
 ANSI = r"\x1b\[[0-9;?]*[ -/]*[@-~]"
 
 #: Lines that belong to a page's navigation.
@@ -27,19 +29,38 @@ def head_tail(text: Column, size: int = 2000, mark: str = "\n...\n") -> Column:
 
 
 def chunks(text: Column, size: int) -> Column:
-    """Cuts of about ``size`` characters, after the last line end of the last fifth of a cut if there is one."""
+    """Cuts of about ``size`` characters, after the last line end of the last fifth of a cut if there is one.
+
+    The cuts are found on the places of the line ends alone, so a long text is not copied at each.
+    """
     keep = size - size // 5
+    # the place behind each line end
+    ends = running(F.transform(F.split(text, "\n", -1), lambda x: F.length(x) + 1), lambda a, b: a + b)
+
+    def cuts(pair: Column) -> Column:
+        n, at = pair["n"], pair["e"]
+
+        def step(acc: Column, _: Column) -> Column:
+            here = acc["at"]
+            # the last line end up to here + size: ends rise, so a binary search finds it
+            upto = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(F.lit(0).alias("lo"), F.size(at).alias("hi")), lambda s, _: _halved(s, at, here + size), lambda s: s["lo"])
+            last = F.when(upto > 0, F.get(at, upto - 1)).otherwise(0)
+            end = F.when(n - here <= size, n).when(last - here > keep, last).otherwise(here + size)
+            return F.when(here >= n, acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(end)).alias("out")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor(n / keep).cast("int")), start, step, lambda acc: acc["out"])
+
+    found = F.get(F.transform(F.array(F.struct(F.length(text).alias("n"), ends.alias("e"))), cuts), F.lit(0))
+    pieces = lambda c: F.transform(c, lambda end, k: F.substring(text, F.when(k == 0, 0).otherwise(F.get(c, k - 1)) + 1, end - F.when(k == 0, 0).otherwise(F.get(c, k - 1))))
+    return F.get(F.transform(F.array(found), pieces), F.lit(0))
 
-    def step(acc: Column, _: Column) -> Column:
-        rest = acc["rest"]
-        window = F.substring(rest, 1, size)
-        back = F.locate("\n", F.reverse(window))
-        cut = F.when(F.length(rest) <= size, F.length(rest)).when((back > 0) & (size - back + 1 > keep), size - back + 1).otherwise(F.lit(size))
-        done = F.length(rest) == 0
-        return F.when(done, acc).otherwise(F.struct(F.substring(rest, cut + 1, F.length(rest)).alias("rest"), F.concat(acc["out"], F.array(F.substring(rest, F.lit(1), cut))).alias("out")))
 
-    start = F.struct(text.alias("rest"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.floor(F.length(text) / keep).cast("int")), start, step, lambda acc: acc["out"])
+def _halved(state: Column, at: Column, top: Column) -> Column:
+    """One step of a binary search for the number of elements up to ``top``."""
+    mid = F.shiftright(state["lo"] + state["hi"], 1)
+    below = (state["lo"] < state["hi"]) & (F.get(at, mid) <= top)
+    return F.struct(F.when(below, mid + 1).otherwise(state["lo"]).alias("lo"), F.when(below, state["hi"]).otherwise(mid).alias("hi"))
 
 
 def clean_prose(text: Column, budget: int) -> Column:
@@ -73,8 +94,9 @@ def token_proxy(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\w+|[^\w\s]"))
 
 
-def complexity(files: Column) -> Column:
-    return F.when(files < 10, "small").when(files < 50, "medium").when(files < 200, "large").otherwise("huge")
+def complexity(functions: Column) -> Column:
+    """Size class of a code base by its functions."""
+    return F.when(functions < 100, "small").when(functions < 500, "medium").when(functions < 2000, "large").otherwise("massive")
 
 
 def package_name(spec: Column) -> Column:

@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.operators import filters as P
-from tallyspark.plans.registry import query, read, rows_sql
+from tallyspark.plans.registry import query, read
+from tallyspark.plans.rendered import E, numbers, text_of
 from tallyspark.sources import readers
 
-GOOD = {k: "x" for k in P.REQUIRED} | {"base_commit": "0123abc", "reference_commit": "f" * 40, "version": "3.12"}
-
-
-@query("entry_issues", rows_sql([(1, "", True), (2, "missing setup,missing test", False), (3, "bad base_commit,unknown version", False)], "k, issues, valid"))
+@query("entry_issues", """with c as (select c_custkey as k, c_custkey % 2 = 0 as no_setup, c_custkey % 3 = 0 as no_test, c_custkey % 5 = 0 as bad_base, c_custkey % 7 = 0 as bad_version, c_custkey % 11 = 0 as no_version from customer)
+select k, concat_ws(',', case when no_setup then 'missing setup' end, case when no_test then 'missing test' end, case when bad_base then 'bad base_commit' end, case when bad_version and not no_version then 'unknown version' end) as issues, not (no_setup or no_test or bad_base or bad_version and not no_version) as valid from c""")
 def entries(spark, d):
     """2.3.1, 2.8.3."""
-    rows = [(1, GOOD), (2, {k: v for k, v in GOOD.items() if k not in ("setup", "test")}), (3, GOOD | {"base_commit": "xyz", "version": "2.7"})]
+    k = F.col("c_custkey")
+    pair = lambda key, value, there: F.when(there, F.struct(F.lit(key).alias("key"), value.alias("value")))
+    always = F.lit(True)
+    items = [pair(key, F.lit("x"), k % 2 > 0 if key == "setup" else k % 3 > 0 if key == "test" else always) for key in P.REQUIRED if not key.endswith("commit")]
+    items += [pair("base_commit", F.when(k % 5 == 0, "xyz").otherwise(F.substring(F.sha1(k.cast("string")), 1, 12)), always), pair("reference_commit", F.sha1("c_name"), always)]
+    items += [pair("version", F.when(k % 7 == 0, "2.7").otherwise("3.12"), k % 11 > 0)]
+    rows = read(spark, d, "customer").select(k.alias("k"), F.map_from_entries(F.array_compact(F.array(*items))).alias("e"))
     issues = P.entry_issues(F.col("e"), ["3.10", "3.11", "3.12"])
-    return spark.createDataFrame(rows, "k long, e map<string,string>").select("k", F.array_join(issues, ",").alias("issues"), (F.size(issues) == 0).alias("valid"))
+    return rows.select("k", F.array_join(issues, ",").alias("issues"), (F.size(issues) == 0).alias("valid"))
 
 
 @query("customer_issues", r"select c_custkey, array_to_string(list_filter([case when c_acctbal < 0 then 'negative balance' end, case when not regexp_matches(c_name, '^Customer#\d{9}$') then 'bad name' end, case when c_mktsegment not in ('BUILDING', 'MACHINERY', 'HOUSEHOLD') then 'segment' end], lambda x: x is not null), ',') as issues from customer")
@@ -26,10 +31,11 @@ def customers(spark, d):
     return read(spark, d, "customer").select("c_custkey", F.array_join(issues, ",").alias("issues"))
 
 
-@query("valid_names", rows_sql([("a/b", True), ("a/b/c", False), ("a b/c", False), (None, False), ("A.b_c/d-e", True)], "name, ok"))
+@query("valid_names", "select c_custkey, case c_custkey % 6 when 0 then 'own/r' || c_custkey when 1 then 'own/r/' || c_custkey when 2 then 'own r/' || c_custkey when 3 then null when 4 then 'O.b_c/d-' || c_custkey else c_mktsegment end as name, c_custkey % 6 in (0, 4) as ok from customer")
 def names(spark, d):
     """2.3.2."""
-    return spark.createDataFrame([("a/b",), ("a/b/c",), ("a b/c",), (None,), ("A.b_c/d-e",)], "name string").select("name", P.valid_name(F.col("name")).alias("ok"))
+    name = "element_at(array(concat('own/r', c_custkey), concat('own/r/', c_custkey), concat('own r/', c_custkey), null, concat('O.b_c/d-', c_custkey), c_mktsegment), cast(c_custkey % 6 + 1 as int))"
+    return read(spark, d, "customer").select("c_custkey", F.expr(name).alias("name")).select("c_custkey", "name", P.valid_name(F.col("name")).alias("ok"))
 
 
 @query("unblocked", "select s_suppkey as full_name from supplier where s_suppkey % 7 > 0 and s_acctbal > 0 and s_nationkey not in (3, 4) and s_suppkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
@@ -46,14 +52,14 @@ def enriched(spark, d):
     return P.enriched(rows, "Python", 50.0, ["economy"]).select("p_partkey", "pct", "has_docs")
 
 
-@query("candidate_score", """select p_partkey, round(least(p_retailprice * 20 / 1000, 30.0) + case when p_size * 500 < 100 then 2 when p_size * 500 < 10000 then 10 when p_size * 500 < 100000 then 5 else 0 end
-+ case when p_type = 'ECONOMY' then 5 when p_type is not null then 2 else 0 end + 3 * (case when p_size % 2 = 0 then 1 else 0 end + case when p_size % 3 = 0 then 1 else 0 end) + case when contains(p_name, 'widget') then 4 else 0 end - case when contains(p_name, 'ring') then 6 else 0 end, 2) as score from part""")
+@query("candidate_score", """select p_partkey, round(least(p_retailprice * 20 / 1000, 30.0) + case when p_size < 10 then 10 when p_size < 30 then 5 else -5 end + case when p_partkey % 4 in (0, 1) then 8 when p_partkey % 4 = 2 then 2 else -10 end
++ 3 * (case when p_size % 2 = 0 then 1 else 0 end + case when p_size % 3 = 0 then 1 else 0 end) + case when contains(p_name, 'widget') then 3 else 0 end - case when contains(p_name, 'ring') then 8 else 0 end, 4) as score from part""")
 def score(spark, d):
-    """2.3.5."""
-    topics = F.array_compact(F.array(F.when(F.col("p_size") % 2 == 0, F.lit("parser")), F.when(F.col("p_size") % 3 == 0, F.lit("json"))))
-    words = F.concat_ws(" ", F.when(F.contains("p_name", F.lit("widget")), F.lit("a library")), F.when(F.contains("p_name", F.lit("ring")), F.lit("a game")))
-    licence = F.when(F.col("p_type") == "ECONOMY", F.lit("mit")).otherwise(F.lower("p_type"))
-    return read(spark, d, "part").select("p_partkey", P.candidate_score(F.col("p_retailprice") * 20, F.col("p_size") * 500, licence, topics, words).alias("score"))
+    """2.3.5: 5,000 and 30,000 kB, free licences, topics and words of libraries and of systems."""
+    topics = F.array_compact(F.array(F.when(F.col("p_size") % 2 == 0, F.lit("header-only")), F.when(F.col("p_size") % 3 == 0, F.lit("yaml")), F.lit("games")))
+    words = F.concat_ws(" ", F.when(F.contains("p_name", F.lit("widget")), F.lit("A TOML thing")), F.when(F.contains("p_name", F.lit("ring")), F.lit("a Kernel")))
+    licence = F.element_at(F.array(F.lit("mit"), F.lit("BSD-2-Clause"), F.lit("GPL-3.0"), F.lit("")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return read(spark, d, "part").select("p_partkey", P.candidate_score(F.col("p_retailprice") * 20, F.when(F.col("p_size") < 10, 4999).when(F.col("p_size") < 30, 5000).otherwise(30_000), licence, topics, words).alias("score"))
 
 
 @query("candidate_flags", "select p_partkey, p_size >= 25 as enough_tests, p_type in ('ECONOMY', 'STANDARD') as known_build, p_retailprice < 1000 as small from part")
@@ -68,52 +74,58 @@ def urls(spark, d):
     return read(spark, d, "pages").select("page_id", *[v.alias(k) for k, v in P.url_facts(F.col("url")).items()])
 
 
-@query("page_flags", r"with p as (select page_id, html, trim(regexp_replace(html, '<[^>]*>', '', 'g'), ' ' || chr(10)) as t from pages) select page_id, regexp_matches(html, '(?i)<title>[^<]*(404|not found)') or (length(t) <= 500 and regexp_matches(t, '(?i)page not found|does not exist|no longer available')) as soft_404, regexp_matches(html, '(?i)captcha|are you a robot') as captcha, regexp_matches(html, '(?i)cf-challenge|checking your browser') as challenge, length(t) = 0 as blank from p")
+@query("page_flags", r"""select page_id, page_id % 8 in (0, 1, 2, 3) as soft_404, page_id % 8 = 4 as captcha, page_id % 8 = 5 as challenge, page_id % 8 = 6 as blank from pages""")
 def page_flags(spark, d):
-    """2.3.8."""
-    rows = read(spark, d, "pages").select("page_id", "html", F.btrim(F.regexp_replace("html", "<[^>]*>", ""), F.lit(" \n")).alias("t"))
-    return rows.select("page_id", *[v.alias(k) for k, v in P.page_flags(F.col("html"), F.col("t")).items()])
-
-
-PATCH = """diff --git a/src/a.rs b/src/a.rs
---- a/src/a.rs
-+++ b/src/a.rs
-@@ -1 +1 @@
-+let x = 1;
-diff --git a/target/b.rs b/target/b.rs
---- a/target/b.rs
-+++ b/target/b.rs
-diff --git a/tests/test_c.py b/tests/test_c.py
---- /dev/null
-+++ "b/tests/test_c.py"
-diff --git a/gone.txt b/gone.txt
---- a/gone.txt
-+++ /dev/null
-"""
-
-
-@query("patched_paths", rows_sql([("src/a.rs", None), ("target/b.rs", None), ("tests/test_c.py", "test_file")], "path, reason"))
+    """2.3.8: whole pages with one sign each: title, heading, phrase, first line; captcha, challenge, blank; none."""
+    pages = read(spark, d, "pages")
+    k = F.col("page_id") % 8
+    html = F.concat(F.when(k == 0, "<title>Page  Not Found | x</title>").when(k == 1, "<h1 class='a'> 404 </h1>").when(k == 5, "<script src='/cdn-cgi/challenge-platform/x'></script>").when(k == 7, "<h1>404 ways</h1><title>Not found in time</title>").otherwise(""), F.when(k != 6, F.col("html")).otherwise(""))
+    plain = F.regexp_replace("html", "<[^>]*>", " ")
+    text = F.when(k == 2, " We Couldn't find the page ").when(k == 3, "\n404 Not Found!\nGo home").when(k == 4, F.concat(plain, F.lit(" please verify you are a HUMAN"))).when(k == 6, " \n\t ").when(k == 7, F.concat(F.lit("404 ways\n"), plain)).otherwise(F.concat(F.lit("x "), plain))
+    rows = pages.select("page_id", html.alias("html"), text.alias("t"))
+    return rows.select("page_id", *[v.alias(n) for n, v in P.page_flags(F.col("html"), F.col("t")).items()])
+
+
+#: Paths of a patch by shape, why it may not touch them, and the forms of a patch's head.
+SHAPES = [
+    ("src/m", ".rs", None), ("tests/t", ".rs", "file under a test directory (%s)"), ("pkg/test_", ".py", "test file (%b)"), ("cfg/jest.config.", "", "scoring/build/config file (%b)"),
+    ("src/androidTest/A", ".kt", "file under a test source root (%s)"), ("lib/Foo", "Test.java", "test file (%b)"), ("target/b", ".rs", None), ("docs/x", ".md", None),
+]
+SHAPE_SQL = "case p_partkey % 8 " + " ".join(f"when {k} then '{a}' || p_partkey || '{b}'" for k, (a, b, _) in enumerate(SHAPES)) + " end"
+REASON_SQL = "case p_partkey % 8 " + " ".join(f"when {k} then " + ("null" if r is None else f"'{r.split('%')[0]}' || " + ("path" if "%s" in r else "lower(string_split(path, '/')[-1])") + " || ')'") for k, (_, _, r) in enumerate(SHAPES)) + " end"
+SHAPE = "concat(element_at(array({}), cast(p_partkey % 8 + 1 as int)), p_partkey, element_at(array({}), cast(p_partkey % 8 + 1 as int)))".format(*[", ".join(f"'{x[k]}'" for x in SHAPES) for k in (0, 1)])
+SECTION = r"""case p_partkey div 8 % 5
+  when 0 then concat('diff --git a/', path, ' b/', path, '\n--- a/', path, '\n+++ b/', path, '\n@@ -1 +1 @@\n+x')
+  when 1 then concat('diff --git a/', path, ' b/', path, '\n--- a/', path, '\n+++ /dev/null')
+  when 2 then concat('diff --git a/', path, ' b/moved', p_partkey, '.txt\nrename from a')
+  when 3 then concat('--- ', path, '\t2024-01-01\n+++ ', path, '\t2024-01-02\n@@ -1 +1 @@')
+  else concat('diff --git "a/', path, '" "b/', path, '"\n--- /dev/null\n+++ "b/', path, '"') end"""
+
+
+def _paths(spark, d):
+    return read(spark, d, "part").withColumn("path", F.expr(SHAPE))
+
+
+@query("patched_paths", f"""with t as (select p_partkey, {SHAPE_SQL} as path from part) select p_partkey, path, {REASON_SQL} as reason from t union all select p_partkey, 'moved' || p_partkey || '.txt', null from t where p_partkey // 8 % 5 = 2""")
 def paths(spark, d):
-    """2.3.9, 2.3.18."""
-    rows = spark.createDataFrame([(PATCH,)], "patch string").select(F.explode(P.patched_paths(F.col("patch"))).alias("path"))
-    return rows.select("path", P.cheat_reason(F.col("path")).alias("reason"))
+    """2.3.9, 2.3.18: changed, deleted, renamed, timed and quoted heads; the gate's reason for each path."""
+    rows = _paths(spark, d).select("p_partkey", F.explode(P.patched_paths(F.expr(SECTION))).alias("path"))
+    return rows.select("p_partkey", "path", P.cheat_reason(F.col("path")).alias("reason"))
 
 
-@query("kept_sections", rows_sql([(1, 1, False), (2, 0, True)], "k, n, nothing"))
+@query("kept_sections", "select p_brand as k, count(*) filter (where p_partkey % 8 in (0, 1)) as n, count(*) filter (where p_partkey % 8 in (0, 1)) = 0 as nothing from part where p_partkey // 8 % 5 in (0, 1) group by p_brand")
 def sections(spark, d):
-    """2.3.10."""
-    rows = spark.createDataFrame([(1, PATCH), (2, "diff --git a/x.txt b/x.txt\n+a\n")], "k long, patch string").select("k", P.kept_sections(F.col("patch"), ".rs").alias("p"))
-    return rows.select("k", F.regexp_count("p", F.lit("diff --git")).cast("long").alias("n"), (F.col("p") == "\n\n").alias("nothing"))
-
-
-LINT = ['a.py:1: error [reportMissingImports] Import "numpy"  [reportMissingImports]', 'a.py:2: Import "mypkg.sub" could not be resolved [reportMissingImports]', "a.py:3: bad type [reportGeneralTypeIssues]", "summary line"]
+    """2.3.10: sections of Rust files outside of build folders."""
+    rows = _paths(spark, d).filter("p_partkey div 8 % 5 in (0, 1)").select("p_brand", F.col("p_partkey").alias("pos"), F.expr(SECTION).alias("section"))
+    kept = text_of(rows, F.col("section"), by="p_brand").select(F.col("p_brand").alias("k"), P.kept_sections(F.col("text"), ".rs").alias("p"))
+    return kept.select("k", F.regexp_count("p", F.lit("diff --git")).cast("long").alias("n"), (F.col("p") == "\n\n").alias("nothing"))
 
 
-@query("lint_kinds", rows_sql([(0, "ENV"), (1, "CODE"), (2, "CODE"), (3, "UNKNOWN")], "pos, kind"))
+@query("lint_kinds", f"with {E} select pos, case k when 0 then 'ENV' when 3 then 'UNKNOWN' else 'CODE' end as kind from e")
 def lint(spark, d):
     """2.3.11."""
-    rows = spark.createDataFrame([("\n".join(LINT),)], "text string").select(F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.select(F.col("pos").cast("long").alias("pos"), P.lint_kind(F.col("line"), "mypkg").alias("kind"))
+    line = "element_at(array(concat('a.py:', i, ': error: Import \"numpy', i, '\"  [reportMissingImports]'), concat('a.py:', i, ': Import \"mypkg', if(p = 0, '', '.sub'), '\" could not be resolved [reportMissingImports]'), 'a.py:3: bad type [reportGeneralTypeIssues]', concat(i, ' errors')), cast(k + 1 as int))"
+    return numbers(spark, d).select("pos", P.lint_kind(F.expr(line), "mypkg").alias("kind"))
 
 
 PREDICATES = [{"id": "p1", "kind": "pattern_present", "target": r"\bthe\b"}, {"id": "p2", "kind": "literal_absent", "target": "AKIA"}, {"id": "p3", "kind": "pattern_absent", "target": "[0-9]{3}"}, {"id": "p4", "kind": "pattern_present", "target": "(unclosed"}, {"id": "p5", "kind": "no_such_kind", "target": "x"}]
@@ -125,47 +137,51 @@ def predicates(spark, d):
     return P.evaluate_predicates(read(spark, d, "documents").select(F.col("doc_id").alias("code_id"), F.col("text").alias("code")), PREDICATES)
 
 
-@query("vacuous_predicates", rows_sql([("p1",), ("p5",)], "id"))
+@query("vacuous_predicates", r"select doc_id, 'p1' as id from documents where not regexp_matches(text, '\bthe\b') union all select doc_id, 'p2' from documents where contains(text, 'AKIA') union all select doc_id, 'p3' from documents where regexp_matches(text, '[0-9]{3}')")
 def vacuous(spark, d):
-    """2.3.13: predicates whose own counter-example passes are dropped; without one they stay."""
-    fixtures = {"p1": "no match here", "p2": "clean text", "p5": ""}
-    code = spark.createDataFrame([(k, v) for k, v in fixtures.items()], "code_id string, code string")
-    out = P.evaluate_predicates(code, [p for p in PREDICATES if p["id"] in fixtures]).filter("code_id = predicate")
-    empty = spark.createDataFrame([(k,) for k, v in fixtures.items() if not v], "code_id string")
-    return out.filter("not passed").select(F.col("predicate").alias("id")).unionByName(empty.select(F.col("code_id").alias("id"))).distinct()
+    """2.3.13: each document as a counter-example; predicates that it passes are vacuous, broken ones always."""
+    code = read(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("code_id"), F.col("text").alias("code"))
+    return P.evaluate_predicates(code, PREDICATES).filter("not passed").select(F.col("code_id").alias("doc_id"), F.col("predicate").alias("id"))
 
 
-@query("resolve_split", rows_sql([("all", "left-pad", 0), ("all", "lib_b", 1), ("all", "lib-c", 2), ("lite", "lib-c", 2), ("x/lib_b", "lib_b", 1), ("lib-b", "lib_b", 1), ("orig/c", "lib-c", 2)], "split, basename, pos"))
+@query("resolve_split", """with r as (select p_partkey as pos, 'i' || p_partkey as i, p_brand || '/' || replace(p_name, ' ', '-') as repo, 'orig/' || p_partkey as o, replace(p_name, ' ', '-') as b from part)
+select split, b as basename, min(pos) as pos from r join (values ('all'), ('all_x'), ('lite'), ('i7'), ('Brand#2/red-widget'), ('red_widget'), ('orig/9'), ('none')) as s(split) on split like 'all%' or split = 'lite' and b in ('small-ring', 'blue-bolt') or split in (i, repo, o, b) or split = 'red_widget' and b = 'red-widget' group by split, b""")
 def splits(spark, d):
     """2.3.14."""
-    rows = spark.createDataFrame([(0, "i0", "x/left-pad", "orig/a"), (1, "i1", "x/lib_b", "orig/b"), (2, "i2", "y/lib-c", "orig/c"), (3, "i3", "z/left-pad", "orig/d")], "pos long, instance_id string, repo string, original_repo string")
+    dash = F.replace("p_name", F.lit(" "), F.lit("-"))
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.expr("concat('i', p_partkey)").alias("instance_id"), F.concat_ws("/", "p_brand", dash).alias("repo"), F.expr("concat('orig/', p_partkey)").alias("original_repo"))
     out = None
-    for name in ("all", "lite", "x/lib_b", "lib-b", "orig/c", "none"):
-        part = P.resolve_split(name, rows, {"lite": ["lib-c"]}).select(F.lit(name).alias("split"), "basename", "pos")
+    for name in ("all", "all_x", "lite", "i7", "Brand#2/red-widget", "red_widget", "orig/9", "none"):
+        part = P.resolve_split(name, rows, {"lite": ["small-ring", "blue-bolt"]}).select(F.lit(name).alias("split"), "basename", "pos")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("pin_status", rows_sql([("a", "kept"), ("b", "warned"), ("c", "dropped"), ("d", "kept"), ("e", "kept")], "package, status"))
+@query("pin_status", """with v as (select 'k' || l_partkey as package, max(l_linenumber) as top, bool_or(l_linenumber = l_suppkey % 7 and l_quantity > 45) as gone from lineitem group by l_partkey), f as (select distinct 'k' || l_partkey as package, '1.' || l_linenumber as version from lineitem)
+select 'k' || p_partkey as package, case when v.gone then 'dropped' when v.package is null or p_partkey % 9 = 0 then 'kept' when exists (select 1 from f where f.package = v.package and f.version = '1.' || (p_size % 7 + 1)) then 'kept' else 'warned' end as status from part left join v on v.package = 'k' || p_partkey""")
 def pins(spark, d):
     """2.3.15."""
-    return P.pin_status(spark.createDataFrame([("a", "1.0"), ("b", "9.9"), ("c", "1.0"), ("d", "1.0"), ("e", None)], "package string, pin string"), spark.createDataFrame([("a", "1.0", False), ("b", "1.0", False), ("c", None, True), ("e", "2.0", False)], "package string, version string, gone boolean"))
+    pins = read(spark, d, "part").select(F.expr("concat('k', p_partkey)").alias("package"), F.expr("if(p_partkey % 9 = 0, null, concat('1.', p_size % 7 + 1))").alias("pin"))
+    versions = read(spark, d, "lineitem").select(F.expr("concat('k', l_partkey)").alias("package"), F.expr("concat('1.', l_linenumber)").alias("version"), F.expr("l_linenumber = l_suppkey % 7 and l_quantity > 45").alias("gone"))
+    return P.pin_status(pins, versions)
 
 
-PATHS = [("src/a.py", False, True), ("tests/test_a.py", True, False), ("src/x_test.go", True, False), ("docs/conf.py", False, False), ("setup.py", False, False), ("pkg/spec/a.js", True, False), ("pkg/a.test.ts", True, False), ("conftest.py", True, False), ("pkg/mod/core.py", False, True)]
+PATHS = [("src/a%.py", False, True), ("tests/test_a%.py", True, False), ("src/x%_test.go", True, False), ("docs/conf%.py", False, False), ("p%/setup.py", False, False), ("pkg/spec/a%.js", True, False), ("pkg/a%.test.ts", True, False), ("p%/conftest.py", True, False), ("pkg/mod/core%.py", False, True)]
 
 
-@query("source_paths", rows_sql(PATHS, "path, is_test, is_source"))
+@query("source_paths", "select p_partkey, replace(path, '%', p_partkey::varchar) as path, is_test, is_source from part join (values " + ", ".join(f"({k}, '{p}', {t}, {c})" for k, (p, t, c) in enumerate(PATHS)) + ") as t(k, path, is_test, is_source) on p_partkey % 9 = k")
 def source_paths(spark, d):
     """2.3.16."""
-    return spark.createDataFrame([(p,) for p, *_ in PATHS], "path string").select("path", P.is_test_path(F.col("path")).alias("is_test"), P.is_source_path(F.col("path"), ".py").alias("is_source"))
+    path = F.replace(F.element_at(F.array(*[F.lit(p) for p, *_ in PATHS]), (F.col("p_partkey") % 9 + 1).cast("int")), F.lit("%"), F.col("p_partkey").cast("string"))
+    return read(spark, d, "part").select("p_partkey", path.alias("path")).select("p_partkey", "path", P.is_test_path(F.col("path")).alias("is_test"), P.is_source_path(F.col("path"), ".py").alias("is_source"))
 
 
-@query("command_issues", rows_sql([(1, ""), (2, "sudo"), (3, "empty,no runner"), (4, "dangling operator")], "k, issues"))
+@query("command_issues", "select o_orderkey as k, concat_ws(',', case when o_orderkey % 5 = 2 then 'empty' end, case when o_orderkey % 3 = 1 and o_orderkey % 5 <> 2 then 'sudo' end, case when o_orderkey % 5 in (2, 4) then 'no runner' end, case when o_orderkey % 7 = 3 and o_orderkey % 5 <> 2 then 'dangling operator' end) as issues from orders")
 def commands(spark, d):
     """2.3.17."""
-    rows = spark.createDataFrame([(1, "ctest --output-on-failure"), (2, "sudo make check"), (3, " "), (4, "cargo test &&")], "k long, c string")
-    return rows.select("k", F.array_join(P.command_issues(F.col("c")), ",").alias("issues"))
+    base = "element_at(array('ctest --output-on-failure', 'make check', ' ', 'cargo test --all', 'echo '), cast(o_orderkey % 5 + 1 as int))"
+    command = f"if(o_orderkey % 5 = 2, {base}, concat(if(o_orderkey % 3 = 1, 'sudo ', ''), {base}, if(o_orderkey % 7 = 3, ' &&', '')))"
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.array_join(P.command_issues(F.expr(command)), ",").alias("issues"))
 
 
 @query("upload_decisions", "select c_custkey, (c_mktsegment = 'BUILDING') or (c_custkey % 2 = 0) as uploads from customer")
@@ -174,10 +190,12 @@ def uploads(spark, d):
     return read(spark, d, "customer").select("c_custkey", P.upload_decision(F.when(F.col("c_mktsegment") == "BUILDING", "ok").otherwise("failed"), F.col("c_custkey") % 2 == 0).alias("uploads"))
 
 
-@query("repo_urls", rows_sql([("a", "https://github.com/o/a", "o", "a"), ("d", "http://github.com/o/d.git", "o", "d")], "library, url, owner, repo"))
+@query("repo_urls", "select c_name as library, case c_custkey % 5 when 0 then 'https' else 'http' end || '://github.com/own' || c_nationkey || '/r' || c_custkey || case c_custkey % 5 when 1 then '.git' else '' end as url, 'own' || c_nationkey as owner, 'r' || c_custkey as repo from customer where c_custkey % 5 in (0, 1)")
 def repo_urls(spark, d):
-    """2.1.12."""
-    return readers.repo_urls(spark.createDataFrame([("a", "https://github.com/o/a"), ("b", "https://example.com/o/b"), ("c", "ftp://github.com/o/c"), ("d", "http://github.com/o/d.git"), ("e", "https://github.com/o")], "library string, url string"))
+    """2.1.12: other hosts, schemes and shorter paths are dropped."""
+    tail = "concat('own', c_nationkey, '/r', c_custkey)"
+    url = f"element_at(array(concat('https://github.com/', {tail}), concat('http://github.com/', {tail}, '.git'), concat('https://example.com/', {tail}), concat('ftp://github.com/', {tail}), concat('https://github.com/own', c_nationkey)), cast(c_custkey % 5 + 1 as int))"
+    return readers.repo_urls(read(spark, d, "customer").select(F.col("c_name").alias("library"), F.expr(url).alias("url")))
 
 
 @query("star_ranges", "select case when p_retailprice < 500 then '0..499' when p_retailprice < 1000 then '500..999' when p_retailprice < 5000 then '1000..4999' else '5000..' end as range, count(*) as n from part group by 1")

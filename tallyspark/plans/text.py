@@ -7,18 +7,17 @@ from pyspark.sql import functions as F
 from tallyspark.functions import classify as C
 from tallyspark.functions import text as X
 from tallyspark.functions import versions as V
-from tallyspark.plans.registry import query, read, rows_sql
+from tallyspark.plans.registry import query, read
+from tallyspark.plans.rendered import E, numbers, text_of
 
 
-@query("clean_prose", rows_sql([(1, "First sentence here. Second one."), (2, "One. Two."), (3, "abcde")], "k, text"))
+@query("clean_prose", rf"""with t as (select doc_id, string_split('Table of Contents' || chr(10) || text || chr(10) || '  x = f(y); ' || chr(10) || 'import os' || chr(10) || ' back to top ', chr(10)) as l from documents where text is not null),
+j as (select doc_id, array_to_string(list_transform(list_filter(l, lambda x: not regexp_matches(x, '{X.CRUFT}') and not regexp_matches(x, '[{{}};]\s*$|^\s*(>>>|\$ |def |class |import )') and trim(x) <> ''), lambda x: trim(x)), ' ') as s from t)
+select doc_id, case when length(s) <= 500 then s when contains(left(s, 500), '.') then left(s, 501 - strpos(reverse(left(s, 500)), '.')) else left(s, 500) end as text from j""")
 def clean(spark, d):
-    """2.10.1."""
-    rows = [(1, "Table of contents\nFirst sentence here.\nimport os\n  Second one.\n", 100), (2, "One. Two. Three is long", 14), (3, "abcdefgh", 5)]
-    out = None
-    for k, t, budget in rows:
-        part = spark.createDataFrame([(k, t)], "k long, t string").select("k", X.clean_prose(F.col("t"), budget).alias("text"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """2.10.1: navigation and code lines go, the rest is cut after a sentence."""
+    text = F.concat(F.lit("Table of Contents\n"), "text", F.lit("\n  x = f(y); \nimport os\n back to top "))
+    return read(spark, d, "documents").filter("text is not null").select("doc_id", X.clean_prose(text, 500).alias("text"))
 
 
 @query("chunks")
@@ -33,11 +32,12 @@ def head_tail(spark, d):
     return read(spark, d, "documents").select("doc_id", X.head_tail(F.col("text"), 500).alias("text"))
 
 
-@query("clean_paths", rows_sql([("ok 1", "src/a.js"), ("red", "src/a.js"), ("x", "/other/b.js")], "text, path"))
+@query("clean_paths", f"with {E} select pos, 'ok ' || i as text, case k when 3 then '/other/b' || i else 'src/a' || i end || '.js' as path from e")
 def clean_paths(spark, d):
     """2.10.4."""
-    rows = spark.createDataFrame([("ok 1", "/repo/src/a.js"), ("\x1b[31mred\x1b[0m", "./src/a.js"), ("x\x1b[2K", "/other/b.js")], "t string, p string")
-    return rows.select(X.strip_ansi(F.col("t")).alias("text"), X.strip_prefix(F.col("p"), "/repo").alias("path"))
+    text = "concat(if(p = 0, concat(chr(27), '[31m'), ''), 'ok ', if(p = 1, concat(chr(27), '[1;2K'), ''), i, if(p = 0, concat(chr(27), '[0m'), ''))"
+    path = "concat(element_at(array('/repo/src/a', './src/a', 'src/a', '/other/b'), cast(k + 1 as int)), i, '.js')"
+    return numbers(spark, d).select("pos", X.strip_ansi(F.expr(text)).alias("text"), X.strip_prefix(F.expr(path), "/repo").alias("path"))
 
 
 @query("short_hash", "select doc_id, left(sha256(text), 22) as hash from documents where text is not null")
@@ -46,11 +46,11 @@ def short_hash(spark, d):
     return read(spark, d, "documents").filter("text is not null").select("doc_id", X.short_hash(F.col("text")).alias("hash"))
 
 
-@query("model_names", rows_sql([("claude", "bedrock"), ("gpt-4o", "openai"), ("gemini", "vertex"), ("m", "other")], "name, provider"))
+@query("model_names", f"with {E} select pos, case k when 1 then 'gpt-' else 'm' end || i as name, case k when 0 then 'bedrock' when 1 then 'openai' when 2 then 'vertex' else 'other' end as provider from e")
 def models(spark, d):
     """2.10.6."""
-    rows = spark.createDataFrame([("bedrock/converse/claude",), ("openai/gpt-4o-2024-08-06",), ("vertex_ai/gemini",), ("m",)], "m string")
-    return rows.select(X.model_name(F.col("m")).alias("name"), X.provider(F.col("m")).alias("provider"))
+    name = "concat(element_at(array('bedrock/converse/m', 'openai/gpt-', 'vertex_ai/m', 'm'), cast(k + 1 as int)), i, if(p = 0, '-2024-08-06', ''))"
+    return numbers(spark, d).select("pos", X.model_name(F.expr(name)).alias("name"), X.provider(F.expr(name)).alias("provider"))
 
 
 @query("call_costs", "select l_orderkey, round(sum(case when l_linenumber % 2 = 0 then greatest(0, l_quantity - l_suppkey % 10 - 1) else l_quantity end * p_retailprice / 1e6 + l_linenumber * p_size / 1e6 + (l_suppkey % 10) * 1e-7 + 1 * 2e-7) + 1e-9, 5) as cost from lineitem join part on l_partkey = p_partkey group by l_orderkey")
@@ -63,23 +63,26 @@ def costs(spark, d):
     return both.select("l_orderkey", cost.alias("c")).groupBy("l_orderkey").agg(F.round(F.sum("c") + 1e-9, 5).alias("cost"))
 
 
-RANGES = [("^1.2.3", "1.2.3", "2.0.0"), ("^0.2.3", "0.2.3", "0.3.0"), ("^0.0.3", "0.0.3", "0.0.4"), ("~1.2.3", "1.2.3", "1.3.0"), ("~1", "1.0.0", "2.0.0"), ("1.x", "1.0.0", "2.0.0"), ("1.2.x", "1.2.0", "1.3.0"), ("1.2.3", "1.2.3", "1.2.4"), (">=1.2", "1.2.0", None), (">1.2.3", "1.2.4", None), ("<2", None, "2.0.0"), ("<=2.1.0", None, "2.1.1"), ("*", None, None), ("^1.2.3 || ^2", "1.2.3", "2.0.0")]
-
-
-@query("semver_ranges", rows_sql(RANGES, "raw, lo, hi"))
+@query("semver_ranges", f"""with {E}, v as (select pos, i % 13 as form, k as a, p as b, ms % 5 as c from e)
+select pos, case when form in (8, 9, 10) then null when form in (4, 5) then a || '.0.0' when form = 6 then a || '.' || b || '.0' when form = 7 then a || '.' || b || '.' || (c + 1) else a || '.' || b || '.' || c end as lo,
+case when form in (3, 7, 10) then null when form = 0 then case when a > 0 then (a + 1) || '.0.0' when b > 0 then '0.' || (b + 1) || '.0' else '0.0.' || (c + 1) end when form in (1, 6) then a || '.' || (b + 1) || '.0' when form in (4, 5) then (a + 1) || '.0.0' when form = 8 then a || '.' || b || '.' || c else case when form = 11 and a > 0 then (a + 1) || '.0.0' when form = 11 and b > 0 then '0.' || (b + 1) || '.0' else a || '.' || b || '.' || (c + 1) end end as hi from v""")
 def semver(spark, d):
-    """2.10.8."""
-    rows = spark.createDataFrame([(r,) for r, *_ in RANGES], "raw string").select("raw", V.semver_range(F.col("raw")).alias("r"))
+    """2.10.8: caret, tilde, bare, least, wild, greater, below, up to, any, and the first of several."""
+    abc = "concat(k, '.', p, '.', ms % 5)"
+    raw = f"element_at(array(concat('^', {abc}), concat('~', {abc}), {abc}, concat('>=', {abc}), concat(k, '.x'), concat('~', k), concat(k, '.', p, '.x'), concat('>', {abc}), concat('<', {abc}), concat('<=', {abc}), '*', concat('^', {abc}, ' || ^9'), concat('v', {abc})), cast(i % 13 + 1 as int))"
+    rows = numbers(spark, d).select("pos", V.semver_range(F.expr(raw)).alias("r"))
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ".")
-    return rows.select("raw", text("r.lo").alias("lo"), text("r.hi").alias("hi"))
+    return rows.select("pos", text("r.lo").alias("lo"), text("r.hi").alias("hi"))
 
 
-@query("detected_versions", rows_sql([("a", "3.12"), ("b", "3.10"), ("c", None)], "project, version"))
+@query("detected_versions", """with s as (select o_custkey as project, o_orderkey % 5 as f, 9 + o_orderkey % 4 as m from orders), v as (select unnest([10, 11, 12]) as n),
+ok as (select project, n, bool_and(case f when 0 then n >= m when 1 then n < m + 2 when 2 then n <= m + 1 when 3 then true else n >= 8 end) as good from s, v group by project, n)
+select project, '3.' || max(case when good then n end) as version from ok group by project""")
 def detected(spark, d):
     """2.10.19, 2.10.23, 2.4.13: the highest supported version that every signal admits."""
-    signals = spark.createDataFrame([("a", ">=3.9"), ("a", "*"), ("b", "^3.8"), ("b", "<3.11"), ("c", ">=4")], "project string, raw string")
+    raw = "element_at(array(concat('>=3.', 9 + o_orderkey % 4), concat('<3.', 11 + o_orderkey % 4), concat('<=3.', 10 + o_orderkey % 4), '*', '^3.8'), cast(o_orderkey % 5 + 1 as int))"
     supported = F.explode(F.array(*map(F.lit, ("3.10", "3.11", "3.12"))))
-    rows = signals.select("project", V.semver_range(F.col("raw")).alias("r"), supported.alias("version")).withColumn("ok", V.within(F.col("version"), F.col("r")))
+    rows = read(spark, d, "orders").select(F.col("o_custkey").alias("project"), F.expr(raw).alias("raw")).select("project", V.semver_range(F.col("raw")).alias("r"), supported.alias("version")).withColumn("ok", V.within(F.col("version"), F.col("r")))
     good = rows.groupBy("project", "version").agg(F.bool_and("ok").alias("ok"))
     return good.groupBy("project").agg(F.max_by(F.when(F.col("ok"), F.col("version")), F.when(F.col("ok"), V.parts(F.col("version")))).alias("version"))
 
@@ -92,49 +95,54 @@ def elapsed(spark, d):
     return read(spark, d, "orders").select("o_orderkey", X.elapsed(start, end).alias("elapsed"))
 
 
-ERRORS = [(401, "x", None, "auth"), (429, "usage limit reached", 5, "cap"), (429, "slow down", 5, "rate_limit"), (429, "slow down", 0, "cap"), (529, None, None, "overloaded"), (500, "", None, "server"), (400, "prompt is too long", None, "context"), (404, "", None, "client"), (200, "", None, "ok")]
-
-
-@query("http_errors", rows_sql([(k, e[3]) for k, e in enumerate(ERRORS)], "k, kind"))
+@query("http_errors", f"with {E} select pos, case i % 9 when 0 then 'auth' when 1 then case when k = 0 or p = 0 then 'cap' else 'rate_limit' end when 2 then 'overloaded' when 3 then 'server' when 4 then case when k = 1 then 'context' else 'client' end when 5 then 'client' when 6 then 'auth' when 7 then 'server' else 'ok' end as kind from e")
 def http(spark, d):
     """2.10.10."""
-    rows = spark.createDataFrame([(k, *e[:3]) for k, e in enumerate(ERRORS)], "k long, status int, body string, tokens_left int")
-    return rows.select("k", C.http_error(F.col("status"), F.col("body"), F.col("tokens_left")).alias("kind"))
+    status = "element_at(array(401, 429, 529, 500, 400, 404, 403, 503, 200), cast(i % 9 + 1 as int))"
+    body = "element_at(array('Usage Limit reached', 'prompt is too long', null, 'slow down'), cast(k + 1 as int))"
+    return numbers(spark, d).select("pos", C.http_error(F.expr(status), F.expr(body), F.expr("cast(p as int)")).alias("kind"))
 
 
-@query("infra_failures", rows_sql([(1, "none"), (2, "transient"), (3, "genuine"), (4, "transient"), (5, "genuine")], "k, kind"))
+@query("infra_failures", f"with {E} select pos, case when i < 13 or ms % 10 in (1, 2, 3) then 'infra_transient' else 'genuine' end as kind from e")
 def infra(spark, d):
-    """2.10.10."""
-    rows = spark.createDataFrame([(1, "x", 0), (2, "Connection reset by peer", 1), (3, "assert failed", 1), (4, "", 137), (5, None, None)], "k long, e string, c int")
-    return rows.select("k", C.infra_failure(F.col("e"), F.col("c")).alias("kind"))
+    """2.10.10: every sign of a lost machine or network, and the exit codes of kills."""
+    marks = ", ".join(f"'{m.upper() if k % 2 else m}'" for k, m in enumerate(C.TRANSIENT_MARKS))
+    text = f"case when i < 13 then concat('x: ', element_at(array({marks}), cast(i + 1 as int)), ' y') when k = 0 then null else concat('timed out waiting ', i) end"
+    code = "cast(element_at(array(0, 124, 137, 143, 1), cast(least(ms % 10, 4) + 1 as int)) as int)"
+    return numbers(spark, d).select("pos", C.infra_failure(F.expr(text), F.expr(f"if(ms % 10 = 9, null, {code})")).alias("kind"))
 
 
-@query("eval_outcomes", rows_sql([(1, True, False, False), (2, False, True, False), (3, False, False, True), (4, False, False, False)], "k, patch_failed, timed_out, impossible"))
+@query("eval_outcomes", f"with {E} select pos, k = 0 as patch_failed, k = 1 and p < 3 as timed_out, k = 2 and ms % 7 >= 5 as impossible from e")
 def outcomes(spark, d):
-    """2.10.11."""
-    rows = spark.createDataFrame([(1, "a PATCH_APPLY_FAILED", 1, 0, 5), (2, "x", 124, 1, 5), (3, "x", 1, 5, 5), (4, None, None, 5, 5)], "k long, log string, code int, p long, n long")
-    return rows.select("k", C.patch_failed(F.col("log")).alias("patch_failed"), C.timed_out(F.col("code")).alias("timed_out"), C.impossible_claim(F.col("p"), F.col("n"), F.col("code")).alias("impossible"))
+    """2.10.11: a patch marker near either end of a log, kills, and a clean sheet of a failed run."""
+    far = "repeat('x', 9000)"
+    log = f"case when k = 0 and p = 0 then concat('PATCH_APPLY_FAILED', {far}) when k = 0 then concat({far}, 'PATCH_APPLY_FAILED') when k = 3 then concat({far}, 'PATCH_APPLY_FAILED', {far}) else null end"
+    code = "case k when 1 then element_at(array(124, 137, 143), cast(p + 1 as int)) when 2 then 1 when 3 then 0 end"
+    rows = numbers(spark, d).select("pos", F.expr(log).alias("log"), F.expr(code).alias("code"), F.expr("if(k = 1, 0, ms % 7)").alias("p"), F.lit(5).alias("n"))
+    return rows.select("pos", C.patch_failed(F.col("log")).alias("patch_failed"), C.timed_out(F.col("code")).alias("timed_out"), C.impossible_claim(F.col("p"), F.col("n"), F.col("code")).alias("impossible"))
 
 
-@query("usage_fields", rows_sql([(1, 10, 5), (2, 7, 3), (3, None, None)], "k, prompt, completion"))
+@query("usage_fields", f"with {E} select pos, case when k < 2 then ms end as prompt, case when k < 2 then i end as completion from e")
 def usage(spark, d):
     """2.10.14: alternate names in model responses."""
-    rows = spark.createDataFrame([(1, '{"usage": {"prompt_tokens": 10, "completion_tokens": 5}}'), (2, '{"usage": {"input_tokens": 7, "output_tokens": 3}}'), (3, "not json")], "k long, j string")
+    text = """element_at(array(concat('{"usage": {"prompt_tokens": ', ms, ', "completion_tokens": ', i, '}}'), concat('{"usage": {"input_tokens": ', ms, ', "output_tokens": ', i, '}}'), 'not json', concat('{"other": ', ms, '}')), cast(k + 1 as int))"""
     v = F.try_parse_json("j")
     get = lambda a, b: F.coalesce(F.try_variant_get(v, f"$.usage.{a}", "bigint"), F.try_variant_get(v, f"$.usage.{b}", "bigint"))
-    return rows.select("k", get("prompt_tokens", "input_tokens").alias("prompt"), get("completion_tokens", "output_tokens").alias("completion"))
+    return numbers(spark, d).select("pos", F.expr(text).alias("j")).select("pos", get("prompt_tokens", "input_tokens").alias("prompt"), get("completion_tokens", "output_tokens").alias("completion"))
 
 
-@query("markdown_html", rows_sql([("<h1>T</h1>\n<p>a <strong>b</strong> <code>c</code></p>",)], "html"))
+@query("markdown_html", f"with {E} select doc, string_agg(case k when 0 then '<h' || (p + 1) || '>T' || i || '</h' || (p + 1) || '>' when 1 then '<p>a <strong>b' || i || '</strong> <code>c' || ms || '</code></p>' when 2 then '' else '<p>plain ' || i || '</p>' end, chr(10) order by pos) as html from e group by doc")
 def markdown(spark, d):
     """2.10.15."""
-    return spark.createDataFrame([("# T\na **b** `c`",)], "t string").select(X.markdown_html(F.col("t")).alias("html"))
+    line = "case k when 0 then concat(repeat('#', cast(p + 1 as int)), ' T', i) when 1 then concat('a **b', i, '** `c', ms, '`') when 2 then '' else concat('plain ', i) end"
+    return text_of(numbers(spark, d), line).select("doc", X.markdown_html(F.col("text")).alias("html"))
 
 
-@query("top_imports", rows_sql([("json,os,pkg",)], "modules"))
+@query("top_imports", f"with {E} select doc, coalesce(string_agg(distinct 'm' || i, ',' order by 'm' || i) filter (where k < 2), '') as modules from e group by doc")
 def imports(spark, d):
     """2.10.16: by pattern; nested imports are indented and do not count."""
-    return spark.createDataFrame([("import os\nfrom pkg.sub import x\nimport json\n    import hidden\nfrom pkg import y\n",)], "s string").select(F.array_join(X.top_imports(F.col("s")), ",").alias("modules"))
+    line = "element_at(array(concat('import m', i), concat('from m', i, if(p = 0, '.sub', ''), ' import x'), concat('    import n', i), concat('x = \"import o', i, '\"')), cast(k + 1 as int))"
+    return text_of(numbers(spark, d), line).select("doc", F.array_join(X.top_imports(F.col("text")), ",").alias("modules"))
 
 
 @query("token_proxy", r"select conv_id, turn, len(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', 'x', 'g'), '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]'))::bigint as n from conversations")
@@ -144,38 +152,40 @@ def tokens(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", X.token_proxy(plain).cast("long").alias("n"))
 
 
-@query("complexity", "select p_brand, case when count(*) < 10 then 'small' when count(*) < 50 then 'medium' when count(*) < 200 then 'large' else 'huge' end as bucket from part group by p_brand")
+@query("complexity", "select p_brand, case when n < 100 then 'small' when n < 500 then 'medium' when n < 2000 then 'large' else 'massive' end as bucket from (select p_brand, sum(p_size) // 1 as n from part group by p_brand) union all select 'order' || o_orderkey, case when o_orderkey % 2500 < 100 then 'small' when o_orderkey % 2500 < 500 then 'medium' when o_orderkey % 2500 < 2000 then 'large' else 'massive' end from orders")
 def complexity(spark, d):
-    """2.10.18."""
-    return read(spark, d, "part").groupBy("p_brand").agg(X.complexity(F.count("*")).alias("bucket"))
+    """2.10.18: by the number of functions."""
+    brands = read(spark, d, "part").groupBy("p_brand").agg(X.complexity(F.sum("p_size")).alias("bucket"))
+    return brands.unionByName(read(spark, d, "orders").select(F.expr("concat('order', o_orderkey)").alias("p_brand"), X.complexity(F.col("o_orderkey") % 2500).alias("bucket")))
 
 
-@query("dependencies", rows_sql([("numpy", "numpy"), ("pyyaml", "yaml"), ("python-dateutil", "dateutil"), ("my-pkg", "my_pkg")], "package, module"))
+@query("dependencies", f"with {E} select distinct doc, case k when 0 then 'numpy-' || i when 1 then 'pyyaml' when 2 then 'my-pkg-' || i else 'python-dateutil' end as package, case k when 0 then 'numpy_' || i when 1 then 'yaml' when 2 then 'my_pkg_' || i else 'dateutil' end as module from e")
 def dependencies(spark, d):
     """2.10.20, 2.10.24: merged from several files, the first of each name."""
     from tallyspark.operators.dedup import keep_first
 
-    specs = ["numpy>=1.20", "PyYAML==6.0 ; python_version<'4'", "NumPy", "python_dateutil[x]", "my.pkg @ file:///x", "my_pkg"]
-    rows = spark.createDataFrame(list(enumerate(specs)), "pos long, spec string").withColumn("package", X.package_name(F.col("spec")))
-    return keep_first(rows, ["package"], "pos").select("package", X.import_name(F.col("package")).alias("module"))
+    spec = "element_at(array(concat('NumPy.', i, '>=1.20'), concat('PyYAML==6.', i, ' ; python_version<\\'4\\''), concat(' my_pkg.', i, ' @ file:///x'), 'python_dateutil[x]'), cast(k + 1 as int))"
+    rows = numbers(spark, d).withColumn("package", X.package_name(F.expr(spec)))
+    return keep_first(rows, ["doc", "package"], "pos").select("doc", "package", X.import_name(F.col("package")).alias("module"))
 
 
-@query("frameworks", rows_sql([(1, "gtest"), (2, "catch2"), (3, "ctest"), (4, "unknown")], "k, framework"))
+@query("frameworks", f"with {E} select pos, case i % 6 when 0 then 'gtest' when 1 then 'catch2' when 2 then 'ctest' when 3 then 'doctest' when 4 then 'boost' else 'unknown' end as framework from e")
 def frameworks(spark, d):
     """2.10.22, 2.9.9."""
-    rows = spark.createDataFrame([(1, "[==========] Running 3 tests"), (2, "All tests passed (3 assertions)"), (3, "100% tests passed"), (4, "hello")], "k long, t string")
-    return rows.select("k", C.framework(F.col("t")).alias("framework"))
+    text = "concat('log ', pos, '\\n', element_at(array('[==========] Running 3 tests', 'All tests passed (3 assertions)', '97% tests passed, 1 tests failed', '[doctest] version', 'Running 3 test cases...', 'hello'), cast(i % 6 + 1 as int)))"
+    return numbers(spark, d).select("pos", C.framework(F.expr(text)).alias("framework"))
 
 
-@query("licences", rows_sql([(1, "apache-2.0"), (2, "mit"), (3, "lgpl"), (4, "unknown")], "k, licence"))
+@query("licences", f"with {E} select pos, case i % 7 when 0 then 'apache-2.0' when 1 then 'mit' when 2 then 'lgpl' when 3 then 'gpl' when 4 then 'mpl-2.0' when 5 then 'bsd' else 'unknown' end as licence from e")
 def licences(spark, d):
     """2.10.22."""
-    rows = spark.createDataFrame([(1, "Apache License Version 2.0"), (2, "Permission is hereby granted, free of charge, to any"), (3, "GNU Lesser General Public License"), (4, "mine")], "k long, t string")
-    return rows.select("k", C.licence(F.col("t")).alias("licence"))
+    text = "concat('Copyright ', i, '\\n', element_at(array('Apache License Version 2.0', 'Permission is hereby granted, free of charge, to any', 'GNU Lesser General Public License', 'GNU GENERAL PUBLIC LICENSE', 'Mozilla Public License 2.0', 'Redistribution and use in source and binary forms', 'mine'), cast(i % 7 + 1 as int)))"
+    return numbers(spark, d).select("pos", C.licence(F.expr(text)).alias("licence"))
 
 
-@query("compiler_counts", rows_sql([(1, 1, 1, 1)], "k, syntax, semantic, other"))
+@query("compiler_counts", f"with {E} select doc, count(*) filter (where k = 0) as syntax, count(*) filter (where k = 1) as semantic, count(*) filter (where k = 2) as other from e group by doc")
 def compiler(spark, d):
     """2.9.29."""
-    rows = spark.createDataFrame([(1, "A.java:1: error: ';' expected\nA.java:2: error: cannot find symbol\nnote\nA.java:3: error: odd")], "k long, t string").select("k", C.compiler_counts(F.col("t")).alias("c"))
-    return rows.select("k", *[F.col(f"c.{n}").cast("long").alias(n) for n in ("syntax", "semantic", "other")])
+    line = "concat('A.java:', i, ': ', element_at(array('error: '';'' expected', 'Error: cannot find symbol', 'error: odd', 'note: x'), cast(k + 1 as int)))"
+    rows = text_of(numbers(spark, d), line).select("doc", C.compiler_counts(F.col("text")).alias("c"))
+    return rows.select("doc", *[F.col(f"c.{n}").cast("long").alias(n) for n in ("syntax", "semantic", "other")])

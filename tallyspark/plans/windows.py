@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators import dedup as D
 from tallyspark.operators import windows as W
-from tallyspark.plans.registry import query, read, rows_sql
+from tallyspark.plans.registry import query, read
+from tallyspark.plans.rendered import E, numbers
 
 
 def events(spark, d):
@@ -86,13 +87,14 @@ def line_blocks(spark, d):
     return out.groupBy("doc_id", F.col("block").cast("long").alias("block")).agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
 
-LOG = [(1, 0, "USER hello"), (1, 1, "more"), (1, 2, "```"), (1, 3, "ASSISTANT not a turn"), (1, 4, "```"), (1, 5, "ASSISTANT hi"), (1, 6, "USER again"), (2, 0, "ASSISTANT x"), (2, 1, "ASSISTANT y")]
-
-
-@query("role_runs", rows_sql([(1, 0, "USER", 1), (1, 1, "USER", 1), (1, 2, "USER", 1), (1, 3, "USER", 1), (1, 4, "USER", 1), (1, 5, "ASSISTANT", 2), (1, 6, "USER", 3), (2, 0, "ASSISTANT", 1), (2, 1, "ASSISTANT", 1)], "doc, pos, role, run"))
+@query("role_runs", f"""with {E}, f as (select *, sum(case when i = 7 then 1 else 0 end) over w % 2 = 1 as fenced from e window w as (partition by doc order by pos rows unbounded preceding)),
+r as (select *, last_value(case when not fenced and i <> 7 and k < 2 then case k when 0 then 'USER' else 'ASSISTANT' end end ignore nulls) over (partition by doc order by pos rows unbounded preceding) as role from f),
+n as (select *, role is distinct from lag(role) over (partition by doc order by pos) as new from r)
+select doc, pos, role, sum(new::int) over (partition by doc order by pos rows unbounded preceding)::bigint as run from n""")
 def role_runs(spark, d):
     """2.6.10, 2.9.17: roles carried forward, not into code fences."""
-    rows = spark.createDataFrame(LOG, "doc long, pos long, text string")
+    text = "case when i = 7 then '```' when k = 0 then concat('USER hello ', i) when k = 1 then concat('ASSISTANT hi ', i) else concat('more ', i) end"
+    rows = numbers(spark, d).withColumn("text", F.expr(text))
     return W.role_runs(rows, ["doc"], "pos", F.nullif(F.regexp_extract("text", "^(USER|ASSISTANT) ", 1), F.lit(""))).select("doc", "pos", "role", "run")
 
 
@@ -115,15 +117,13 @@ def highest(spark, d):
     return W.highest_stage(rows)
 
 
-ERRORS = ["a.ts: error TS1", "  detail", "", "b.ts: error TS2", "  other", "a.ts: error TS1", "  detail", "  more", "", "tail", "b.ts: error TS2"]
-
-
-@query("repeated_errors", rows_sql([(1, k, ERRORS[k]) for k in (0, 1, 2, 3, 4, 8, 9)], "doc, pos, text"))
+@query("repeated_errors", f"""with {E}, n as (select *, case when k = 0 then row_number() over (partition by doc, k, i % 5 order by pos) end as nth from e),
+s as (select *, last_value(case when k = 0 then nth = 1 when k = 3 then true end ignore nulls) over (partition by doc order by pos rows unbounded preceding) as keep from n) select doc, pos from s where coalesce(keep, true)""")
 def repeated(spark, d):
-    """2.9.27."""
-    rows = spark.createDataFrame([(1, k, x) for k, x in enumerate(ERRORS)], "doc long, pos long, text string")
-    keyed = rows.withColumn("key", F.nullif(F.regexp_extract("text", r"^(\S+: error \w+)", 1), F.lit("")))
-    return W.repeated_errors(keyed, ["doc"], "pos", "key").select("doc", "pos", "text")
+    """2.9.27: an error line that came before goes, with what follows it up to a blank line."""
+    text = "case k when 0 then concat('a', i % 5, '.ts: error TS1') when 3 then '' else concat('  detail ', i) end"
+    keyed = numbers(spark, d).withColumn("text", F.expr(text)).withColumn("key", F.nullif(F.regexp_extract("text", r"^(\S+: error \w+)", 1), F.lit("")))
+    return W.repeated_errors(keyed, ["doc"], "pos", "key").select("doc", "pos")
 
 
 @query("distinct_then_top", "with f as (select *, row_number() over (partition by p_name, p_brand order by p_partkey) as n from part) select p_partkey, p_name, p_brand, p_size from f where n = 1 order by p_size desc, p_partkey limit 100")
@@ -148,13 +148,13 @@ def patches(spark, d):
     return D.distinct_patches(read(spark, d, "documents").select(F.col("text").alias("patch"), F.col("doc_id").alias("pos")))
 
 
-@query("version_order", rows_sql([(1, "1.2"), (2, "1.9.9"), (3, "1.10"), (4, "1.10.1"), (5, "2.0.0rc1"), (6, "10.0")], "place, version"))
+@query("version_order", f"with {E} select doc, pos, row_number() over (partition by doc order by k, i, p, pos) as place from e")
 def version_order(spark, d):
     """2.7.5."""
     from pyspark.sql import Window
 
-    rows = spark.createDataFrame([(v,) for v in ("1.10", "10.0", "1.2", "1.10.1", "2.0.0rc1", "1.9.9")], "version string")
-    return rows.select(F.row_number().over(Window.orderBy(D.version_key(F.col("version")), "version")).cast("long").alias("place"), "version")
+    rows = numbers(spark, d).withColumn("version", F.expr("concat(k, '.', i, '.', p, if(ms % 2 = 0, 'rc1', ''))"))
+    return rows.select("doc", "pos", F.row_number().over(Window.partitionBy("doc").orderBy(D.version_key(F.col("version")), "pos")).cast("long").alias("place"))
 
 
 @query("import_levels", """with recursive edges as (select distinct p_partkey as src, p_partkey // 2 as dst from part where p_partkey % 11 > 0 and p_partkey >= 2), nodes as (select p_partkey as node from part),
@@ -181,10 +181,13 @@ def aliases(spark, d):
     return D.alias_keys(rows)
 
 
-@query("narrowed_versions", rows_sql([(1, "2,3"), (2, "1,2"), (3, "1,2,3")], "k, versions"))
+@query("narrowed_versions", """with t as (select p_partkey as k, p_size % 8 as a, p_partkey % 4 as b from part), v as (select k, unnest([1, 2, 3]) as v, a, b from t),
+one as (select *, v >= a as in_a, (a <= 3) as some_a from v), two as (select k, v, b, case when some_a then in_a else true end as ok from one),
+three as (select *, v <= b as in_b, bool_or(ok and v <= b) over (partition by k) as some_b from two)
+select k, string_agg(v::varchar, ',' order by v) as versions from three where ok and (not some_b or in_b) group by k""")
 def narrowed(spark, d):
-    """2.8.2."""
-    rows = spark.createDataFrame([(1, [1, 2, 3], [2, 3, 4], [9]), (2, [1, 2, 3], [7], [1, 2]), (3, [1, 2, 3], [], [])], "k long, a array<int>, b array<int>, c array<int>")
+    """2.8.2: narrowed to each set wherever that leaves something."""
+    rows = read(spark, d, "part").select(F.col("p_partkey").alias("k"), F.expr("array(1, 2, 3)").alias("a"), F.expr("filter(array(0, 1, 2, 3, 9), x -> x >= p_size % 8)").alias("b"), F.expr("filter(array(1, 2, 3), x -> x <= p_partkey % 4)").alias("c"))
     return rows.select("k", F.array_join(D.narrowed(F.col("a"), F.col("b"), F.col("c")).cast("array<string>"), ",").alias("versions"))
 
 
