@@ -71,9 +71,11 @@ def gate_and_score(results: DataFrame) -> DataFrame:
     )
 
 
-def with_pending(results: DataFrame, taxonomy: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row for each run and concern of the (small, fixed) taxonomy; a check that did not run is PENDING."""
-    every = runs.select("run", F.explode(F.array(*[F.struct(F.lit(r["concern"]).alias("concern"), F.lit(r["gating"]).alias("gating"), F.lit(r["weight"]).alias("weight")) for r in taxonomy.collect()])).alias("t")).select("run", "t.*")
+def with_pending(results: DataFrame, taxonomy: list[tuple[str, bool, float, int]], runs: DataFrame) -> DataFrame:
+    """One row for each run and concern of the taxonomy, constants (concern, gating, weight, layer);
+    a check that did not run is PENDING."""
+    concerns = [F.struct(F.lit(concern).alias("concern"), F.lit(gating).alias("gating"), F.lit(weight).alias("weight")) for concern, gating, weight, _ in taxonomy]
+    every = runs.select("run", F.explode(F.array(*concerns)).alias("t")).select("run", "t.*")
     return every.join(results.select("run", "concern", "status"), ["run", "concern"], "left").withColumn("status", F.coalesce("status", F.lit("PENDING")))
 
 

@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 #: How each language counts. ``bounded``: only inventory ids can pass;
 #: ``denominator``: greatest = larger of inventory and report, inventory = its size,
 #: observed = the report's if there is one; ``excluded``: statuses left out of the mean;
-#: ``precedence``: which of several results of one test holds.
+#: ``precedence``: which of several results of one test holds; ``markers``: results that
+#: are no tests; ``claims``: passes are counted from what programs print.
 LANG_POLICY = [
-    ("python", True, "greatest", ["INVENTORY_MISMATCH", "PYTEST_INFRA_ERROR"], "last"),
-    ("go", False, "greatest", ["PATCH_APPLY_FAILED", "TEST_SUITE_TIMEOUT", "OUTPUT_MISSING", "GO_TEST_CRASH"], "fail"),
-    ("rust", False, "greatest", ["INFRA_FETCH_FAILED", "TEST_SUITE_TIMEOUT", "CHEAT_DETECTED"], "fail"),
-    ("c", False, "greatest", ["COMPILE_FAILED", "OUTPUT_MISSING"], "last"),
-    ("cpp", False, "greatest", ["CHEAT_DETECTED", "COMPILE_FAILED", "BUILD_CONFIGURE_FAILED", "OUTPUT_MISSING", "TEST_SUITE_TIMEOUT", "PATCH_APPLY_FAILED"], "last"),
-    ("js", False, "greatest", [], "fail"),
-    ("ts", True, "inventory", ["SUITE_CRASHED", "PATCH_APPLY_FAILED", "TEST_SUITE_TIMEOUT", "COMPILE_FAILED", "OUTPUT_MISSING"], "pass"),
-    ("java", False, "observed", [], "last"),
+    ("python", True, "greatest", ["INVENTORY_MISMATCH", "PYTEST_INFRA_ERROR"], "last", [], False),
+    ("go", False, "greatest", ["PATCH_APPLY_FAILED", "TEST_SUITE_TIMEOUT", "OUTPUT_MISSING", "GO_TEST_CRASH"], "fail", [], False),
+    ("rust", False, "greatest", ["INFRA_FETCH_FAILED", "TEST_SUITE_TIMEOUT", "CHEAT_DETECTED"], "fail", [], False),
+    ("c", False, "greatest", ["COMPILE_FAILED", "OUTPUT_MISSING"], "last", [], False),
+    ("cpp", False, "greatest", ["CHEAT_DETECTED", "COMPILE_FAILED", "BUILD_CONFIGURE_FAILED", "OUTPUT_MISSING", "TEST_SUITE_TIMEOUT", "PATCH_APPLY_FAILED"], "last", [], True),
+    ("js", False, "greatest", [], "fail", [], False),
+    ("ts", True, "inventory", ["SUITE_CRASHED", "PATCH_APPLY_FAILED", "TEST_SUITE_TIMEOUT", "COMPILE_FAILED", "OUTPUT_MISSING"], "pass", [], False),
+    ("java", False, "observed", [], "last", ["TIMEOUT", "COMPILATION"], False),
 ]
-POLICY_SCHEMA = "lang string, bounded boolean, denominator string, excluded array<string>, precedence string"
+POLICY_SCHEMA = "lang string, bounded boolean, denominator string, excluded array<string>, precedence string, markers array<string>, claims boolean"
 
 PASSING = ("passed", "xfail")
 
@@ -66,7 +67,7 @@ def average_pass_rate(rows: DataFrame, excluded: list[str], by: list[str] | None
 
 def resolved_results(results: DataFrame, policy: DataFrame) -> DataFrame:
     """One row a test (lang, repo, test_id, status, duration) under the language's precedence."""
-    rows = results.join(F.broadcast(policy.select("lang", "precedence")), "lang")
+    rows = results.join(F.broadcast(policy.select("lang", "precedence", "markers")), "lang").filter(~F.array_contains("markers", F.col("test_id").cast("string")))
     failing = F.col("status").isin("FAILED", "ERROR")
     rank = (
         F.when(F.col("precedence") == "fail", F.when(failing, 2).when(F.col("status") == "PASSED", 1).otherwise(0))
@@ -93,6 +94,31 @@ def policy_scores(inventory: DataFrame, results: DataFrame, policy: DataFrame) -
     return both.select("lang", "repo", num.alias("num_passed"), tests.alias("num_tests"), F.coalesce(F.try_divide(num, tests), F.lit(0.0)).alias("rate"), F.coalesce("runtime", F.lit(0.0)).alias("runtime"))
 
 
+def run_outcomes(runs: DataFrame, policy: DataFrame) -> DataFrame:
+    """Scored runs (lang, repo, status, exit_code, num_passed, num_tests, compile_errors) with their rates.
+
+    Where a language counts what programs print (``claims``), a clean sheet of a run
+    that exited with an error is forged: its status is CHEAT_DETECTED and it passed nothing.
+    """
+    rows = runs.join(F.broadcast(policy.select("lang", "claims")), "lang")
+    forged = F.coalesce(F.col("claims") & (F.col("exit_code") != 0) & (F.col("num_tests") > 0) & (F.col("num_passed") >= F.col("num_tests")), F.lit(False))
+    passed = F.when(forged, 0).otherwise(F.col("num_passed"))
+    return rows.select(
+        "lang", "repo", F.when(forged, "CHEAT_DETECTED").otherwise(F.col("status")).alias("status"), passed.alias("num_passed"), "num_tests",
+        F.coalesce(F.try_divide(passed, F.col("num_tests")), F.lit(0.0)).alias("rate"), "compile_errors",
+    )
+
+
+def policy_means(outcomes: DataFrame, policy: DataFrame) -> DataFrame:
+    """(lang, mean, scored, excluded, compile_errors): the mean rate of the runs whose status a
+    language does not exclude, 0.0 without any, and the mean compile errors of all."""
+    rows = outcomes.join(F.broadcast(policy.select("lang", "excluded")), "lang")
+    out = F.array_contains("excluded", F.coalesce("status", F.lit("")))
+    return rows.groupBy("lang").agg(
+        F.coalesce(F.avg(F.when(~out, F.col("rate"))), F.lit(0.0)).alias("mean"), F.count_if(~out).alias("scored"), F.count_if(out).alias("excluded"), F.avg("compile_errors").alias("compile_errors")
+    )
+
+
 def status_breakdown(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status").agg(F.count("*").alias("n")).orderBy("status")
 

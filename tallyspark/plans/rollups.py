@@ -102,7 +102,7 @@ count(*) filter (where status = 'PASS') as n_pass, count(*) filter (where status
 def gate(spark, d):
     """2.5.13, 2.10.12, 2.2.8: checks unioned, absent ones pending, then gate and score for all runs at once."""
     runs = read(spark, d, "documents").select(F.col("doc_id").alias("run"))
-    return R.gate_and_score(R.with_pending(checks(spark, d), taxonomy(spark), runs))
+    return R.gate_and_score(R.with_pending(checks(spark, d), TAXONOMY, runs))
 
 
 @query("coverage_manifest", f"with {TAX_SQL}, have as (select concern, count(*) as n from (select distinct concern from (with {CHECKS} select concern from checks) union all select 'rerun') group by concern) select layer, count(*) filter (where n is not null) as enforced, count(*) filter (where n is null) as pending, count(*) filter (where n > 1) as duplicates from tax left join have using (concern) group by layer")

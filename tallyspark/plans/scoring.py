@@ -61,9 +61,10 @@ def _lang(c="doc_id"):
     return F.element_at(F.array(*map(F.lit, LANGS)), (F.col(c) % 8 + 1).cast("int"))
 
 
-@query("lang_policy_scores", f"""with inv as (select {CASES} as lang, source as repo, doc_id as test_id from documents where doc_id % 10 < 9),
-res as (select {CASES} as lang, source as repo, doc_id as test_id, case when quality = 1 then 'PASSED' else 'FAILED' end as status, 1.0 as duration, 0 as pos from labels join documents using (doc_id)
-  union all select {CASES}, source, doc_id, case when toxic = 1 then 'FAILED' else 'PASSED' end, 2.0, 1 from labels join documents using (doc_id) where doc_id % 3 = 0),
+@query("lang_policy_scores", f"""with inv as (select {CASES} as lang, source as repo, case when doc_id % 10 = 9 then doc_id + 10000000 else doc_id end::varchar as test_id from documents),
+res as (select {CASES} as lang, source as repo, doc_id::varchar as test_id, case when quality = 1 then 'PASSED' else 'FAILED' end as status, 1.0 as duration, 0 as pos from labels join documents using (doc_id)
+  union all select {CASES}, source, doc_id::varchar, case when toxic = 1 then 'FAILED' else 'PASSED' end, 2.0, 1 from labels join documents using (doc_id) where doc_id % 3 = 0
+  union all select distinct {CASES}, source, 'TIMEOUT', 'FAILED', 3.0, 0 from labels join documents using (doc_id) where source = 'src2' and {CASES} <> 'java'),
 pol as (select * from (values ('python', true, 'greatest', 'last'), ('go', false, 'greatest', 'fail'), ('rust', false, 'greatest', 'fail'), ('c', false, 'greatest', 'last'), ('cpp', false, 'greatest', 'last'), ('js', false, 'greatest', 'fail'), ('ts', true, 'inventory', 'pass'), ('java', false, 'observed', 'last')) as p(lang, bounded, denominator, precedence)),
 ranked as (select res.*, row_number() over (partition by res.lang, repo, test_id order by case precedence when 'fail' then case status when 'FAILED' then 2 else 1 end when 'pass' then case status when 'PASSED' then 1 else 0 end else 0 end desc, pos desc) as rn from res join pol using (lang)),
 one as (select * from ranked where rn = 1),
@@ -76,10 +77,14 @@ select lang, repo, case when bounded then f else least(p, tests) end as num_pass
 def lang_policy(spark, d):
     """2.5.3 and 2.13: eight languages from one policy table."""
     docs, labels = read(spark, d, "documents").select("doc_id", "source"), read(spark, d, "labels")
-    inv = docs.filter("doc_id % 10 < 9").select(_lang().alias("lang"), F.col("source").alias("repo"), F.col("doc_id").alias("test_id"))
+    # the ids of a tenth of the inventory are others than the results'
+    inv = docs.select(_lang().alias("lang"), F.col("source").alias("repo"), F.expr("cast(if(doc_id % 10 = 9, doc_id + 10000000, doc_id) as string)").alias("test_id"))
     both = labels.join(docs, "doc_id")
-    rows = lambda ok, took, pos, df: df.select(_lang().alias("lang"), F.col("source").alias("repo"), F.col("doc_id").alias("test_id"), F.when(ok, "PASSED").otherwise("FAILED").alias("status"), F.lit(took).alias("duration"), F.lit(pos).alias("pos"))
+    rows = lambda ok, took, pos, df: df.select(_lang().alias("lang"), F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("test_id"), F.when(ok, "PASSED").otherwise("FAILED").alias("status"), F.lit(took).alias("duration"), F.lit(pos).alias("pos"))
     res = rows(F.col("quality") == 1, 1.0, 0, both).unionByName(rows(F.col("toxic") != 1, 2.0, 1, both.filter("doc_id % 3 = 0")))
+    # markers of lost runs, which count for nothing in Java and as a failing test elsewhere
+    lost = both.filter("source = 'src2'").select(_lang().alias("lang"), F.col("source").alias("repo"), F.lit("TIMEOUT").alias("test_id"), F.lit("FAILED").alias("status"), F.lit(3.0).alias("duration"), F.lit(0).alias("pos"))
+    res = res.unionByName(lost)
     out = S.policy_scores(inv, res, spark.createDataFrame(S.LANG_POLICY, S.POLICY_SCHEMA))
     return out.withColumn("rate", F.round("rate", 6)).withColumn("runtime", F.round("runtime", 3))
 
@@ -114,3 +119,22 @@ def leaderboard(spark, d):
     both = read(spark, d, "documents").select("doc_id", "lang", "source", "n_chars").join(read(spark, d, "labels"), "doc_id", "left")
     rows = both.groupBy(F.col("lang").alias("submission"), F.col("source").alias("name")).agg(F.avg(F.coalesce("quality", F.lit(0))).alias("passed"), (F.sum("n_chars") / 1000.0).alias("sum"))
     return S.leaderboard(rows, spark.createDataFrame([("src1",), ("src2",), ("src5",)], "name string"))
+
+
+RUNS_SQL = f"""runs as (select {CASES} as lang, source || '.' || (doc_id % 40) as repo, case doc_id % 12 when 0 then 'COMPILE_FAILED' when 1 then 'OUTPUT_MISSING' when 2 then 'TEST_SUITE_TIMEOUT' when 3 then 'CHEAT_DETECTED' when 4 then null else 'TESTS_RAN' end as status,
+  doc_id % 3 as exit_code, doc_id % 9 as num_passed, 8 - doc_id % 2 * 8 * (doc_id % 5 // 4) as num_tests, n_chars % 7 as compile_errors from documents)"""
+EXCLUDED_SQL = "ex as (select * from (values " + ", ".join(f"('{p[0]}', '{x}')" for p in S.LANG_POLICY for x in p[3]) + ") as t(lang, status))"
+
+
+@query("lang_policy_means", f"""with {RUNS_SQL}, {EXCLUDED_SQL}, f as (select *, lang = 'cpp' and exit_code <> 0 and num_tests > 0 and num_passed >= num_tests as forged from runs),
+o as (select lang, case when forged then 'CHEAT_DETECTED' else status end as status, case when num_tests = 0 then 0 when forged then 0 else num_passed / num_tests end as rate, compile_errors from f),
+m as (select o.*, ex.lang is not null as out from o left join ex on o.lang = ex.lang and o.status = ex.status)
+select lang, round(coalesce(avg(rate) filter (where not out), 0), 6) as mean, count(*) filter (where not out) as scored, count(*) filter (where out) as excluded, round(avg(compile_errors), 6) as compile_errors from m group by lang""")
+def lang_policy_means(spark, d):
+    """2.5.3: statuses that a language leaves out of its mean, forged sheets of C++, compile errors of C."""
+    status = "case doc_id % 12 when 0 then 'COMPILE_FAILED' when 1 then 'OUTPUT_MISSING' when 2 then 'TEST_SUITE_TIMEOUT' when 3 then 'CHEAT_DETECTED' when 4 then null else 'TESTS_RAN' end"
+    numbers = [F.expr(x).alias(n) for n, x in (("status", status), ("exit_code", "doc_id % 3"), ("num_passed", "doc_id % 9"), ("num_tests", "8 - doc_id % 2 * 8 * (doc_id % 5 div 4)"), ("compile_errors", "n_chars % 7"))]
+    runs = read(spark, d, "documents").select(_lang().alias("lang"), F.expr("concat(source, '.', doc_id % 40)").alias("repo"), *numbers)
+    policy = spark.createDataFrame(S.LANG_POLICY, S.POLICY_SCHEMA)
+    out = S.policy_means(S.run_outcomes(runs, policy), policy)
+    return out.withColumn("mean", F.round("mean", 6)).withColumn("compile_errors", F.round("compile_errors", 6))
