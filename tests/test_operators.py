@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import text as X
 from tallyspark.operators import joins as J
+from tallyspark.operators import parsers as P
 from tallyspark.operators import windows as W
 from tallyspark.sources import readers, writers
 from tallyspark.streaming import turns as T
@@ -132,3 +133,10 @@ def test_needles_of_any_length_are_found(spark, most_chars):
     assert (30, 0) in want
     got = [tuple(r) for r in J.leaked_needles(left, right, most_chars).select("text_id", "needle_id").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_static_names_nest_and_unescape(spark):
+    source = "describe('a', () => {\n  describe(`b`, () => {\n    it('it\\'s', f);\n  });\n  test(\"x\", f);\n  test(\"x\", g);\n});\n// it('gone')\nit('top', f);\nitem('no');"
+    rows = spark.createDataFrame([(1, source), (2, None), (3, "")], "doc int, text string")
+    got = sorted((r.doc, r.name) for r in P.static_tests(rows).collect())
+    assert got == [(1, "a > b > it's"), (1, "a > x"), (1, "top")]
