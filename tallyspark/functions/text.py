@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.arrays import running
@@ -141,3 +141,21 @@ def toml_escape(text: Column) -> Column:
     for plain, escaped in (('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
         out = F.replace(out, F.lit(plain), F.lit(escaped))
     return out
+
+
+#: The criteria of every rubric (id, concern, whether anchors can settle it).
+BACKBONE = (
+    ("bb.intent_fidelity", "L2.INTENT_FIDELITY", True),
+    ("bb.reasoning_faithfulness", "L2.REASONING_FAITHFULNESS", False),
+    ("bb.stage_legitimacy", "L2.STAGE_LEGITIMACY", False),
+    ("bb.oracle_strength", "L2.ORACLE_STRENGTH", True),
+)
+
+
+def backbone_criteria(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(BACKBONE, "id string, concern string, anchorable boolean")
+
+
+def without_answer_key(text: Column) -> Column:
+    """A criterion that does not name the file of the answer key."""
+    return F.regexp_replace(text, r"(?i)TRUTH\.md", "the behavioral contract")
