@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyspark.sources.shared import Scratch
+
 ENTRY = "instance_id string, repo string, original_repo string, base_commit string, reference_commit string, src_dir string, setup map<string,string>, test map<string,string>"
 
 
@@ -46,10 +48,51 @@ def surefire(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.concat_ws("#", "_classname", "_name").alias("test_id"), status.alias("status"))
 
 
-def logs(spark: SparkSession, path: str, glob: str = "*.log", file_cap: int = 50 << 20) -> DataFrame:
-    """(path, text) of log files up to a size."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return files.filter(F.col("length") <= file_cap).select("path", F.decode("content", "utf-8").alias("text"))
+def first_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, records, first): the first entry of each JSON file, and how many it has.
+
+    A file holds a list, an object with one in entries, instances or data, or a bare object.
+    """
+    entry = "struct<" + ",".join(f.replace(" ", ":", 1) for f in _fields()) + ">"
+    files = spark.read.text(path, wholetext=True).select(F.url_decode(F.input_file_name()).alias("file"), F.trim("value").alias("value"))
+    wrapped = F.from_json("value", f"entries array<{entry}>, instances array<{entry}>, data array<{entry}>")
+    bare = F.from_json("value", ", ".join(_fields()))
+    listed = F.when(F.col("value").startswith("["), F.from_json("value", f"array<{entry}>"))
+    entries = files.select("file", F.coalesce(listed, wrapped["entries"], wrapped["instances"], wrapped["data"], F.array(bare)).alias("e"))
+    return entries.select("file", F.size("e").alias("records"), F.get("e", F.lit(0)).alias("first"))
+
+
+#: The files of a log scan, and its caps on one file and on all.
+LOG_FILES = r"\.(log|txt|stderr|stdout)$"
+FILE_CAP, TOTAL_CAP = 50 << 20, 500 << 20
+
+
+def log_files(spark: SparkSession, path: str, file_cap: int = FILE_CAP, total_cap: int = TOTAL_CAP) -> DataFrame:
+    """(path, length, state) of log files: ``read``, ``too_large``, or ``after_cap`` for those that
+    follow, in the order of paths, once the files read reach ``total_cap`` bytes.
+
+    Sizes are summed up in ranges of paths, so no task sees all of them; no content is read.
+    Empty files are no part of a scan.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    found = found.filter(F.col("path").rlike(LOG_FILES)).withColumn("counted", F.when(F.col("length") <= file_cap, F.col("length")).otherwise(0))
+    # folders and names compare one by one, as a walk of the folders would meet them
+    found = found.withColumn("parts", F.split("path", "/")).repartitionByRange("parts").withColumn("part", F.spark_partition_id())
+    found = Scratch(spark, "logs", lasting=True).saved(found)
+    by_part, inside = Window.orderBy("part"), Window.partitionBy("part").orderBy("parts")
+    ends = found.groupBy("part").agg(F.sum("counted").alias("n")).withColumn("base", F.sum("n").over(by_part) - F.col("n")).drop("n")
+    before = F.col("base") + F.sum("counted").over(inside) - F.col("counted")
+    state = F.when(before >= total_cap, "after_cap").when(F.col("length") > file_cap, "too_large").otherwise("read")
+    return found.join(ends, "part").select("path", "length", state.alias("state"))
+
+
+def logs(spark: SparkSession, path: str, file_cap: int = FILE_CAP, total_cap: int = TOTAL_CAP) -> DataFrame:
+    """(path, state, text) of log files; a file beyond a cap keeps its row, without text."""
+    state = log_files(spark, path, file_cap, total_cap)
+    texts = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.col("path").rlike(LOG_FILES) & (F.col("length") <= file_cap))
+    texts = texts.select("path", F.decode("content", "utf-8").alias("text"))
+    wanted = state.filter("state = 'read'").select("path")
+    return state.select("path", "state").join(texts.join(wanted, "path", "left_semi"), "path", "left")
 
 
 def run_modules(files: DataFrame) -> DataFrame:

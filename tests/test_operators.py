@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import text as X
 from tallyspark.operators import joins as J
 from tallyspark.operators import parsers as P
+from tallyspark.operators import summaries as S
 from tallyspark.operators import windows as W
 from tallyspark.sources import readers, writers
 from tallyspark.streaming import turns as T
@@ -91,7 +92,8 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs/x.log").write_text("hello")
     (tmp_path / "logs/big.log").write_text("x" * 100)
-    assert [r.text for r in readers.logs(spark, str(tmp_path / "logs"), file_cap=50).collect()] == ["hello"]
+    got = {r.path.rsplit("/", 1)[1]: (r.state, r.text) for r in readers.logs(spark, str(tmp_path / "logs"), file_cap=50).collect()}
+    assert got == {"x.log": ("read", "hello"), "big.log": ("too_large", None)}
     (tmp_path / "c.csv").write_text("library,url\na,https://github.com/o/a\nb,https://example.com/o/b\n")
     assert [r.repo for r in readers.candidates_csv(spark, str(tmp_path / "c.csv")).collect()] == ["a"]
 
@@ -140,3 +142,49 @@ def test_static_names_nest_and_unescape(spark):
     rows = spark.createDataFrame([(1, source), (2, None), (3, "")], "doc int, text string")
     got = sorted((r.doc, r.name) for r in P.static_tests(rows).collect())
     assert got == [(1, "a > b > it's"), (1, "a > x"), (1, "top")]
+
+
+def test_log_files_stop_behind_the_cap_in_the_order_of_a_walk(spark, tmp_path):
+    sizes = {"a/b/x.log": 30, "a/c.log": 30, "a-b/y.log": 30, "b/z.txt": 30, "b/no.bin": 5, "c.log": 0}
+    for name, n in sizes.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x" * n)
+    got = {r.path.split(tmp_path.name + "/", 1)[1]: r.state for r in readers.log_files(spark, str(tmp_path), total_cap=60).collect()}
+    assert got == {"a/b/x.log": "read", "a/c.log": "read", "a-b/y.log": "after_cap", "b/z.txt": "after_cap"}
+
+
+def _js_plain(text):
+    """Blocks of failures line by line."""
+    out, inside = [], False
+    for line in text.split("\n"):
+        if line.startswith(("FAIL ", "● ")):
+            inside = True
+        elif inside and (line.startswith(("PASS ", "Test Suites:")) or line.strip() == "" and out and out[-1].strip() == ""):
+            inside = False
+        if inside:
+            out.append(line)
+    return "\n".join(out) if out else text
+
+
+def test_blocks_of_failures_equal_a_plain_loop(spark):
+    rng = random.Random(8)
+    logs = ["\n".join(rng.choice(["FAIL a", "PASS b", "", " ", "x", "● y"]) for _ in range(rng.randint(0, 60))) for _ in range(60)] + [""]
+    rows = spark.createDataFrame(list(enumerate(logs)), "doc int, text string")
+    got = {r.doc: r.t for r in rows.select("doc", S.js_sections(F.col("text"), "ts").alias("t")).collect()}
+    # a block of empty lines alone is no section
+    assert got == {k: _js_plain(t) for k, t in enumerate(logs)}
+
+
+def test_sections_keep_their_most_and_start_before_counts(spark):
+    log = "\n".join(["early"] * 9 + [f"n{k}" for k in range(6)] + ["test cases: 2"] + [f"CHECK({k})" for k in range(60)] + [f"x.cc: error: {k}" for k in range(40)])
+    rows = spark.createDataFrame([(1, log), (2, None), (3, ""), (4, "nothing here")], "doc int, text string")
+    got = {r.doc: r.text for r in S.sections(rows, "cpp").collect()}
+    assert got[1].split("\n\n") == ["test cases: 2", "\n".join(f"CHECK({k})" for k in range(50)), "\n".join(f"x.cc: error: {k}" for k in range(30))]
+    assert (got[2], got[3], got[4]) == ("", "", "nothing here")
+    assert {r.doc: r.tier for r in S.summaries(rows, "cpp", most=500, side=100).collect()} == {1: 3, 2: 0, 3: 0, 4: 0}
+
+
+def test_stubs_of_c(spark):
+    source = "static int f(int a) {\n  STUB_PANIC;\n  STUB_PANIC;\n}\nint g(void);\nvoid *h(char *c)\n{\n  STUB_PANIC;\n}"
+    rows = spark.createDataFrame([(1, source), (2, None)], "doc int, text string")
+    assert sorted((r.name, r.line) for r in S.stubs(rows, "c").collect()) == [("f", 1), ("h", 6)]
