@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import bpe, fingerprint, html_extract, langid, minhash, packing, quality, ring, secret_scan, token_counts
+from tallyspark.llm import bpe, fill_middle, fingerprint, html_extract, langid, merkle, minhash, packing, quality, ring, secret_scan, simhash, token_counts
 from tallyspark.llm.common import table
 
 
@@ -26,8 +26,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": _over("documents", token_counts.document_counts),
         "op9_packing": _over("documents", packing.packed),
         "op10_quality": _over("documents", quality.document_quality),
+        "op11_fill_middle": _over("documents", fill_middle.middles),
+        "op12_simhash": _over("documents", simhash.near_fingerprints),
+        "op13_merkle": _over("documents", merkle.verified_rows),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality": quality.oracle_sql()}
+    return {"op10_quality": quality.oracle_sql(), "op11_fill_middle": fill_middle.oracle_sql(), "op13_merkle": merkle.oracle_sql()}
