@@ -233,7 +233,10 @@ class Forest:
                         yield *[rows[at + k][c] for c in names], top["digest"], top["top"], path + rest
 
         # each partition of both sides is one element, so the leaves do not move again
-        both = self.rows.mapPartitionsWithIndex(lambda p, it: [(p, list(it))]).zip(sent.mapPartitions(lambda it: [list(it)]))
+        own = self.rows.mapPartitionsWithIndex(lambda p, it: [(p, list(it))])
+        if more := sent.getNumPartitions() - parts:  # few keys make few ranges, and a session may deal more widely
+            own = own.union(self.spark.sparkContext.parallelize([(parts + k, []) for k in range(more)], more))
+        both = own.zip(sent.mapPartitions(lambda it: [list(it)]))
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema)
         return self.spark.createDataFrame(both.mapPartitions(prove), f"{columns}, root string, top string, proof {PROOF}")
 
