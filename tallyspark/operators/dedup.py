@@ -1,12 +1,10 @@
-"""Distinct, winners, version order, set operations and import order."""
+"""Distinct, winners, version order and set operations."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.sources.shared import Scratch
-
 
 def keep_first(rows: DataFrame, keys: list[str], pos: str) -> DataFrame:
     """The first row of each key in arrival order."""
@@ -56,30 +54,3 @@ def narrowed(a: Column, b: Column, c: Column) -> Column:
     """a, narrowed to b and then to c wherever that leaves something."""
     ab = F.when(F.size(F.array_intersect(a, b)) > 0, F.array_intersect(a, b)).otherwise(a)
     return F.when(F.size(F.array_intersect(ab, c)) > 0, F.array_intersect(ab, c)).otherwise(ab)
-
-
-def import_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, level): level 0 imports nothing, level k only lower ones; nodes on or behind a
-    cycle, from which no order follows, come last with level -1.
-
-    Each round settles all nodes whose imports are settled, so rounds are as many as
-    the longest chain. ``edges`` (src imports dst); results of a round are written to
-    the shared folder.
-    """
-    scratch, lasting = Scratch(nodes.sparkSession, "levels"), Scratch(nodes.sparkSession, "levels-out", lasting=True)
-    left = scratch.saved(nodes.select("node").distinct())
-    deps = scratch.saved(edges.filter("src <> dst").select("src", "dst").distinct().join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-    out, level = None, 0
-    while True:
-        free = left.join(deps.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-        free = scratch.saved(free.withColumn("level", F.lit(level)))
-        if free.isEmpty():
-            break
-        out = free if out is None else out.unionByName(free)
-        left = scratch.saved(left.join(free, "node", "left_anti"))
-        deps = scratch.saved(deps.join(free.select(F.col("node").alias("dst")), "dst", "left_anti"))
-        level += 1
-    rest = left.withColumn("level", F.lit(-1))
-    done = lasting.saved(rest if out is None else out.unionByName(rest))
-    scratch.clear()
-    return done

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.operators import dedup as D
+from tallyspark.operators import graphs as G
 from tallyspark.operators import windows as W
 from tallyspark.plans.registry import query, read
 from tallyspark.plans.rendered import E, numbers
@@ -157,19 +158,25 @@ def version_order(spark, d):
     return rows.select("doc", "pos", F.row_number().over(Window.partitionBy("doc").orderBy(D.version_key(F.col("version")), "pos")).cast("long").alias("place"))
 
 
-@query("import_levels", """with recursive edges as (select distinct p_partkey as src, p_partkey // 2 as dst from part where p_partkey % 11 > 0 and p_partkey >= 2), nodes as (select p_partkey as node from part),
-cyc as (select node from nodes where node % 97 = 5), bad(node) as (select node from cyc union select e.src from edges e join bad on e.dst = bad.node),
-lv(node, level) as (select node, 0 from nodes where node not in (select src from edges) and node not in (select node from bad) union all select e.src, lv.level + 1 from edges e join lv on e.dst = lv.node where e.src not in (select node from bad))
-select node, max(level) as level from lv group by node union all select node, -1 from (select distinct node from bad)""")
+@query(
+    "import_levels",
+    """with recursive parts as (select p_partkey as p from part), edges as (select p as src, p // 2 as dst from parts where p % 11 > 0 and p >= 2),
+lv(node, level) as (
+  select p, case when p % 97 = 5 then 1 else 0 end from parts
+  union all select e.src, lv.level + 1 from edges e join lv on e.dst = lv.node
+)
+select node, max(level) as level, false as broken from lv group by node
+union all select -2 * p - k, 0, true from parts, (values (0), (1)) as g(k) where p % 97 = 5""",
+)
 def levels(spark, d):
-    """2.7.7: levels of an import graph; what hangs on a cycle comes last."""
-    part = read(spark, d, "part")
-    nodes = part.select(F.col("p_partkey").alias("node"))
-    tree = part.filter("p_partkey % 11 > 0 and p_partkey >= 2").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).alias("dst"))
-    loops = part.filter("p_partkey % 97 = 5").select(F.col("p_partkey").alias("src"), (-F.col("p_partkey") - 1).alias("dst"))
-    back = loops.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    ghosts = back.select(F.col("src").alias("node"))
-    return D.import_levels(nodes.unionByName(ghosts), tree.unionByName(loops).unionByName(back)).filter("node >= 0")
+    """2.7.7: levels of an import graph; each cycle of three nodes holds another of two."""
+    part = read(spark, d, "part").select(F.col("p_partkey").alias("p"))
+    tree = part.filter("p % 11 > 0 and p >= 2").select(F.col("p").alias("src"), F.floor(F.col("p") / 2).alias("dst"))
+    p, g, h = F.col("p"), -2 * F.col("p"), -2 * F.col("p") - 1
+    ring = F.explode(F.array(*[F.struct(a.alias("src"), b.alias("dst")) for a, b in ((p, g), (g, p), (g, h), (h, p), (h, g))]))
+    loops = part.filter("p % 97 = 5").select(ring.alias("e")).select("e.*")
+    nodes = part.select(p.alias("node")).union(loops.select("src"))
+    return G.import_levels(nodes, tree.unionByName(loops))
 
 
 @query("alias_keys", """with r as (select p_partkey as pos, 'i' || p_size as instance_id, p_brand || '/' || replace(p_name, ' ', '-') as repo, replace(p_name, ' ', '_') as original_repo, replace(p_name, ' ', '-') as base from part)
