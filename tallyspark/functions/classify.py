@@ -47,19 +47,38 @@ def impossible_claim(passed: Column, tests: Column, exit_code: Column) -> Column
     return F.coalesce((exit_code != 0) & (tests > 0) & (passed >= tests), F.lit(False))
 
 
+#: What the compiler says of broken syntax, and of names and types.
+SYNTAX_ERRORS = [
+    "';' expected", "'{' expected", "'}' expected", "')' expected", "'(' expected", "class, interface, enum, or record expected", "class, interface, or enum expected",
+    "reached end of file while parsing", "illegal start of expression", "illegal start of type", "illegal character", "unclosed string literal", "unclosed character literal",
+    "unclosed comment", "identifier expected",
+]
+SEMANTIC_ERRORS = ["cannot find symbol", "package ", "cannot access", "cannot resolve", "does not exist", "not a statement", "incompatible types", "method does not override"]
+
+
 def compiler_counts(output: Column) -> Column:
-    """(syntax, semantic, other): error lines by kind, syntax tested first."""
-    errors = F.filter(F.split(output, "\n", -1), lambda x: x.rlike("(?i)error"))
-    syntax = lambda x: x.rlike("expected|illegal start|unclosed|reached end of file")
-    semantic = lambda x: ~syntax(x) & x.rlike("cannot find symbol|incompatible types|does not exist|already defined")
-    n_syntax, n_semantic = F.size(F.filter(errors, syntax)), F.size(F.filter(errors, semantic))
+    """(syntax, semantic, other): the lines with ``: error:`` by kind, syntax tested first."""
+
+    def holds(marks: list[str]):
+        return lambda line: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(line, m))
+
+    errors = F.transform(F.filter(F.split(output, r"\r\n|\n|\r", -1), lambda x: F.contains(x, F.lit(": error:"))), lambda x: F.lower(x))
+    syntax, semantic = holds(SYNTAX_ERRORS), holds(SEMANTIC_ERRORS)
+    n_syntax, n_semantic = F.size(F.filter(errors, syntax)), F.size(F.filter(errors, lambda x: ~syntax(x) & semantic(x)))
     return F.struct(n_syntax.alias("syntax"), n_semantic.alias("semantic"), (F.size(errors) - n_syntax - n_semantic).alias("other"))
 
 
 def framework(output: Column) -> Column:
-    """The test framework that wrote an output, by its first marker."""
+    """The test framework that wrote an output, by the first of its marks that occurs."""
     mark = lambda s: F.contains(output, F.lit(s))
-    return F.when(mark("[==========]"), "gtest").when(mark("[doctest]"), "doctest").when(mark("test cases:") | mark("All tests passed"), "catch2").when(mark("*** No errors detected") | mark("Running ") & mark("test case"), "boost").when(mark("% tests passed"), "ctest").otherwise("unknown")
+    return (
+        F.when(mark("[==========]") | mark("[ RUN      ]") | mark("[  PASSED  ]"), "gtest")
+        .when(mark("[doctest]"), "doctest")
+        .when(mark("test cases:") & mark("assertions:"), "catch2")
+        .when(mark("*** No errors detected ***") | mark("*** Errors were detected"), "boost_test")
+        .when(mark("Test project") | output.rlike(r"[0-9]% tests passed"), "ctest")
+        .otherwise("unknown")
+    )
 
 
 def licence(text: Column) -> Column:

@@ -9,8 +9,28 @@ from tallyspark.functions.arrays import running
 
 ANSI = r"\x1b\[[0-9;?]*[ -/]*[@-~]"
 
-#: Lines that belong to a page's navigation.
-CRUFT = r"(?i)^\s*(table of contents|previous topic|next topic|skip to (main )?content|search|edit on github|back to top|index|menu|navigation)\s*$"
+#: Lines of a documentation page that are no prose: whole titles, titles
+#: before one name, and lines that begin so.
+CRUFT_TITLES = [
+    "Search", "Summary", "Read more", "List of all items", "Auto Trait Implementations", "Blanket Implementations", "Trait Implementations", "Implementations",
+    "Structs", "Enums", "Traits", "Modules", "Functions", "Type Aliases", "Macros",
+]
+CRUFT_NAMED, CRUFT_STARTS = ["Crate", "Struct", "Enum", "Trait", "Module"], [r"502 Bad Gateway\b", "error sending request:"]
+#: Titles that end the prose of a documentation page.
+BOUNDARY_TITLES = [
+    "Modules", "Structs", "Enums", "Traits", "Functions", "Macros", "Constants", "Type Aliases", "Re-exports", "Trait Implementations", "Auto Trait Implementations",
+    "Blanket Implementations", "Implementations",
+]
+
+#: Navigation: such a line, a version number, or nothing but commas and semicolons.
+CRUFT = rf"^\s*({'|'.join(CRUFT_TITLES)}|({'|'.join(CRUFT_NAMED)}) \S+|\d+(\.\d+){{1,3}}(\s*\([^)]+\))?\s*·?)\s*$|^\s*({'|'.join(CRUFT_STARTS)})|^[\s,;]+$"
+#: Where the listing of an interface begins: such a title, or an item of code.
+BOUNDARY = rf"^\s*({'|'.join(BOUNDARY_TITLES)})\s*$|^\s*impl(<.*>)?\s|^\s*pub (fn|const|static|struct|enum|trait|mod)\s"
+#: A paragraph that is code: an item, a field, what ends in braces or a semicolon, a comment,
+#: an attribute, type parameters, what closes or follows a parameter list.
+CODE = r"^\s*(impl|pub|fn|let|use|struct|enum|trait|mod|where|type|const|static|async)\b|[{};]\s*$|^\s*//|^\s*[A-Za-z_]\w*:\s*[A-Z].*[,;]\s*$|<[A-Z][A-Za-z0-9_]*(,\s*[A-Z][A-Za-z0-9_]*)*>|^\s*#\[.*\]\s*$|^\s*\)[^a-zA-Z]*$|^\s*->\s|^\s*[&*]?(mut\s+)?self\b"
+
+SENTENCE_END = r"[.!?][)\]\"'`]?\s*$"
 
 
 def strip_ansi(text: Column) -> Column:
@@ -63,13 +83,34 @@ def _halved(state: Column, at: Column, top: Column) -> Column:
     return F.struct(F.when(below, mid + 1).otherwise(state["lo"]).alias("lo"), F.when(below, state["hi"]).otherwise(mid).alias("hi"))
 
 
-def clean_prose(text: Column, budget: int) -> Column:
-    """Text without navigation lines and code-like lines, cut after the last sentence within ``budget``."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: ~x.rlike(CRUFT) & ~x.rlike(r"[{};]\s*$|^\s*(>>>|\$ |def |class |import )") & (F.trim(x) != ""))
-    joined = F.array_join(F.transform(lines, lambda x: F.trim(x)), " ")
-    head = F.substring(joined, 1, budget)
-    back = F.locate(".", F.reverse(head))
-    return F.when(F.length(joined) <= budget, joined).when(back > 0, F.substring(head, F.lit(1), F.length(head) - back + 1)).otherwise(head)
+def clean_prose(text: Column, budget: int, rust: bool = True) -> Column:
+    """The prose of a documentation page, cut after the last sentence within ``budget``.
+
+    Navigation lines go. Lines are joined to paragraphs, which end at an empty line or
+    after a sentence. ``rust``: the page ends where its interface is listed, navigation
+    titles aside; paragraphs of code, of under three words, mostly of paths or signs,
+    or that are neither a sentence nor a short heading go.
+    Otherwise only paragraphs of one word go.
+    """
+    lines = F.filter(F.transform(F.split(text, r"\r\n|\n|\r", -1), lambda x: F.rtrim(x)), lambda x: ~x.rlike(CRUFT))
+    if rust:
+        stop = F.array_position(F.transform(lines, lambda x: x.rlike(BOUNDARY)), True)
+        lines = F.when(stop > 0, F.slice(lines, F.lit(1), (stop - 1).cast("int"))).otherwise(lines)
+    # a blank line or the end of a sentence ends a paragraph
+    marked = F.array_join(F.transform(lines, lambda x: F.when(F.trim(x) == "", "\n").otherwise(F.concat(F.trim(x), F.when(x.rlike(SENTENCE_END), "\n").otherwise(" ")))), "")
+    paragraphs = F.filter(F.transform(F.split(marked, "\n", -1), lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
+
+    def prose(p: Column) -> Column:
+        words = F.split(p, " ", -1)
+        if not rust:
+            return F.size(words) >= 2
+        paths, signs = F.size(F.filter(words, lambda w: F.contains(w, F.lit("::")))), F.size(F.filter(words, lambda w: ~w.rlike(r"\p{L}")))
+        whole = p.rlike(SENTENCE_END) | p.rlike(r"^[A-Z][A-Za-z0-9 ,/.&'’\-]{1,80}$") & (F.size(words) <= 6)
+        return ~p.rlike(CODE) & (F.size(words) >= 3) & (paths <= F.floor(F.size(words) / 3)) & (signs <= F.floor(F.size(words) / 2)) & whole
+
+    joined = F.array_join(F.filter(paragraphs, prose), "\n\n")
+    cut = F.rtrim(F.regexp_extract(F.substring(joined, 1, budget), r"(?s)^.+[.!?]", 0))
+    return F.when(F.length(joined) <= budget, joined).otherwise(cut)
 
 
 def short_hash(text: Column) -> Column:

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from tallyspark.functions import lexing
+from tallyspark.shipping import ship
+
 #: Status words of runners.
 GO_STATUS = {"pass": "PASSED", "fail": "FAILED", "skip": "SKIPPED"}
 JEST_STATUS = {"passed": "PASSED", "failed": "FAILED", "pending": "SKIPPED", "skipped": "SKIPPED", "todo": "SKIPPED", "disabled": "SKIPPED"}
@@ -374,12 +377,23 @@ def turn_events(turns: DataFrame) -> DataFrame:
 
 
 def balanced(docs: DataFrame) -> DataFrame:
-    """(doc, ok): braces close in order outside of comments and strings."""
-    code = F.regexp_replace("text", r"(?s)//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"", "")
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("low"))
-    step = lambda acc, c: F.struct((acc["n"] + F.when(c == "{", 1).otherwise(-1)).alias("n"), F.least(acc["low"], acc["n"] + F.when(c == "{", 1).otherwise(-1)).alias("low"))
-    end = F.aggregate(F.regexp_extract_all(code, F.lit(r"([{}])"), F.lit(1)), start, step)
-    return docs.select("doc", ((end["n"] == 0) & (end["low"] >= 0)).alias("ok"))
+    """(doc, ok): brackets close outside of comments and literals, braces in order."""
+    ship(docs.sparkSession)
+    return docs.select("doc", lexing.balanced_source(F.col("text")).alias("ok"))
+
+
+def test_items(docs: DataFrame) -> DataFrame:
+    """(doc, pos, item, is_test): the items at the top of each source."""
+    ship(docs.sparkSession)
+    found = docs.select("doc", F.posexplode(lexing.source_items(F.col("text"))).alias("pos", "x"))
+    return found.select("doc", "pos", F.col("x.text").alias("item"), "x.is_test")
+
+
+def restored_sources(model: DataFrame, base: DataFrame) -> DataFrame:
+    """(doc, text): each model's source with the tests of the base's source of the same doc."""
+    ship(model.sparkSession)
+    both = model.join(base.select("doc", F.col("text").alias("base")), "doc", "left")
+    return both.select("doc", lexing.restored_tests(F.col("text"), F.col("base")).alias("text"))
 
 
 def sse_streams(events: DataFrame) -> DataFrame:
@@ -395,8 +409,30 @@ def sse_streams(events: DataFrame) -> DataFrame:
     return out.select("stream", F.array_join(F.transform("parts", lambda p: p["delta"]), "").alias("text"), F.when(F.col("failed"), "failed").when(F.col("complete"), "complete").otherwise("truncated").alias("outcome"))
 
 
-def marker_seen(chunks: DataFrame, marker: str, carry: int = 64) -> DataFrame:
-    """(stream, seen): a marker in the chunks of a stream, also where it is split between two."""
-    w = Window.partitionBy("stream").orderBy("pos")
-    whole = F.concat(F.coalesce(F.right(F.lag("chunk").over(w), F.lit(carry)), F.lit("")), "chunk")
-    return chunks.withColumn("hit", F.contains(whole, F.lit(marker))).groupBy("stream").agg(F.bool_or("hit").alias("seen"))
+#: Events that end a stream.
+TERMINAL = ["response.completed", "response.incomplete", "response.failed"]
+
+
+def terminal_markers(types: list[str] = TERMINAL) -> list[str]:
+    """How an event is told: its JSON type, compact or spaced, or an event line."""
+    return [form.format(t) for t in types for form in ('"type":"{}"', '"type": "{}"', "\nevent: {}")]
+
+
+def marker_seen(chunks: DataFrame, markers: list[str], carry: int = 64) -> DataFrame:
+    """(stream, seen): one of the markers in the chunks of a stream, over any number of chunks.
+
+    Each chunk is read after the last ``carry`` characters before it, at least the
+    longest marker; a stream begins as after a line end. Empty and null chunks add nothing.
+    """
+    if carry < max(map(len, markers)):
+        raise ValueError("carry is shorter than a marker")
+    # chunks that are not empty hold a character each, so so many of them hold the carry
+    w = Window.partitionBy("stream").orderBy("pos").rowsBetween(-carry, -1)
+    held = chunks.withColumn("chunk", F.coalesce("chunk", F.lit(""))).filter("chunk <> ''").withColumn("end", F.right("chunk", F.lit(carry)))
+    before = F.right(F.concat(F.lit("\n"), F.array_join(F.collect_list("end").over(w), "")), F.lit(carry))
+    whole = held.withColumn("whole", F.concat(before, "chunk"))
+    hit = F.lit(False)
+    for m in markers:
+        hit = hit | F.contains("whole", F.lit(m))
+    seen = whole.withColumn("hit", hit).groupBy("stream").agg(F.bool_or("hit").alias("seen"))
+    return chunks.select("stream").distinct().join(seen, "stream", "left").select("stream", F.coalesce("seen", F.lit(False)).alias("seen"))

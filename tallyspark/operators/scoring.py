@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 #: ``denominator``: greatest = larger of inventory and report, inventory = its size,
 #: observed = the report's if there is one; ``excluded``: statuses left out of the mean;
 #: ``precedence``: which of several results of one test holds; ``markers``: results that
-#: are no tests; ``claims``: passes are counted from what programs print.
+#: are no tests; ``claims``: passes are counted from what programs print; ``unscored``: what
+#: else leaves a run out of the mean (no tests, or the run's infra flag); ``zeroed``:
+#: statuses of runs that passed nothing.
 LANG_POLICY = [
-    ("python", True, "greatest", ["INVENTORY_MISMATCH", "PYTEST_INFRA_ERROR"], "last", [], False),
-    ("go", False, "greatest", ["PATCH_APPLY_FAILED", "TEST_SUITE_TIMEOUT", "OUTPUT_MISSING", "GO_TEST_CRASH"], "fail", [], False),
-    ("rust", False, "greatest", ["INFRA_FETCH_FAILED", "TEST_SUITE_TIMEOUT", "CHEAT_DETECTED"], "fail", [], False),
-    ("c", False, "greatest", ["COMPILE_FAILED", "OUTPUT_MISSING"], "last", [], False),
-    ("cpp", False, "greatest", ["CHEAT_DETECTED", "COMPILE_FAILED", "BUILD_CONFIGURE_FAILED", "OUTPUT_MISSING", "TEST_SUITE_TIMEOUT", "PATCH_APPLY_FAILED"], "last", [], True),
-    ("js", False, "greatest", [], "fail", [], False),
-    ("ts", True, "inventory", ["SUITE_CRASHED", "PATCH_APPLY_FAILED", "TEST_SUITE_TIMEOUT", "COMPILE_FAILED", "OUTPUT_MISSING"], "pass", [], False),
-    ("java", False, "observed", [], "last", ["TIMEOUT", "COMPILATION"], False),
+    ("python", True, "greatest", ["INVENTORY_MISMATCH", "PYTEST_INFRA_ERROR"], "last", [], False, "", []),
+    ("go", False, "greatest", ["PATCH_APPLY_FAILED", "TEST_SUITE_TIMEOUT", "OUTPUT_MISSING", "GO_TEST_CRASH"], "fail", [], False, "", []),
+    ("rust", False, "greatest", ["INFRA_FETCH_FAILED", "TEST_SUITE_TIMEOUT", "CHEAT_DETECTED"], "fail", [], False, "", []),
+    ("c", False, "greatest", ["COMPILE_FAILED", "OUTPUT_MISSING"], "last", [], False, "", []),
+    ("cpp", False, "greatest", ["CHEAT_DETECTED", "COMPILE_FAILED", "BUILD_CONFIGURE_FAILED", "OUTPUT_MISSING", "TEST_SUITE_TIMEOUT", "PATCH_APPLY_FAILED"], "last", [], True, "", ["COMPILE_FAILED_MODEL"]),
+    ("js", False, "greatest", [], "fail", [], False, "infra", []),
+    ("ts", True, "inventory", ["SUITE_CRASHED", "PATCH_APPLY_FAILED", "TEST_SUITE_TIMEOUT", "COMPILE_FAILED", "OUTPUT_MISSING"], "pass", [], False, "", []),
+    ("java", False, "observed", [], "last", ["TIMEOUT", "COMPILATION"], False, "no tests", []),
 ]
-POLICY_SCHEMA = "lang string, bounded boolean, denominator string, excluded array<string>, precedence string, markers array<string>, claims boolean"
+POLICY_SCHEMA = "lang string, bounded boolean, denominator string, excluded array<string>, precedence string, markers array<string>, claims boolean, unscored string, zeroed array<string>"
 
 PASSING = ("passed", "xfail")
 
@@ -95,25 +97,32 @@ def policy_scores(inventory: DataFrame, results: DataFrame, policy: DataFrame) -
 
 
 def run_outcomes(runs: DataFrame, policy: DataFrame) -> DataFrame:
-    """Scored runs (lang, repo, status, exit_code, num_passed, num_tests, compile_errors) with their rates.
+    """Scored runs (lang, repo, status, exit_code, num_passed, num_tests, compile_errors,
+    infra_failed if there is such a flag) with their rates.
 
     Where a language counts what programs print (``claims``), a clean sheet of a run
-    that exited with an error is forged: its status is CHEAT_DETECTED and it passed nothing.
+    that exited with an error is forged: its status is CHEAT_DETECTED and it passed
+    nothing; nor did a run of a ``zeroed`` status.
     """
-    rows = runs.join(F.broadcast(policy.select("lang", "claims")), "lang")
+    if "infra_failed" not in runs.columns:
+        runs = runs.withColumn("infra_failed", F.lit(False))
+    rows = runs.join(F.broadcast(policy.select("lang", "claims", "zeroed")), "lang")
     forged = F.coalesce(F.col("claims") & (F.col("exit_code") != 0) & (F.col("num_tests") > 0) & (F.col("num_passed") >= F.col("num_tests")), F.lit(False))
-    passed = F.when(forged, 0).otherwise(F.col("num_passed"))
+    nothing = forged | F.array_contains("zeroed", F.coalesce("status", F.lit("")))
+    passed = F.when(nothing, 0).otherwise(F.col("num_passed"))
     return rows.select(
         "lang", "repo", F.when(forged, "CHEAT_DETECTED").otherwise(F.col("status")).alias("status"), passed.alias("num_passed"), "num_tests",
-        F.coalesce(F.try_divide(passed, F.col("num_tests")), F.lit(0.0)).alias("rate"), "compile_errors",
+        F.coalesce(F.try_divide(passed, F.col("num_tests")), F.lit(0.0)).alias("rate"), "compile_errors", F.coalesce("infra_failed", F.lit(False)).alias("infra_failed"),
     )
 
 
 def policy_means(outcomes: DataFrame, policy: DataFrame) -> DataFrame:
-    """(lang, mean, scored, excluded, compile_errors): the mean rate of the runs whose status a
-    language does not exclude, 0.0 without any, and the mean compile errors of all."""
-    rows = outcomes.join(F.broadcast(policy.select("lang", "excluded")), "lang")
-    out = F.array_contains("excluded", F.coalesce("status", F.lit("")))
+    """(lang, mean, scored, excluded, compile_errors): the mean rate of the runs that a language
+    does not leave out, by status, for having no tests or by its infra flag; 0.0 without any,
+    and the mean compile errors of all."""
+    rows = outcomes.join(F.broadcast(policy.select("lang", "excluded", "unscored")), "lang")
+    empty = (F.col("unscored") == "no tests") & (F.coalesce("num_tests", F.lit(0)) <= 0)
+    out = F.array_contains("excluded", F.coalesce("status", F.lit(""))) | empty | (F.col("unscored") == "infra") & F.col("infra_failed")
     return rows.groupBy("lang").agg(
         F.coalesce(F.avg(F.when(~out, F.col("rate"))), F.lit(0.0)).alias("mean"), F.count_if(~out).alias("scored"), F.count_if(out).alias("excluded"), F.avg("compile_errors").alias("compile_errors")
     )

@@ -289,16 +289,39 @@ def digests(spark, d):
     return read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))).alias("a")).select("conv_id", F.substring(F.array_join(F.transform("a", lambda x: x["p"]), "\n"), 1, 200).alias("digest"))
 
 
-@query("balanced", f"with {E}, t as (select *, sum(case k when 0 then 1 when 1 then -1 else 0 end) over (partition by doc order by pos rows unbounded preceding) as n from e) select doc, min(n) >= 0 and arg_max(n, pos) = 0 as ok from t group by doc union all select doc + 1000000, true from e group by doc")
+@query("balanced", f"with {E}, t as (select *, sum(case k when 0 then 1 when 1 then -1 else 0 end) over (partition by doc order by pos rows unbounded preceding) as n from e) select doc, min(n) >= 0 and arg_max(n, pos) = 0 as ok from t group by doc union all select doc + 1000000, count(*) filter (where i = 36) = 0 from e group by doc")
 def balanced(spark, d):
-    """2.9.25: braces in comments and strings do not count."""
+    """2.9.25: braces in comments, also nested ones, strings, raw strings and characters do not count."""
     e = numbers(spark, d)
-    signs = "element_at(array('{', '}', 'x = \"}\"; // }', '/* { */ y'), cast(k + 1 as int))"
-    paired = "concat('fn f', pos, '() {', if(k = 2, ' // }', ''), '\\n}')"
+    odd = """element_at(array('x = "}"; // }', '/* { /* } */ { */ y', 'r#"{ " } }"# z', "'{' '}' b'}' 'a {}", '"\\\\" [ "', 'br##"}"#"##'), cast(i % 6 + 1 as int))"""
+    signs = f"case k when 0 then '{{' when 1 then '}}' else {odd} end"
+    paired = f"concat('fn f', pos, '() {{ ', {odd}, '\\n}}', if(i = 36, ' [', ''))"
     texts = text_of(e, signs).unionByName(text_of(e, paired).withColumn("doc", F.col("doc") + 1_000_000))
     return P.balanced(texts)
 
 
+#: A source of one item an event; what ``k`` 2 and 3 stand on are tests.
+ITEM = """concat(element_at(array('/// of ', '// {\\n#[inline]\\n// ', '#[test]\\n// ', '#[cfg(test)]\\n#[x]\\n// '), cast(k + 1 as int)), pos, '\\n', element_at(array('fn f', 'mod m', 'fn t', 'mod u'), cast(k + 1 as int)), pos, '() {\\n  let s = "}";\\n}')"""
+ITEM_SQL = """(case k when 0 then '/// of ' when 1 then '// {' || chr(10) || '#[inline]' || chr(10) || '// ' when 2 then '#[test]' || chr(10) || '// ' else '#[cfg(test)]' || chr(10) || '#[x]' || chr(10) || '// ' end || pos || chr(10) ||
+  case k when 0 then 'fn f' when 1 then 'mod m' when 2 then 'fn t' else 'mod u' end || pos || '() {' || chr(10) || '  let s = "}";' || chr(10) || '}')"""
+
+
+@query("test_items", f"with {E} select doc, row_number() over (partition by doc order by pos) - 1 as pos, {ITEM_SQL} as item, k >= 2 as is_test from e")
+def test_items(spark, d):
+    """2.9.25: the items of a source and which of them are tests."""
+    return P.test_items(text_of(numbers(spark, d), ITEM))
+
+
+@query("restored_sources", f"""with {E}, m as (select doc, string_agg({ITEM_SQL}, chr(10) order by pos) filter (where k < 2) as own from e where pos % 2 = 0 group by doc), whole as (select doc, string_agg({ITEM_SQL}, chr(10) order by pos) as text from e where pos % 2 = 0 group by doc),
+b as (select doc, string_agg({ITEM_SQL}, chr(10) order by pos) filter (where k >= 2) as tests from e where pos % 2 = 1 group by doc)
+select doc, sha256(case when tests is null then text else coalesce(own, '') || chr(10) || chr(10) || tests || chr(10) end) as digest from whole join m using (doc) left join b using (doc)""")
+def restored_sources(spark, d):
+    """2.9.25: what a model wrote, with the tests of the base."""
+    e = numbers(spark, d)
+    out = P.restored_sources(text_of(e.filter("pos % 2 = 0"), ITEM), text_of(e.filter("pos % 2 = 1"), ITEM))
+    return out.select("doc", F.sha2("text", 256).alias("digest"))
+
+
 @query("sse_streams", f"""with {E}, t as (select *, case when doc % 3 = 0 and row_number() over (partition by doc order by pos desc) = 1 then 'done' when k = 3 and i = 36 then 'failed' end as ends from e)
 select doc as stream, coalesce(string_agg(case when ends is null and k < 2 then 'w' || i || ' ' end, '' order by pos), '') as text, case when bool_or(coalesce(ends = 'failed', false)) then 'failed' when bool_or(coalesce(ends = 'done', false)) then 'complete' else 'truncated' end as outcome from t group by doc""")
 def sse(spark, d):
@@ -311,11 +334,17 @@ def sse(spark, d):
     return P.sse_streams(rows.select(F.col("doc").alias("stream"), "pos", F.expr(line).alias("line")))
 
 
-@query("marker_seen", f"with {E}, t as (select *, lead(k) over (partition by doc order by pos) as after from e) select doc as stream, coalesce(bool_or(k = 2 and after = 3), false) or bool_or(i = 36) as seen from t group by doc")
+@query("marker_seen", f"with {E}, t as (select *, row_number() over (partition by doc order by pos) as n, count(*) over (partition by doc) as c from e) select doc as stream, coalesce(bool_or(i = 36 and k < 2), false) or bool_or(n = 1 and doc % 3 < 2 and c >= 6) as seen from t group by doc")
 def markers(spark, d):
-    """2.11.3: a marker that is split between two chunks."""
-    chunk = "case when i = 36 then 'x response.completed y' when k = 2 then 'abc resp' when k = 3 then 'onse.completed' else concat('none ', i, ' of it response') end"
-    return P.marker_seen(numbers(spark, d).select(F.col("doc").alias("stream"), "pos", F.expr(chunk).alias("chunk")), "response.completed")
+    """2.11.3: a marker that is split between many chunks; without its quotes or its line end it is none."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("doc").orderBy("pos"))
+    pieces = """element_at(if(doc % 3 = 0, array('{"ty', 'pe": "resp', '', 'onse', '.compl', 'eted"}'), if(doc % 3 = 1, array('event', ': resp', 'onse.', 'fai', 'led', ' {}'), array('x event', ': resp', 'onse.', 'fai', 'led', ' {}'))), n)"""
+    chunk = f"""case when n <= 6 then {pieces} when i = 36 and k < 2 then '{{"type":"response.incomplete"}}' when k = 2 then 'event: response.completed' else concat(' ', i) end"""
+    whole = """case when i = 36 and k < 2 and n <= 6 then concat(chunk, '\\nevent: response.failed', chunk) else chunk end"""
+    rows = numbers(spark, d).withColumn("n", n).withColumn("chunk", F.expr(chunk))
+    return P.marker_seen(rows.select(F.col("doc").alias("stream"), "pos", F.expr(whole).alias("chunk")), P.terminal_markers())
 
 
 @query("pytest_reports", f"with {E} select doc, 't::' || pos as test_id, case when k = 1 then 'failed' else 'passed' end as outcome, ms / 1000.0 as duration from e where k < 2")

@@ -121,19 +121,19 @@ def leaderboard(spark, d):
     return S.leaderboard(rows, spark.createDataFrame([("src1",), ("src2",), ("src5",)], "name string"))
 
 
-RUNS_SQL = f"""runs as (select {CASES} as lang, source || '.' || (doc_id % 40) as repo, case doc_id % 12 when 0 then 'COMPILE_FAILED' when 1 then 'OUTPUT_MISSING' when 2 then 'TEST_SUITE_TIMEOUT' when 3 then 'CHEAT_DETECTED' when 4 then null else 'TESTS_RAN' end as status,
+RUNS_SQL = f"""runs as (select {CASES} as lang, source || '.' || (doc_id % 40) as repo, case doc_id % 12 when 0 then 'COMPILE_FAILED' when 1 then 'OUTPUT_MISSING' when 2 then 'TEST_SUITE_TIMEOUT' when 3 then 'CHEAT_DETECTED' when 4 then null when 5 then 'COMPILE_FAILED_MODEL' else 'TESTS_RAN' end as status, doc_id % 7 = 2 as infra_failed,
   doc_id % 3 as exit_code, doc_id % 9 as num_passed, 8 - doc_id % 2 * 8 * (doc_id % 5 // 4) as num_tests, n_chars % 7 as compile_errors from documents)"""
 EXCLUDED_SQL = "ex as (select * from (values " + ", ".join(f"('{p[0]}', '{x}')" for p in S.LANG_POLICY for x in p[3]) + ") as t(lang, status))"
 
 
 @query("lang_policy_means", f"""with {RUNS_SQL}, {EXCLUDED_SQL}, f as (select *, lang = 'cpp' and exit_code <> 0 and num_tests > 0 and num_passed >= num_tests as forged from runs),
-o as (select lang, case when forged then 'CHEAT_DETECTED' else status end as status, case when num_tests = 0 then 0 when forged then 0 else num_passed / num_tests end as rate, compile_errors from f),
-m as (select o.*, ex.lang is not null as out from o left join ex on o.lang = ex.lang and o.status = ex.status)
+o as (select lang, case when forged then 'CHEAT_DETECTED' else status end as status, case when num_tests = 0 then 0 when forged or lang = 'cpp' and status = 'COMPILE_FAILED_MODEL' then 0 else num_passed / num_tests end as rate, compile_errors, num_tests, infra_failed from f),
+m as (select o.*, ex.lang is not null or o.lang = 'java' and num_tests = 0 or o.lang = 'js' and infra_failed as out from o left join ex on o.lang = ex.lang and o.status = ex.status)
 select lang, round(coalesce(avg(rate) filter (where not out), 0), 6) as mean, count(*) filter (where not out) as scored, count(*) filter (where out) as excluded, round(avg(compile_errors), 6) as compile_errors from m group by lang""")
 def lang_policy_means(spark, d):
     """2.5.3: statuses that a language leaves out of its mean, forged sheets of C++, compile errors of C."""
-    status = "case doc_id % 12 when 0 then 'COMPILE_FAILED' when 1 then 'OUTPUT_MISSING' when 2 then 'TEST_SUITE_TIMEOUT' when 3 then 'CHEAT_DETECTED' when 4 then null else 'TESTS_RAN' end"
-    numbers = [F.expr(x).alias(n) for n, x in (("status", status), ("exit_code", "doc_id % 3"), ("num_passed", "doc_id % 9"), ("num_tests", "8 - doc_id % 2 * 8 * (doc_id % 5 div 4)"), ("compile_errors", "n_chars % 7"))]
+    status = "case doc_id % 12 when 0 then 'COMPILE_FAILED' when 1 then 'OUTPUT_MISSING' when 2 then 'TEST_SUITE_TIMEOUT' when 3 then 'CHEAT_DETECTED' when 4 then null when 5 then 'COMPILE_FAILED_MODEL' else 'TESTS_RAN' end"
+    numbers = [F.expr(x).alias(n) for n, x in (("status", status), ("exit_code", "doc_id % 3"), ("num_passed", "doc_id % 9"), ("num_tests", "8 - doc_id % 2 * 8 * (doc_id % 5 div 4)"), ("compile_errors", "n_chars % 7"), ("infra_failed", "doc_id % 7 = 2"))]
     runs = read(spark, d, "documents").select(_lang().alias("lang"), F.expr("concat(source, '.', doc_id % 40)").alias("repo"), *numbers)
     policy = spark.createDataFrame(S.LANG_POLICY, S.POLICY_SCHEMA)
     out = S.policy_means(S.run_outcomes(runs, policy), policy)

@@ -11,13 +11,18 @@ from tallyspark.plans.registry import query, read
 from tallyspark.plans.rendered import E, numbers, text_of
 
 
-@query("clean_prose", rf"""with t as (select doc_id, string_split('Table of Contents' || chr(10) || text || chr(10) || '  x = f(y); ' || chr(10) || 'import os' || chr(10) || ' back to top ', chr(10)) as l from documents where text is not null),
-j as (select doc_id, array_to_string(list_transform(list_filter(l, lambda x: not regexp_matches(x, '{X.CRUFT}') and not regexp_matches(x, '[{{}};]\s*$|^\s*(>>>|\$ |def |class |import )') and trim(x) <> ''), lambda x: trim(x)), ' ') as s from t)
-select doc_id, case when length(s) <= 500 then s when contains(left(s, 500), '.') then left(s, 501 - strpos(reverse(left(s, 500)), '.')) else left(s, 500) end as text from j""")
+@query(
+    "clean_prose",
+    f"""with {E}, stop as (select doc, min(pos) as stop from e where i = 36 group by doc),
+l as (select e.doc, pos, case k when 0 then 'Alpha ' || i || ' beta of line ' || pos || '.' when 3 then 'Heading of part ' || i end as line from e left join stop using (doc) where pos < coalesce(stop, pos + 1)),
+j as (select doc, coalesce(string_agg(line, chr(10) || chr(10) order by pos), '') as s from l group by doc), docs as (select distinct doc from e)
+select doc, case when length(coalesce(s, '')) <= 400 then coalesce(s, '') else left(s, length(left(s, 400)) - strpos(reverse(left(s, 400)), '.') + 1) end as text from docs left join j using (doc)""",
+)
 def clean(spark, d):
-    """2.10.1: navigation and code lines go, the rest is cut after a sentence."""
-    text = F.concat(F.lit("Table of Contents\n"), "text", F.lit("\n  x = f(y); \nimport os\n back to top "))
-    return read(spark, d, "documents").filter("text is not null").select("doc_id", X.clean_prose(text, 500).alias("text"))
+    """2.10.1: navigation, code and broken-off lines go; the interface's listing ends a page, which is cut after a sentence."""
+    line = """case when i = 36 then 'Constants' when k = 0 then concat('Alpha ', i, ' beta of line ', pos, '.') when k = 3 then concat('Heading of part ', i)
+      else element_at(array('Search', 'Crate tally', '1.2.3 (now)', 'let x = 1;', 'core::a core::b core::c d.', 'broken off and of far too many words to be one', '// said.', 'two words.'), cast(i % 8 + 1 as int)) end"""
+    return text_of(numbers(spark, d), line, glue="\n\n").select("doc", X.clean_prose(F.col("text"), 400).alias("text"))
 
 
 @query("chunks")
@@ -169,10 +174,11 @@ def dependencies(spark, d):
     return keep_first(rows, ["doc", "package"], "pos").select("doc", "package", X.import_name(F.col("package")).alias("module"))
 
 
-@query("frameworks", f"with {E} select pos, case i % 6 when 0 then 'gtest' when 1 then 'catch2' when 2 then 'ctest' when 3 then 'doctest' when 4 then 'boost' else 'unknown' end as framework from e")
+@query("frameworks", f"with {E} select pos, case when i % 11 < 3 then 'gtest' when i % 11 = 3 then 'doctest' when i % 11 = 4 then 'catch2' when i % 11 < 7 then 'boost_test' when i % 11 < 9 then 'ctest' else 'unknown' end as framework from e")
 def frameworks(spark, d):
     """2.10.22, 2.9.9."""
-    text = "concat('log ', pos, '\\n', element_at(array('[==========] Running 3 tests', 'All tests passed (3 assertions)', '97% tests passed, 1 tests failed', '[doctest] version', 'Running 3 test cases...', 'hello'), cast(i % 6 + 1 as int)))"
+    logs = ["[==========] 3 tests", "[ RUN      ] A.b", "[  PASSED  ] 2 tests", "[doctest] test cases: 1 | assertions: 2", "test cases: 3\\nassertions: 4", "*** No errors detected ***", "*** Errors were detected in A", "Test project /b", "97% tests passed", "All tests passed!", "Running 3 test cases..."]
+    text = "concat('log ', pos, '\\n', element_at(array(" + ", ".join(f"'{x}'" for x in logs) + "), cast(i % 11 + 1 as int)))"
     return numbers(spark, d).select("pos", C.framework(F.expr(text)).alias("framework"))
 
 
@@ -183,9 +189,12 @@ def licences(spark, d):
     return numbers(spark, d).select("pos", C.licence(F.expr(text)).alias("licence"))
 
 
-@query("compiler_counts", f"with {E} select doc, count(*) filter (where k = 0) as syntax, count(*) filter (where k = 1) as semantic, count(*) filter (where k = 2) as other from e group by doc")
+@query("compiler_counts", f"with {E} select doc, count(*) filter (where k = 0 and i % 2 = 0) as syntax, count(*) filter (where k = 1) as semantic, count(*) filter (where k = 2) as other from e group by doc")
 def compiler(spark, d):
-    """2.9.29."""
-    line = "concat('A.java:', i, ': ', element_at(array('error: '';'' expected', 'Error: cannot find symbol', 'error: odd', 'note: x'), cast(k + 1 as int)))"
+    """2.9.29: lines that only name an error do not count."""
+    odd = "element_at(array('2 errors', 'note: 2 errors', 'x = new errorHandler();', 'error: without a place', 'Unexpected expected'), cast(i % 5 + 1 as int))"
+    line = f"""case when k = 0 and i % 2 = 0 then concat('A.java:', i, ': error: ', element_at(array('\\';\\' expected', 'Illegal start of type'), cast(p % 2 + 1 as int)))
+      when k = 1 then concat('B.java:', i, ': error: ', element_at(array('cannot find symbol', 'package x does not exist'), cast(p % 2 + 1 as int)))
+      when k = 2 then concat('C.java:', i, ': error: unexpected, expected') else {odd} end"""
     rows = text_of(numbers(spark, d), line).select("doc", C.compiler_counts(F.col("text")).alias("c"))
     return rows.select("doc", *[F.col(f"c.{n}").cast("long").alias(n) for n in ("syntax", "semantic", "other")])
