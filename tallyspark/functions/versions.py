@@ -39,3 +39,31 @@ def semver_range(raw: Column) -> Column:
 def within(version: Column, bounds: Column) -> Column:
     v = parts(version)
     return (bounds["lo"].isNull() | (v >= bounds["lo"])) & (bounds["hi"].isNull() | (v < bounds["hi"]))
+
+
+def _clause_admits(v: Column, clause: Column) -> Column:
+    """Whether [major, minor, patch] meets one clause: an operator and a version, whose last parts may be wild."""
+    sign = F.regexp_extract(clause, r"^(>=|<=|===?|!=|~=|\^|~|>|<|=)?", 1)
+    body = F.regexp_replace(F.substring(clause, F.length(sign) + 1, F.length(clause)), r"^\s*v?", "")
+    wild, numbers = body.rlike(r"\.[xX*]$"), F.regexp_replace(body, r"(\.[xX*])+$", "")
+    n, low = F.size(F.split(numbers, r"\.")), parts(numbers)
+    at = lambda k: F.get(low, F.lit(k))
+    # the first version after all that begin like ``low`` in so many parts
+    after = lambda k: F.when(k <= 1, F.array(at(0) + 1, F.lit(0), F.lit(0))).when(k == 2, F.array(at(0), at(1) + 1, F.lit(0))).otherwise(F.array(at(0), at(1), at(2) + 1))
+    begins = (v >= low) & (v < after(n))
+    same = F.when(wild, begins).otherwise(v == low)
+    caret = F.when(at(0) > 0, after(F.lit(1))).when((at(1) > 0) | (n == 2), after(F.lit(2))).when(n == 1, after(F.lit(1))).otherwise(after(F.lit(3)))
+    return (
+        F.when(clause.isin("", "*", "x", "X"), True).when(sign == ">=", v >= low).when(sign == "<=", v <= low).when(sign == ">", v > low).when(sign == "<", v < low)
+        .when(sign.isin("==", "===", "="), same).when(sign == "!=", ~same).when(sign == "~=", (v >= low) & (v < after(n - 1)))
+        .when(sign == "~", (v >= low) & (v < after(F.least(n, F.lit(2))))).when(sign == "^", (v >= low) & (v < caret)).otherwise(begins)
+    )
+
+
+def admits(version: Column, raw: Column) -> Column:
+    """Whether a constraint admits a version: one alternative (`||`) of which every clause
+    (by commas or spaces) holds. Missing parts of the version are 0; null gives null."""
+    spaced = F.regexp_replace(raw, r"(>=|<=|===?|!=|~=|\^|~|>|<|=)\s+", "$1")
+    v = parts(version)
+    clauses = lambda alternative: F.split(F.trim(F.regexp_replace(alternative, r"[\s,]+", " ")), " ")
+    return F.exists(F.split(spaced, r"\|\|", -1), lambda a: F.forall(clauses(a), lambda c: _clause_admits(v, c)))

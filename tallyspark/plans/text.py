@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import classify as C
 from tallyspark.functions import text as X
 from tallyspark.functions import versions as V
+from tallyspark.operators import resolver as R
 from tallyspark.plans.registry import query, read
 from tallyspark.plans.rendered import E, numbers, text_of
 
@@ -92,6 +93,42 @@ def detected(spark, d):
     return good.groupBy("project").agg(F.max_by(F.when(F.col("ok"), F.col("version")), F.when(F.col("ok"), V.parts(F.col("version")))).alias("version"))
 
 
+SIGNALS_SQL = """s as (select o_custkey as project, o_orderkey as pos, o_orderkey % 9 as f, 9 + o_orderkey % 5 as m from orders),
+sig as (select *, case when f < 4 then 'A' when f < 6 then 'B' when f < 8 then 'C' else 'D' end as tier from s), v as (select unnest([10, 11, 12]) as n),
+met as (select project, pos, tier, n, case f when 0 then n >= m when 1 then n < m + 2 and n <> 11 when 2 then n <= m + 1 or n = 12 when 3 then n >= m and n < m + 3 when 4 then n in (m, m + 1) when 5 then n = 10 when 6 then n = m when 7 then n = 12 end as ok from sig, v),
+left_a as (select project, n, count(*) filter (where tier = 'A' and not ok) = 0 as good, coalesce(bool_or(ok) filter (where tier = 'B'), false) as b, coalesce(bool_or(ok) filter (where tier = 'C'), false) as c, count(*) filter (where ok) as agree from met group by project, n),
+left_b as (select * from (select *, bool_or(b) over (partition by project) as any_b from left_a where good) where b or not any_b),
+left_c as (select * from (select *, bool_or(c) over (partition by project) as any_c from left_b) where c or not any_c),
+best as (select project, min(n) as n, arg_min(agree, n) as agree from left_c group by project),
+who as (select project, min(pos) filter (where tier = 'A') as a, min(pos) filter (where tier = 'B' and (f = 5 or m between 9 and 12)) as b, min(pos) filter (where tier = 'C') as c, count(*) filter (where tier <> 'D') as usable from sig group by project)"""
+
+
+def signals(spark, d):
+    """Constraints, matrices and hints of each customer, made of orders; those of tier D say nothing."""
+    rows = read(spark, d, "orders").selectExpr("o_custkey as project", "o_orderkey as pos", "o_orderkey % 9 as f", "9 + o_orderkey % 5 as m")
+    raw = "element_at(array(concat('>=3.', m), concat('<3.', m + 2, ', != 3.11.*'), concat('<= 3.', m + 1, ' || ==3.12'), concat('>=3.', m, ' <3.', m + 3)), cast(f + 1 as int))"
+    versions = "case f when 4 then array(concat('3.', m), concat('3.', m + 1)) when 5 then array('3.10', '2.7') when 6 then array(concat('3.', m)) when 7 then array('3.12') end"
+    tier = "case when f < 4 or f = 8 then 'A' when f < 6 then 'B' else 'C' end"
+    return rows.selectExpr("project", "pos", f"{tier} as tier", "concat('file', pos) as source", f"if(f < 4, {raw}, null) as raw", f"{versions} as versions")
+
+
+SUPPORTED = ["3.12", "3.10", "3.11"]
+
+
+@query("resolved_versions", f"""with {SIGNALS_SQL} select project, '3.' || n as version, case when n is null then 'conflict' when a is not null then 'A' when b is not null then 'B' when c is not null then 'C' else 'default' end as tier,
+case when n is null then 'conflict' else coalesce('file' || coalesce(a, b, c), 'default') end as source, usable - coalesce(agree, 0) as n_conflicts from who left join best using (project)""")
+def resolved_versions(spark, d):
+    """2.10.19, 2.10.23: declared constraints, then matrices, then hints; the tier and the signals that disagree."""
+    return R.resolved_versions(signals(spark, d), SUPPORTED)
+
+
+@query("version_conflicts", f"with {SIGNALS_SQL} select m.project, m.pos, 'file' || m.pos as source from met m join best using (project) where m.n = best.n and not m.ok union all select project, pos, 'file' || pos from sig where tier = 'A' and project not in (select project from best)")
+def version_conflicts(spark, d):
+    """2.10.19: each signal that its project's version does not meet."""
+    found = signals(spark, d)
+    return R.version_conflicts(found, R.resolved_versions(found, SUPPORTED)).select("project", "pos", "source")
+
+
 @query("elapsed", "select o_orderkey, lpad((s // 3600)::varchar, 2, '0') || ':' || lpad((s % 3600 // 60)::varchar, 2, '0') || ':' || lpad((s % 60)::varchar, 2, '0') as elapsed from (select o_orderkey, (o_orderkey * 37) % 86400 as s from orders)")
 def elapsed(spark, d):
     """2.10.9."""
