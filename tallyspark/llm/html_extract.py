@@ -38,11 +38,17 @@ ENDLESS_TAGS = frozenset(("script", "style"))
 #: for whole pages are wrapped in forms and oddly named folders.
 STRONG_TAGS = frozenset("aside button footer head menu nav search select".split())
 WEAK_TAGS = frozenset("dialog form".split())
-STRONG_NAMES = frozenset("comment comments disqus replies reply respond related recommended promoted sponsored ad ads adv advert adverts advertisement adbox adsense pagination pager breadcrumb breadcrumbs".split())
+STRONG_NAMES = frozenset("comment comments disqus replies recommended sponsored ad ads adv advert adverts advertisement adbox adsense pagination pager breadcrumb breadcrumbs".split())
 WEAK_NAMES = frozenset("banner captcha consent cookie cookies disclaimer footer gdpr menu modal nav navbar navigation newsletter notice overlay popup promo promotion share sharing sidebar signup skip social sponsor subscribe subscription toolbar widget".split())
 OUTER_NAMES = frozenset("header masthead topbar top login search".split())
-#: Words that make a name speak of its neighbours, as in ``has-sidebar``.
+#: Words that mark such a part alone or before one of the list words only,
+#: as in ``related-posts``; an article may be ``node-promoted`` or of ``related-work``.
+LIST_MARKS = frozenset("promoted related reply respond response".split())
+LIST_WORDS = frozenset("articles block box content form items links list news pages posts products reading section stories topics widget wrap".split())
+#: Words that make a name speak of its neighbours, as in ``has-sidebar``, and
+#: last words that make it speak of a state, as in ``comments-closed``.
 LINKING_WORDS = frozenset("and has hide is no not show with without".split())
+STATE_WORDS = frozenset("closed disabled enabled free off on open".split())
 
 #: Frequent words of the four languages.
 STOP_WORDS = frozenset("""
@@ -57,8 +63,9 @@ MOST_MARKS = 32
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[/!?a-z][^>]*>"
+    # outside of quotes a tag ends at the next <, so a page of unclosed tags is read once
+    r"|<(?P<close>/?)(?P<tag>[a-z][^\s/<>]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<[/!?a-z][^<>]*>"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
@@ -75,7 +82,8 @@ class Rules:
 
     ``article``: an article element decides what stands outside of it when it holds
     such a part of the page's prose. ``wrapper``: a weak mark on such a part of a
-    page's text is not believed.
+    page's text is not believed. ``linked``: what an article may link in a block that
+    stands beside another one of links.
     """
 
     short: int = 70
@@ -85,6 +93,7 @@ class Rules:
     links: float = 0.35
     article: float = 0.3
     wrapper: float = 0.8
+    linked: float = 0.8
 
 
 @dataclass
@@ -92,7 +101,7 @@ class Block:
     text: str
     link_chars: int
     article: int  # number of the innermost article around it, 0: none
-    marks: tuple[tuple[int, bool], ...]  # (number, strong) of the marked parts around it, outermost first
+    marks: tuple[tuple[int, int], ...]  # (number, strength) of the marked parts around it, outermost first
     heading: int = 0  # 1 to 6
     label: str = ""
     rule: str = ""
@@ -101,25 +110,39 @@ class Block:
         self.label, self.rule = label, rule
 
 
-def mark_of(tag: str, rest: str, inside: bool) -> str:
-    """strong, weak or nothing: whether a tag or its class, id and role mark a part without article text."""
+#: Strengths of marks: weak ones, names that also hold for articles inside, and such tags.
+WEAK, NAMED, TAG = 1, 2, 3
+
+
+def strong_name(words: list[str]) -> bool:
+    """Whether the words of a name mark a part without article text."""
+    if words[0] in LIST_MARKS and LIST_WORDS.issuperset(words[1:]):
+        return True
+    last = () if LINKING_WORDS.intersection(words) else words[-1:]
+    return not (len(words) > 1 and words[-1] in STATE_WORDS) and not STRONG_NAMES.isdisjoint((words[0], *last))
+
+
+def mark_of(tag: str, rest: str, inside: bool) -> int:
+    """The strength with which a tag or its class, id and role mark a part without article text; 0: not."""
     if tag in STRONG_TAGS:
-        return "strong"
-    mark = "weak" if tag in WEAK_TAGS or tag == "header" and not inside else ""
+        return TAG
+    mark = WEAK if tag in WEAK_TAGS or tag == "header" and not inside else 0
     if not rest or tag in ("html", "body"):
         return mark
     for m in ATTRIBUTE.finditer(rest):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and INVISIBLE.search(value):
-            mark = "weak"
+            mark = WEAK
         elif key in ("class", "id", "role"):
             for name in value.split():
                 words = [w.lower() for w in CAMEL.split(name) if w]
-                told = {words[0], *([] if LINKING_WORDS.intersection(words) else words[-1:])} if words else set()
-                if told & STRONG_NAMES:
-                    return "strong"
+                if not words:
+                    continue
+                if strong_name(words):
+                    return NAMED
+                told = {words[0], *([] if LINKING_WORDS.intersection(words) else words[-1:])}
                 if told & WEAK_NAMES or not inside and told & OUTER_NAMES:
-                    mark = "weak"
+                    mark = WEAK
     return mark
 
 
@@ -130,6 +153,7 @@ def blocks(page: str) -> list[Block]:
     linked: list[str] = []
     holders: list[tuple[str, int, tuple]] = []  # tag, article, marks
     article, marks, links, heading, number, at = 0, (), 0, 0, 0, 0
+    held: Counter = Counter()  # holders that stand open, by tag
     unclosed: set[str] = set()
 
     def flush() -> None:
@@ -171,19 +195,22 @@ def blocks(page: str) -> list[Block]:
         if tag not in HOLDER_TAGS:
             continue
         if close:
-            if any(t == tag for t, _, _ in holders):
-                while holders.pop()[0] != tag:
-                    pass
+            if held[tag]:
+                last = ""
+                while last != tag:
+                    last = holders.pop()[0]
+                    held[last] -= 1
                 _, article, marks = holders[-1] if holders else ("", 0, ())
         elif not rest.endswith("/"):
             mark = mark_of(tag, rest, article > 0)
-            if tag in ARTICLE_TAGS and not (mark or any(strong for _, strong in marks)):
+            if tag in ARTICLE_TAGS and not (mark or any(strength > WEAK for _, strength in marks)):
                 number += 1
                 article, marks = article or number, ()
             elif mark and len(marks) < MOST_MARKS:
                 number += 1
-                marks = (*marks, (number, mark == "strong"))
+                marks = (*marks, (number, mark))
             holders.append((tag, article, marks))
+            held[tag] += 1
     flush()
     return found
 
@@ -194,13 +221,15 @@ def stop_density(text: str) -> float:
 
 
 def disbelieve_wrappers(found: list[Block], rules: Rules) -> None:
-    """Take away weak marks around nearly all text of a page that is not links."""
+    """Take away marks around nearly all text of a page that is not links: weak ones, and
+    names where no article and no longer text stands outside of them."""
     sizes = [len(b.text) - b.link_chars for b in found]
     total = sum(sizes)
+    free = any(not b.marks and (b.article or len(b.text) >= rules.short and b.link_chars <= rules.links * len(b.text)) for b in found)
     while total:
         held: Counter = Counter()
         for b, n in zip(found, sizes, strict=True):
-            if b.marks and not b.marks[0][1]:
+            if b.marks and (b.marks[0][1] == WEAK or b.marks[0][1] == NAMED and not free):
                 held[b.marks[0]] += n
         wide = [mark for mark, n in held.items() if n >= rules.wrapper * total]
         if not wide:
@@ -216,8 +245,10 @@ def first_pass(found: list[Block], rules: Rules) -> None:
     for i, b in enumerate(found):
         n = len(b.text)
         if linked[i]:
-            lone = b.article and not b.marks and not any(linked[j] and found[j].article == b.article for j in (i - 1, i + 1) if 0 <= j < len(found))
-            b.settle(*(("short", "") if lone else ("bad", "links")))
+            beside = any(linked[j] and found[j].article == b.article for j in (i - 1, i + 1) if 0 <= j < len(found))
+            # an article's paragraph, or its list of sources, says something beside its links
+            told = b.article and not b.marks and (not beside or b.link_chars <= rules.linked * n)
+            b.settle(*(("short", "") if told else ("bad", "links")))
             continue
         stop = stop_density(b.text)
         if n >= rules.short and stop < rules.stop_low and not b.article:

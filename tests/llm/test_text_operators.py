@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -90,6 +91,41 @@ def test_text_survives_its_wrappers(wrapper, tag):
     assert html_extract.main_text(page).split("\n") == [w for w in want if tag != "div" or w != "See the report"]
 
 
+ARTICLE_NAMES = [
+    "div class='node node-article node-promoted'", "article class='node--promoted'", "article class='post comments-open'", "div class='comments-closed single-post'", "div class='post replies-off'",
+    "article id='related'", "div class='ad-free'", "div class='reply-letter'", "section class='related-work'", "div class='comments'", "div id='related-posts'", "article class='sponsored'",
+]
+
+
+@pytest.mark.parametrize("opening", ARTICLE_NAMES)
+def test_articles_survive_their_names(opening):
+    prose = " ".join(PROSE.split())
+    page = f"<nav><a href=x>Home</a></nav><{opening}><h1>Days of old</h1>" + f"<p>{PROSE}</p>" * 4 + f"</{opening.split()[0]}><footer>Copyright</footer>"
+    assert html_extract.main_text(page).split("\n") == ["Days of old"] + [prose] * 4
+
+
+@pytest.mark.parametrize("name", ["comments", "related", "related-posts", "comment-respond", "reply-form", "promoted", "ad-slot", "post-comments", "sponsored-content"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_parts_beside_an_article_go(tag, name):
+    page = f"<{tag}><h1>Days of old</h1><p>{PROSE}</p></{tag}><div class='{name}'>" + f"<p>{PROSE} too</p>" * 30 + "</div>"
+    assert "too" not in html_extract.main_text(page) and "river" in html_extract.main_text(page)
+
+
+def test_linked_paragraphs_and_sources_of_an_article_stay():
+    linked = "As <a href=x>the report of the house of the river and of the sea in it says</a> on it, <a href=y>the man</a> is old."
+    sources = "<ul><li><a href=a>On rivers of the old days</a>, Press, 2004</li><li><a href=b>On the sea and on its shores</a>, Press, 2010</li></ul>"
+    page = f"<article><h1>Days</h1><p>{PROSE}</p><p>{linked}</p><p>{linked}</p><p>{PROSE}</p><h2>Sources</h2>{sources}<h2>Related</h2><ul><li><a href=c>One of it</a></li><li><a href=d>Two of it</a></li></ul></article>"
+    got = html_extract.main_text(page).split("\n")
+    assert len(got) == 8 and got[5:] == ["Sources", "On rivers of the old days, Press, 2004", "On the sea and on its shores, Press, 2010"]
+
+
+@pytest.mark.parametrize("part", ["<p title=\"", "<p a=", "<p \"x>\" ", "<p a='\" ", "<", "<!--", "<div>", "<div class='comments'>", "</section>", "<a href=x>", "<p a='<p b=\"", "<svg>", "<title"])
+def test_a_megabyte_of_markup_is_read_once(part):
+    began = time.time()
+    html_extract.main_text("<div>" * 30_000 + part * (1_000_000 // len(part)) + "</section>" * 30_000)
+    assert time.time() - began < 6
+
+
 def test_parts_that_are_no_article_go():
     card = f'<article class="comment"><p>{PROSE}</p></article>'
     page = (
@@ -107,7 +143,8 @@ def plain_labels(rows, rules):
     n = len(rows)
     known, unlinked = [""] * n, [len(t) - k for t, k, *_ in rows]
     marks = [mark for _, _, _, mark, _ in rows]
-    for m in {m for m in marks if m and m[0] == "weak"}:
+    free = any(not m and (a or len(t) >= rules.short and k <= rules.links * len(t)) for t, k, a, m, _ in rows)
+    for m in {m for m in marks if m and (m[0] == "weak" or m[0] == "named" and not free)}:
         if sum(u for u, x in zip(unlinked, marks, strict=True) if x == m) >= rules.wrapper * sum(unlinked) > 0:
             marks = [None if x == m else x for x in marks]
     linked = [k > rules.links * len(t) for t, k, *_ in rows]
@@ -117,7 +154,7 @@ def plain_labels(rows, rules):
         stop = sum(w in html_extract.STOP_WORDS for w in words) / max(1, len(words))
         if linked[i]:
             beside = any(linked[j] and rows[j][2] == article for j in (i - 1, i + 1) if 0 <= j < n)
-            known[i] = "short" if article and not marks[i] and not beside else "bad"
+            known[i] = "short" if article and not marks[i] and (not beside or k <= rules.linked * len(t)) else "bad"
         elif marks[i] or not article and (len(t) >= rules.short and stop < rules.stop_low or "©" in t and len(t) < rules.long or k and len(t) < rules.short):
             known[i] = "bad"
         elif len(t) >= rules.short and stop >= rules.stop_high and (article or len(t) >= rules.long):
@@ -178,7 +215,7 @@ def random_page(rng):
             link = " ".join(text.split()[: len(text.split()) * part // 2]) if part else ""
             tag = f"h{heading}" if heading else "p"
             parts.append(f"<{tag}>" + (f"<a href=x>{link}</a>{text[len(link):]}" if link else text) + f"</{tag}>")
-            mark = {"nav": ("strong", k), "comments": ("strong", k), "notice": ("weak", k)}.get(kind)
+            mark = {"nav": ("strong", k), "comments": ("named", k), "notice": ("weak", k)}.get(kind)
             rows.append((text, len(link), number if kind == "article" else 0, mark, heading))
         parts.append({"article": "</article>", "nav": "</nav>"}.get(kind, "</div>"))
     return "".join(parts), rows
