@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.plans.registry import query, read
-from tallyspark.sources import readers, writers
+from tallyspark.plans.rendered import E, numbers, text_of
+from tallyspark.sources import pdf, readers, search, writers
 from tallyspark.sources.shared import Scratch
 
 
@@ -77,3 +78,34 @@ def inventory_files(spark, d):
     path = Scratch(spark, "inventory", lasting=True).path()
     writers.write_inventory(ids, path)
     return spark.read.schema("value string, key string").text(path).select(F.col("key"), F.col("value").alias("test_id"))
+
+
+@query("pdf_pages", f"with {E} select doc, p as page, string_agg('w' || i || ' (a) ' || chr(92) || ' ' || pos, chr(10) order by pos) as text from e group by doc, p")
+def pdf_pages(spark, d):
+    """2.1.13: a file of three pages for each user, its lines in the order they are shown."""
+    line = r"concat('0 -14 Td (w', i, ' (a) \\\\ ', pos, ') Tj')"
+    streams = text_of(numbers(spark, d).withColumn("at", F.struct("doc", "p")), line, by="at").select("at.*", F.concat(F.lit("BT /F1 12 Tf\n"), "text", F.lit("\nET")).alias("body"))
+    number = lambda base: (F.col("p") + base).cast("string")
+    one = F.concat(number(10), F.lit(" 0 obj\n<< /Type /Page /Parent 2 0 R /Contents "), number(20), F.lit(" 0 R >>\nendobj\n"), number(20), F.lit(" 0 obj\n<< /Length "), F.length("body").cast("string"), F.lit(" >>\nstream\n"), "body", F.lit("\nendstream\nendobj\n"))
+    files = streams.select("doc", "p", one.alias("one")).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("p", "one"))).alias("a"))
+    kids = F.array_join(F.transform("a", lambda x: F.concat((x["p"] + 10).cast("string"), F.lit(" 0 R"))), " ")
+    head = F.concat(F.lit("%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids ["), kids, F.lit("] >>\nendobj\n"))
+    content = F.concat(head, F.array_join(F.transform("a", lambda x: x["one"]), ""), F.lit("trailer\n<< /Root 1 0 R >>\n%%EOF"))
+    pages = pdf.pdf_pages(files.select("doc", F.encode(content, "ISO-8859-1").alias("content")))
+    # pages of a file are counted from 0, whichever of the three it has
+    kept = files.select("doc", F.posexplode(F.transform("a", lambda x: x["p"])).alias("page", "p"))
+    return pages.join(kept, ["doc", "page"]).select("doc", F.col("p").alias("page"), "text")
+
+
+@query(
+    "search_ranges",
+    """with recursive r(lo, hi, n) as (
+  select 0, 4096, count(*) from part where p_retailprice < 4096
+  union all select h.lo, h.hi, (select count(*) from part where floor(p_retailprice) >= h.lo and floor(p_retailprice) < h.hi)
+  from (select r.lo + k * (r.hi - r.lo) // 2 as lo, r.lo + (k + 1) * (r.hi - r.lo) // 2 as hi from r, (values (0), (1)) as t(k) where n > 40 and r.hi - r.lo > 1) as h
+)
+select lo, hi, n, n > 40 as over from r where n > 0 and (n <= 40 or hi - lo = 1)""",
+)
+def search_ranges(spark, d):
+    """2.1.14: the ranges of a search that shows forty hits."""
+    return search.search_ranges(read(spark, d, "part").select(F.floor("p_retailprice").alias("price")), "price", 40, 12)
