@@ -295,15 +295,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` without near-duplicates: of each component the row of least id.
 
     Rows equal in id and text count as one document, and one of them stays; texts
-    without a word are linked with nothing and stay. All columns pass.
+    without a word are linked with nothing and stay, an empty one also beside a null
+    one. All columns pass.
     """
     handle = "_hash"
-    while handle in docs.columns:
+    while handle in docs.columns or handle + "_null" in docs.columns:
         handle = "_" + handle
     firsts = near_components(docs, id_col, text_col, width, percent).filter("first_of_group").select(F.col(f"`{id_col}`").alias("_id"), F.col("text_hash").alias("_h")).distinct()
     rows = docs.withColumn(handle, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     same = rows[id_col].eqNullSafe(firsts["_id"]) & (rows[handle] == firsts["_h"])
-    return rows.join(firsts, same, "left_semi").dropDuplicates([id_col, handle]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = rows.join(firsts, same, "left_semi").withColumn(handle + "_null", F.col(f"`{text_col}`").isNull())
+    return kept.dropDuplicates([id_col, handle, handle + "_null"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -37,15 +37,16 @@ RANDOM_STRINGS, IDENTIFIER_DOCS = 4_000, 4_000
 #: long they are. Chosen on planted strings and on names of words that train no model.
 PENALTY, THRESHOLD = 0.7, 18.0
 
-#: Words that are frequent in identifiers, of the ordinary model's samples,
-#: and the samples made of them.
-CODE_WORDS = """add all api app arg array async auth base batch bin block bool buffer build byte cache call case char check class clean client close code column
-command config connect const content context copy core count create current data date debug default delete device directory disk document domain download element
-email enable encode entry env error event exec export field file filter find flag float folder format frame function get group handle hash head header host image
+#: Words that are frequent in identifiers, gathered by hand for the ordinary
+#: model's samples, and the samples made of them.
+CODE_WORDS = """add all api app arg array async auth base batch block bool buffer build byte cache call case check class clean client close code column
+command config connect const content context copy core count create current data date debug default delete directory disk document domain download element
+enable encode env error event exec export field file filter find flag format frame function get group handle hash head header host image
 import index info init input insert int item job json key label last length level library line link list load local lock log main manager map match max memory
 menu message meta method min mode model module name network next node null number object offset open option order output owner package page param parse path
-pattern play point port post process profile project property public query queue random range read record region register remove render report request reset
-resource result return root route row run save schema scope search select server service session set size source""".split()
+point port post process profile project property public query queue random range read record region register remove render report request reset
+resource result return root route row run save schema scope search select server service session set size source start state status stop store stream string style
+system table tag target task template test text thread time timer title token total type update upload url user util valid value version view width window write xml""".split()
 CODE_SAMPLES = 20_000
 
 _CODES = 128
@@ -184,7 +185,7 @@ def scan(df: DataFrame, model: Markov, text_col: str = "text", spans_col: str =
     empty texts give []; a text may hold overlapping spans of different kinds;
     rows are independent; a column named like the new one is replaced.
     """
-    others = [c for c in df.columns if c not in (spans_col, "_t", "_assign", "_known", "_more")]
+    others = [c for c in df.columns if c not in (spans_col, "_t", "_assign", "_access", "_hex")]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = df.select(*[F.col(f"`{c}`") for c in others], text.alias("_t"))
     t, low = F.col("_t"), F.lower(F.col("_t"))
@@ -193,17 +194,18 @@ def scan(df: DataFrame, model: Markov, text_col: str = "text", spans_col: str =
     assign = F.when(named, F.filter(matches(t, ASSIGN), lambda m: is_assign(m["value"]))).otherwise(empty)
     access = F.when(t.contains("AKIA"), matches(t, ACCESS)).otherwise(empty)
     tagged = lambda spans, rank: F.transform(spans, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end")))
-    rows = rows.select(*[F.col(f"`{c}`") for c in others], "_t", assign.alias("_assign"))
-    known = F.concat(tagged(F.col("_assign"), 0), tagged(access, 1), tagged(matches(t, HEX), 2))
+    rows = rows.select(*[F.col(f"`{c}`") for c in others], "_t", assign.alias("_assign"), access.alias("_access"), matches(t, HEX).alias("_hex"))
+    known = F.concat(tagged(F.col("_assign"), 0), tagged(F.col("_access"), 1), tagged(F.col("_hex"), 2))
 
     def random(m: Column) -> Column:
         v = m["value"]
-        # the other two kinds consist of key characters, so they would lie inside of the run
-        clear = ~v.rlike(HEX) & ~v.rlike(ACCESS)
         varied = v.rlike("[0-9]") | v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[^A-Z_-][A-Z]")
-        return clear & varied & (best_stretch(v, model) > THRESHOLD)
+        return varied & (best_stretch(v, model) > THRESHOLD)
 
+    # what is left of a run beside the known kinds is judged by itself
     rest = F.when(F.size("_assign") == 0, t).otherwise(blanked(t, ASSIGN, is_assign))
+    rest = F.when(F.size("_access") == 0, rest).otherwise(blanked(rest, ACCESS, lambda m: F.lit(True)))
+    rest = F.when(F.size("_hex") == 0, rest).otherwise(blanked(rest, HEX, lambda m: F.lit(True)))
     more = F.filter(matches(rest, CANDIDATE), random)
     every = F.array_sort(F.concat(known, tagged(more, 3)))
     kind = lambda rank: F.element_at(F.array(*[F.lit(k) for k in KINDS]), rank + 1)
