@@ -52,7 +52,7 @@ def word_hash(word: bytes) -> int:
 
 @lru_cache(maxsize=1)
 def word_memo() -> Memo:
-    return Memo(word_hash)
+    return Memo(word_hash, 50_000)
 
 
 @lru_cache(maxsize=8)
