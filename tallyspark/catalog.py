@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.plans import checks, filters, joins, listings, parsers, rollups, scans, scoring, streams, summaries, text, windows  # noqa: F401  they register their queries
+from tallyspark.plans import checks, filters, joins, listings, parsers, rollups, scans, scoring, streams, stubs, summaries, text, windows  # noqa: F401  they register their queries
 from tallyspark.plans.registry import ORACLES, QUERIES, Query
 
 
