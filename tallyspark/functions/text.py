@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.arrays import running
 
-ANSI = r"\x1b\[[0-9;?]*[ -/]*[@-~]"
+#: A control sequence of ECMA-48: its introducer, parameter bytes, intermediate bytes and the final byte.
+ANSI = r"\x1b\[[\x30-\x3f]*[\x20-\x2f]*[\x40-\x7e]"
 
 #: Lines of a documentation page that are no prose: whole titles, titles
 #: before one name, and lines that begin so.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.operators.filters import cheat_reason, patched_paths
+from tallyspark.operators.filters import touches_protected
 
 #: Evaluation statuses that can be trusted, and the one that never is.
 GOOD_STATUSES, FAIR_FAILURES, CHEAT = ("OK", "TESTS_RAN"), ("COMPILE_FAILED", "COMPILE_FAILED_MODEL", "BUILD_FAILED"), "CHEAT_DETECTED"
@@ -15,11 +15,6 @@ def _any(condition: Column) -> Column:
     return F.coalesce(F.bool_or(F.coalesce(condition, F.lit(False))), F.lit(False))
 
 
-def _touched(patch: Column) -> Column:
-    """Whether a patch touches a file that it may not."""
-    return F.exists(patched_paths(F.coalesce(patch, F.lit(""))), lambda p: cheat_reason(p).isNotNull())
-
-
 def _stage_facts(stages: DataFrame) -> DataFrame:
     """One row a run from its stage records (run, stage 1 to 3, recorded, has_dir, status, num_passed, num_tests, diff, error)."""
     scored = F.col("num_passed").isNotNull() & F.col("num_tests").isNotNull()
@@ -37,7 +32,7 @@ def _stage_facts(stages: DataFrame) -> DataFrame:
         F.count_distinct(F.when(F.col("scored"), F.col("num_tests"))).alias("sizes"),
         score(1).alias("p1"), score(2).alias("p2"), score(3).alias("p3"),
         F.max(F.when(F.col("scored") & (F.col("stage") == 3), F.col("num_passed") / F.col("num_tests"))).alias("rate"),
-        _any(F.col("diff").isNotNull()).alias("has_diff"), _any(_touched(F.col("diff"))).alias("diff_touches"),
+        _any(F.col("diff").isNotNull()).alias("has_diff"), _any(touches_protected(F.col("diff"))).alias("diff_touches"),
         _any((F.col("stage") == 1) & F.col("wrote")).alias("draft_wrote"),
         F.count_if(F.col("has_dir") & (F.col("stage") > 1)).alias("later"), F.count_if(F.col("has_dir") & (F.col("stage") > 1) & ~F.col("wrote")).alias("later_blank"),
     )
@@ -50,7 +45,7 @@ def _module_facts(modules: DataFrame) -> DataFrame:
     return modules.groupBy("run").agg(
         F.count("*").alias("modules"), F.count_if("done").alias("done"), F.count_if("has_output").alias("outputs"), F.count_distinct("stage").alias("module_stages"), F.count_if(F.col("stage") == 1).alias("drafts"),
         _any(~F.col("done") | F.col("needs_retry")).alias("unfinished"), _any(lacks).alias("gaps"), _any(F.col("has_output") & ~(F.col("parsed") & F.col("has_cost"))).alias("bad_output"),
-        _any(wrote | F.col("did_work")).alias("worked"), _any(_touched(F.col("patch"))).alias("patch_touches"), _any((F.col("stage") == 1) & wrote).alias("draft_patch"),
+        _any(wrote | F.col("did_work")).alias("worked"), _any(touches_protected(F.col("patch"))).alias("patch_touches"), _any((F.col("stage") == 1) & wrote).alias("draft_patch"),
     )
 
 

@@ -27,7 +27,7 @@ def entries(spark, d):
 @query("customer_issues", r"select c_custkey, array_to_string(list_filter([case when c_acctbal < 0 then 'negative balance' end, case when not regexp_matches(c_name, '^Customer#\d{9}$') then 'bad name' end, case when c_mktsegment not in ('BUILDING', 'MACHINERY', 'HOUSEHOLD') then 'segment' end], lambda x: x is not null), ',') as issues from customer")
 def customers(spark, d):
     """2.3.1 over a whole table: the same issue arrays."""
-    issues = F.array_compact(F.array(F.when(F.col("c_acctbal") < 0, F.lit("negative balance")), F.when(~F.col("c_name").rlike(r"^Customer#\d{9}$"), F.lit("bad name")), F.when(~F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "HOUSEHOLD"), F.lit("segment"))))
+    issues = P.issues({"negative balance": F.col("c_acctbal") < 0, "bad name": ~F.col("c_name").rlike(r"^Customer#\d{9}$"), "segment": ~F.col("c_mktsegment").isin("BUILDING", "MACHINERY", "HOUSEHOLD")})
     return read(spark, d, "customer").select("c_custkey", F.array_join(issues, ",").alias("issues"))
 
 
@@ -62,10 +62,13 @@ def score(spark, d):
     return read(spark, d, "part").select("p_partkey", P.candidate_score(F.col("p_retailprice") * 20, F.when(F.col("p_size") < 10, 4999).when(F.col("p_size") < 30, 5000).otherwise(30_000), licence, topics, words).alias("score"))
 
 
-@query("candidate_flags", "select p_partkey, p_size >= 25 as enough_tests, p_type in ('ECONOMY', 'STANDARD') as known_build, p_retailprice < 1000 as small from part")
+@query("candidate_flags", "select p_partkey, p_partkey % 5 > 0 and p_size * 4 >= 50 as has_tests, p_partkey % 4 < 2 as has_build_system, p_partkey % 6 in (1, 2, 3) as compatible_jdk, p_partkey % 3 = 0 as has_license, true as is_active from part")
 def flags(spark, d):
     """2.3.6."""
-    return read(spark, d, "part").select("p_partkey", F.struct((F.col("p_size") >= 25).alias("a"), F.col("p_type").isin("ECONOMY", "STANDARD").alias("b"), (F.col("p_retailprice") < 1000).alias("c")).alias("f")).select("p_partkey", F.col("f.a").alias("enough_tests"), F.col("f.b").alias("known_build"), F.col("f.c").alias("small"))
+    pick = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("p_partkey") % len(values) + 1).cast("int"))
+    tests, build = F.when(F.col("p_partkey") % 5 > 0, F.col("p_size") * 4), pick("maven", "gradle", "ant", None)
+    found = P.candidate_flags(tests, build, pick("8", "11", "17", "21", "22", None), pick("MIT", "", None))
+    return read(spark, d, "part").select("p_partkey", *[flag.alias(name) for name, flag in found.items()])
 
 
 @query("url_facts", r"select page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) as host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) as path, contains(url, '#') as fragment, not (contains(url, '#') or regexp_matches(url, '^[a-z]+://[^?#]*/(login|signin|signup|logout|auth|account)(/|$|\?|#)') or regexp_matches(url, '[?&](next|redirect|return_to|continue)=')) as takes from pages")
@@ -113,10 +116,10 @@ def paths(spark, d):
     return rows.select("p_partkey", "path", P.cheat_reason(F.col("path")).alias("reason"))
 
 
-@query("kept_sections", "select p_brand as k, count(*) filter (where p_partkey % 8 in (0, 1)) as n, count(*) filter (where p_partkey % 8 in (0, 1)) = 0 as nothing from part where p_partkey // 8 % 5 in (0, 1) group by p_brand")
+@query("kept_sections", "select p_brand as k, count(*) filter (where p_partkey % 8 in (0, 1) and p_partkey // 8 % 5 < 3) as n, n = 0 as nothing from part group by p_brand")
 def sections(spark, d):
-    """2.3.10: sections of Rust files outside of build folders."""
-    rows = _paths(spark, d).filter("p_partkey div 8 % 5 in (0, 1)").select("p_brand", F.col("p_partkey").alias("pos"), F.expr(SECTION).alias("section"))
+    """2.3.10: sections of Rust files outside of build folders; quoted heads and lines before any head are no such sections."""
+    rows = _paths(spark, d).select("p_brand", F.col("p_partkey").alias("pos"), F.expr(SECTION).alias("section"))
     kept = text_of(rows, F.col("section"), by="p_brand").select(F.col("p_brand").alias("k"), P.kept_sections(F.col("text"), ".rs").alias("p"))
     return kept.select("k", F.regexp_count("p", F.lit("diff --git")).cast("long").alias("n"), (F.col("p") == "\n\n").alias("nothing"))
 

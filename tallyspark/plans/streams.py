@@ -16,14 +16,22 @@ def _events_as_stream(spark, d):
     return rows.select((F.col("user_id") % 20).cast("string").alias("module"), F.col("event_id").alias("turn"), F.col("event_type").alias("role"), (F.col("event_id") % 100).alias("tokens"), F.col("ts").cast("timestamp").alias("timestamp"), "value").withWatermark("timestamp", T.WATERMARK)
 
 
-def _finished(spark, stream, mode="complete"):
+def _finished(spark, stream, mode="complete", timers=False):
     """Run a stream to its end; its whole result from the shared folder."""
     top = Scratch(spark, "stream", lasting=True).top
 
     def keep(batch, n):
         batch.write.mode("overwrite").parquet(f"{top}/out/batch={n}")
 
-    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{top}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    # a stream with timers by the clock would have a batch without data after every batch
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(empty)
+    try:
+        spark.conf.set(empty, "false" if timers else before)
+        running = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{top}/state").outputMode(mode).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(empty, before)
+    running.awaitTermination()
     out = spark.read.parquet(f"{top}/out")
     if mode == "complete":
         last = out.agg(F.max("batch")).first()[0]
@@ -53,6 +61,23 @@ def stream_watchdog(spark, d):
     return _finished(spark, T.watchdog(rows, k=2), "append")
 
 
+#: A close every 37th event, and pieces of the words that end a stream.
+PIECE = "case when event_id % 37 = 36 then null when event_id % 4 = 0 then 'response.' when event_id % 4 = 1 then 'comp' when event_id % 4 = 2 then 'leted ' else 'failed ' end"
+
+
+@query("stream_relay", f"""with e as (select user_id::varchar as stream, event_id, {PIECE} as text, count(*) filter (where event_id % 37 = 36) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as part from events),
+w as (select stream, part, coalesce(string_agg(text, '' order by event_id), '') as whole, bool_or(text is null) as closed from e group by stream, part)
+select stream, 'chunk' as kind, text, count(*) as n from e where text is not null group by stream, text
+union all select stream, case when contains(whole, 'response.failed') then 'failed' when contains(whole, 'response.completed') then 'done' else 'truncated' end as kind, null, count(*) from w where closed group by all""")
+def stream_relay(spark, d):
+    """2.11.4: chunks as they came and how each stream ended, by words that may come in three chunks."""
+    schema = read(spark, d, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    chunks = rows.select(F.col("user_id").cast("string").alias("stream"), F.col("event_id").alias("pos"), F.expr(PIECE).alias("text"))
+    out = T.relayed(chunks, ["response.completed"], 3_600_000, failed=("response.failed",))
+    return _finished(spark, out, "append", timers=True).groupBy("stream", "kind", "text").agg(F.count("*").alias("n"))
+
+
 @query("active_module", "select arg_max(user_id, ts) as module, epoch_us(max(ts)) as seen, true as live from events")
 def active_module(spark, d):
     """2.11.5: the clock is a parameter, here 100 seconds after the last event."""

@@ -53,3 +53,48 @@ def watchdog(samples: DataFrame, k: int = 3, least: float = 1.0, floor: float =
         yield pd.DataFrame(alarms, columns=["key", "n", "value"])
 
     return samples.groupBy("key").applyInPandasWithState(step, "key long, n long, value double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def relayed(chunks: DataFrame, markers: list[str], interval_ms: int, failed: tuple[str, ...] = (), carry: int = 64) -> DataFrame:
+    """(stream, kind, text) of a stream of (stream, pos, text): what a relay passes on.
+
+    Every chunk is a ``chunk`` row as it came, in the order of pos in each trigger; a null text closes
+    its stream. A stream that is open and silent for ``interval_ms`` of processing time gives a
+    ``keep-alive`` row, and one more for each interval; so it needs a trigger by time. At the close a
+    stream gives ``done`` if one of the markers was seen in its text, ``failed`` if one of ``failed``
+    was, and else ``truncated``. What follows a close is a new stream.
+
+    The state of a stream is whether a marker and a failure were seen and its last ``carry`` characters, so
+    that a marker is found over any number of chunks; it is gone after the close. Empty chunks pass.
+    """
+    if carry < max(map(len, [*markers, *failed])):
+        raise ValueError("carry is shorter than a marker")
+    new = (False, False, "\n")
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.update(state.get)
+            state.setTimeoutDuration(interval_ms)
+            yield pd.DataFrame([(key[0], "keep-alive", None)], columns=["stream", "kind", "text"])
+            return
+        out = []
+        seen, bad, tail = state.get if state.exists else new
+        is_open = state.exists
+        for text in pd.concat(list(parts)).sort_values("pos")["text"]:
+            if text is None or text != text:
+                out.append((key[0], "failed" if bad else "done" if seen else "truncated", None))
+                (seen, bad, tail), is_open = new, False
+                continue
+            window, is_open = tail + text, True
+            seen = seen or any(m in window for m in markers)
+            bad = bad or any(m in window for m in failed)
+            tail = window[-carry:]
+            out.append((key[0], "chunk", text))
+        if is_open:
+            state.update((seen, bad, tail))
+            state.setTimeoutDuration(interval_ms)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["stream", "kind", "text"])
+
+    return chunks.groupBy("stream").applyInPandasWithState(step, "stream string, kind string, text string", "seen boolean, bad boolean, tail string", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import classify, lexing, text
-from tallyspark.operators import parsers, scoring
+from tallyspark.operators import filters, parsers, scoring
 
 
 def plain_blank(src):
@@ -151,3 +151,30 @@ def test_means_leave_out_what_a_language_does(spark):
     df = spark.createDataFrame(runs, "lang string, repo string, status string, exit_code int, num_passed int, num_tests int, compile_errors int, infra_failed boolean")
     got = {r.lang: (r["mean"], r.scored, r.excluded) for r in scoring.policy_means(scoring.run_outcomes(df, policy), policy).collect()}
     assert got == {"java": (1.0, 1, 1), "js": (0.5, 1, 1), "go": (0.0, 1, 0), "cpp": (0.5, 2, 0), "rust": (0.5, 1, 0)}
+
+
+def test_gate_of_patches_equals_its_reasons(spark):
+    rng = random.Random(4)
+    parts = ["src", "tests", "TEST", "Test_x.py", "a.spec.ts", "conftest.py", ".", "", "x.pth", "src/test", "src/androidTest", "m.rs", "GO.MOD", "jest.config.js", "__tests__", "y_test.go", "testdata", "a b"]
+    paths = ["/".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    rows = [(k, f"diff --git a/{p} b/{p}\n--- a/{p}\n+++ b/{p}\n" if k % 3 else f"+++ {p}\n@@ -1 +1 @@\n") for k, p in enumerate(paths)] + [(-1, None), (-2, " "), (-3, "no patch")]
+    df = spark.createDataFrame(rows, "k int, patch string")
+    slow = F.exists(filters.patched_paths(F.coalesce("patch", F.lit(""))), lambda p: filters.cheat_reason(p).isNotNull())
+    got = df.select("k", filters.touches_protected(F.col("patch")).alias("fast"), slow.alias("slow")).collect()
+    assert [r.k for r in got if r.fast != r.slow] == [] and {r.fast for r in got} == {True, False}
+
+
+def test_missing_pages_by_title_and_heading(spark):
+    signs = ["<title>404 | Site</title>", "<TITLE lang='en'>\n Page  Not\tFound - Docs</TITLE>", "<title>Not found: x</title>", "<title>Project not found — y</title>", "<h1 class='a'> 404 </h1>", "<title>Home</title><h1>Not Found</h1>"]
+    others = ["<title>404 ways</title>", "<title>Handling not found errors</title>", "<h1>404 and more</h1>", "<title></title>", "<titles>404</titles>"]
+    df = spark.createDataFrame([(s, s in signs) for s in signs + others], "html string, want boolean")
+    text = F.lit("x" * 600)
+    assert [r.html for r in df.select("html", "want", filters.page_flags(F.col("html"), text)["soft_404"].alias("got")).collect() if r.got != r.want] == []
+
+
+def test_candidate_flags_and_issues(spark):
+    rows = [(50, "maven", "17", "MIT"), (49, "ant", "8", ""), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "t int, b string, j string, l string")
+    got = df.select(*filters.candidate_flags(*map(F.col, "tbjl")).values()).collect()
+    assert [tuple(r) for r in got] == [(True,) * 5, (False,) * 4 + (True,), (False,) * 4 + (True,)]
+    assert [r[0] for r in df.select(filters.issues({"few": F.col("t") < 50, "old": F.col("j") == "8"})).collect()] == [[], ["few", "old"], []]
