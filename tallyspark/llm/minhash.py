@@ -145,21 +145,30 @@ def _close(percent: int):
 def links_between(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of two lists of sets that are alike enough, by exact counts of shared elements."""
     a, b = (np.array([len(s) for s in side], dtype=np.int64) for side in (left, right))
+    # sets come in the order of unsigned numbers
+    left, right = ([np.sort(s) for s in side] for side in (left, right))
     common = np.intersect1d(np.concatenate(left), np.concatenate(right))
     count = np.zeros((len(left), len(right)), dtype=np.float32)
-    for at in range(0, len(common), 4096):
-        part = common[at : at + 4096]
+    # in slabs of elements and of rows, so that no array is larger than the counts are
+    for at in range(0, len(common), 2048):
+        part = common[at : at + 2048]
         sides = []
         for side in (left, right):
             grid = np.zeros((len(side), len(part)), dtype=np.float32)
             for i, s in enumerate(side):
-                s = s[(s >= part[0]) & (s <= part[-1])]
-                k = np.minimum(np.searchsorted(part, s), len(part) - 1)
+                s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
+                k = np.searchsorted(part, s)
                 grid[i, k[part[k] == s]] = 1
             sides.append(grid)
-        count += sides[0] @ sides[1].T
-    shared = count.astype(np.int64)
-    return np.nonzero(100 * shared >= percent * (a[:, None] + b[None, :] - shared))
+        for at_row in range(0, len(left), 256):
+            count[at_row : at_row + 256] += sides[0][at_row : at_row + 256] @ sides[1].T
+    rows, cols = [], []
+    for at in range(0, len(left), 256):
+        shared = count[at : at + 256].astype(np.int64)
+        i, j = np.nonzero(100 * shared >= percent * (a[at : at + 256, None] + b[None, :] - shared))
+        rows.append(i + at)
+        cols.append(j)
+    return np.concatenate(rows), np.concatenate(cols)
 
 
 def _in_blocks(queries: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
