@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
 from tallyspark.functions import lexing
+from tallyspark.functions.rows import rows_of
 from tallyspark.shipping import ship
 
 #: Status words of runners.
@@ -384,9 +387,8 @@ def balanced(docs: DataFrame) -> DataFrame:
 
 def test_items(docs: DataFrame) -> DataFrame:
     """(doc, pos, item, is_test): the items at the top of each source."""
-    ship(docs.sparkSession)
-    found = docs.select("doc", F.posexplode(lexing.source_items(F.col("text"))).alias("pos", "x"))
-    return found.select("doc", "pos", F.col("x.text").alias("item"), "x.is_test")
+    fields = {"pos": (T.IntegerType(), pa.int32()), "item": (T.StringType(), pa.string()), "is_test": (T.BooleanType(), pa.bool_())}
+    return rows_of(docs, "doc", "text", fields, lambda s: () if s is None else ((k, *item) for k, item in enumerate(lexing.items(s))))
 
 
 def restored_sources(model: DataFrame, base: DataFrame) -> DataFrame:
