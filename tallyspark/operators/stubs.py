@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.functions.blocks import marked_functions
+from tallyspark.functions.rows import rows_of
 
 #: What stands in a body that is not written yet.
 STUB_MARKS = {
@@ -28,9 +29,5 @@ def source_stubs(docs: DataFrame, language: str, marks: tuple[str, ...] = ()) ->
     empty sources give no rows; repeated rows give theirs again; other columns are not read.
     """
     sought = tuple(marks) or STUB_MARKS[language]
-
-    @F.pandas_udf("array<struct<name:string,line:int,signature:string>>")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda s: marked_functions(s, language, sought) if s else [])
-
-    return docs.select("doc", F.explode(found("text")).alias("s")).select("doc", "s.*")
+    fields = {"name": (T.StringType(), pa.string()), "line": (T.IntegerType(), pa.int32()), "signature": (T.StringType(), pa.string())}
+    return rows_of(docs, "doc", "text", fields, lambda s: marked_functions(s, language, sought) if s else [])

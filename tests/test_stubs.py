@@ -125,3 +125,18 @@ def test_stub_rows(spark):
     own = source_stubs(spark.createDataFrame([(1, "int f() { TODO(); }")], "doc long, text string"), "c", ("TODO(",))
     assert [tuple(r) for r in own.collect()] == [(1, "f", 1, "int f()")]
     assert source_stubs(spark.createDataFrame([], "doc long, text string"), "js").collect() == []
+
+
+def test_lines_of_many_functions_take_one_pass():
+    body = 'function f() {\n' + "\n" * 60 + 'throw new Error("STUB")\n}\n'
+    began = time.time()
+    found = marked_functions(body * 20_000, "js", STUB_MARKS["js"])
+    assert [line for _, line, _ in found] == [63 * k + 1 for k in range(20_000)]
+    assert time.time() - began < 10
+
+
+def test_long_sources_give_all_stubs(spark):
+    source = 'function f() { throw new Error("STUB") }\n' * 20_000
+    got = source_stubs(spark.createDataFrame([(1, source), (2, None)], "doc long, text string"), "js")
+    assert [f.dataType.simpleString() for f in got.schema] == ["bigint", "string", "int", "string"]
+    assert got.agg({"line": "max", "*": "count"}).first()[:] == (20_000, 20_000)
