@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a task that sorts whole groups, about.
+ROWS = 250_000
+
 
 def collapse_adjacent(rows: DataFrame, by: list[str], order: list[str], same: list[str]) -> DataFrame:
     """Drop rows equal in ``same`` to the row just before."""
@@ -22,16 +27,21 @@ def clamp_timestamps(rows: DataFrame, by: list[str], order: list[str], ts: str,
     return raised.withColumn(out, F.when(F.col(ts).isNotNull(), F.col("_high") + F.col("_n"))).drop("_n", "_high")
 
 
-def apportion(rows: DataFrame, by: list[str], order: list[str], weight: str, target: str, out: str = "share") -> DataFrame:
+def apportion(rows: DataFrame, by: list[str], order: list[str], weight: str, target: str, out: str = "share", place: str | None = None) -> DataFrame:
     """Split an integer target by integer weights; what is left goes to the largest remainders,
-    ties to the later row; with no weight at all the last row takes everything."""
+    ties to the later row; with no weight at all the last row takes everything. ``place`` names a
+    column for the row's place in its group, from 1."""
+    # tasks grow in number with the rows, whatever the session says: each sorts about ROWS of them
+    rows = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / ROWS)), *by)
     w = Window.partitionBy(*by)
     ranked = rows.withColumn("_i", F.row_number().over(w.orderBy(*order))).withColumn("_all", F.sum(weight).over(w)).withColumn("_n", F.count("*").over(w))
     product = F.col(target) * F.col(weight)
     ranked = ranked.withColumn("_base", F.when(F.col("_all") > 0, F.floor(product / F.col("_all"))).otherwise(0)).withColumn("_rest", F.when(F.col("_all") > 0, product % F.col("_all")).otherwise(0))
     ranked = ranked.withColumn("_left", F.col(target) - F.sum("_base").over(w)).withColumn("_rank", F.row_number().over(w.orderBy(F.desc("_rest"), F.desc("_i"))))
     share = F.when(F.col("_all") > 0, F.col("_base") + (F.col("_rank") <= F.col("_left")).cast("long")).otherwise(F.when(F.col("_i") == F.col("_n"), F.col(target)).otherwise(0))
-    return ranked.withColumn(out, share.cast("long")).drop("_i", "_all", "_n", "_base", "_rest", "_left", "_rank")
+    done = ranked.withColumn(out, share.cast("long"))
+    done = done if place is None else done.withColumn(place, F.col("_i"))
+    return done.drop("_i", "_all", "_n", "_base", "_rest", "_left", "_rank")
 
 
 def stage_regression(stages: DataFrame) -> DataFrame:

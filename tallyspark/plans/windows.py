@@ -35,10 +35,7 @@ select k, n, (case when s > 0 then base + case when rk <= lft then 1 else 0 end
 def apportion(spark, d):
     """2.6.3: largest remainders, ties to the later row."""
     rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), F.when(F.col("l_orderkey") % 9 == 0, 0).otherwise(F.col("l_quantity").cast("long")).alias("w"), (F.col("l_orderkey") % 1000).alias("t"))
-    from pyspark.sql import Window
-
-    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("i", "w")))
-    return W.apportion(numbered, ["k"], ["n"], "w", "t").select("k", "n", "share")
+    return W.apportion(rows, ["k"], ["i", "w"], "w", "t", place="n").select("k", "n", "share")
 
 
 @query("stage_regression", "with s as (select o_custkey as run, o_orderkey as stage, case when o_orderstatus <> 'P' then (o_totalprice / 100000)::bigint end as p, o_custkey % 3 as t from orders), l as (select *, p < lag(p) over (partition by run order by stage) as dr from s where p is not null) select run, case when count(*) >= 2 then coalesce(bool_or(dr), false) end as regressed, case when count(*) >= 2 then count(distinct t) = 1 end as constant_tests from l group by run")

@@ -188,3 +188,11 @@ def test_stubs_of_c(spark):
     source = "static int f(int a) {\n  STUB_PANIC;\n  STUB_PANIC;\n}\nint g(void);\nvoid *h(char *c)\n{\n  STUB_PANIC;\n}"
     rows = spark.createDataFrame([(1, source), (2, None)], "doc int, text string")
     assert sorted((r.name, r.line) for r in S.stubs(rows, "c").collect()) == [("f", 1), ("h", 6)]
+
+
+def test_apportion_deals_groups_to_more_tasks_as_rows_grow(spark, monkeypatch):
+    monkeypatch.setattr(W, "ROWS", 10)
+    rows = spark.range(1_000).selectExpr("id % 300 as g", "cast(id as int) as i", "1 as w", "5 as t")
+    out = W.apportion(rows, ["g"], ["i"], "w", "t", place="n")
+    assert out.rdd.getNumPartitions() == 100
+    assert out.groupBy("g").agg(F.sum("share").alias("s"), F.max("n").alias("n"), F.count("*").alias("c")).filter("s = 5 and n = c").count() == 300
