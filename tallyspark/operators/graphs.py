@@ -20,6 +20,11 @@ from tallyspark.sources.shared import Scratch
 FINISH = 100_000
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """The right side of a join that is shuffled whatever its size: small tables of every round add up at the driver."""
+    return df.hint("merge")
+
+
 def chase(pointers: DataFrame, compose: Callable[[str, str], list[Column]], scratch: Scratch) -> DataFrame:
     """Follow each pointer (v, to, ...) as far as pointers lead, by doubling.
 
@@ -29,7 +34,7 @@ def chase(pointers: DataFrame, compose: Callable[[str, str], list[Column]], scra
     others = pointers.columns[2:]
     for _ in range(max(1, math.ceil(math.log2(pointers.count() + 1)))):
         ahead = pointers.select(F.col("v").alias("to"), F.col("to").alias("to_2"), F.struct(*others).alias("q"))
-        both = pointers.select("v", "to", F.struct(*others).alias("p")).join(ahead, "to", "left")
+        both = pointers.select("v", "to", F.struct(*others).alias("p")).join(_shuffled(ahead), "to", "left")
         moved = F.col("to_2").isNotNull()
         cells = [F.when(moved, new).otherwise(F.col(f"p.{c}")).alias(c) for c, new in zip(others, compose("p", "q"))]
         pointers = scratch.saved(both.select("v", F.coalesce("to_2", "to").alias("to"), *cells, moved.alias("moved")))
@@ -55,25 +60,25 @@ def _kernel(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     while True:
         edges = edges.groupBy("u", "v").agg(F.min("least").alias("least"))
         size = edges.count()
-        inner = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
-        inner = scratch.saved(inner.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v", "least"))
+        inner = edges.join(_shuffled(edges.select(F.col("v").alias("u")).distinct()), "u", "left_semi")
+        inner = scratch.saved(inner.join(_shuffled(edges.select(F.col("u").alias("v")).distinct()), "v", "left_semi").select("u", "v", "least"))
         singles = scratch.saved(_singles(inner))
         if singles.isEmpty():
             if inner.count() == size:
                 return inner, found
             edges = inner
             continue
-        pointers = inner.join(singles, inner["u"] == singles["v"], "left_semi").select(F.col("u").alias("v"), F.col("v").alias("to"), "least")
+        pointers = inner.join(_shuffled(singles), inner["u"] == singles["v"], "left_semi").select(F.col("u").alias("v"), F.col("v").alias("to"), "least")
         ends = chase(pointers, lambda p, q: [F.least(f"{p}.least", "to", f"{q}.least")], scratch)
-        looped = ends.join(singles.withColumnRenamed("v", "to"), "to", "left_semi")
+        looped = ends.join(_shuffled(singles.withColumnRenamed("v", "to")), "to", "left_semi")
         # a permutation of the nodes of such cycles: each of them is the end of one of its own
-        on_cycle = looped.join(looped.select(F.col("to").alias("v")).distinct(), "v", "left_semi")
+        on_cycle = looped.join(_shuffled(looped.select(F.col("to").alias("v")).distinct()), "v", "left_semi")
         least = scratch.saved(on_cycle.filter(F.col("v") == F.least("v", "least")).select(F.col("v").alias("node")))
         found = least if found is None else found.unionByName(least)
-        passed = ends.join(looped.select("v"), "v", "left_anti").select("v", F.col("to"), F.col("least").alias("more"))
-        rest = inner.join(singles.withColumnRenamed("v", "u"), "u", "left_anti")
+        passed = ends.join(_shuffled(looped.select("v")), "v", "left_anti").select("v", F.col("to"), F.col("least").alias("more"))
+        rest = inner.join(_shuffled(singles.withColumnRenamed("v", "u")), "u", "left_anti")
         # edges into the cycles found lead nowhere else
-        rest = rest.join(looped.select("v"), "v", "left_anti").join(passed, "v", "left")
+        rest = rest.join(_shuffled(looped.select("v")), "v", "left_anti").join(_shuffled(passed), "v", "left")
         over = F.col("to").isNotNull()
         edges = scratch.saved(rest.select("u", F.coalesce("to", "v").alias("v"), F.when(over, F.least("least", "v", "more")).otherwise(F.col("least")).alias("least")))
 
@@ -83,9 +88,9 @@ def _reach(edges: DataFrame, scratch: Scratch) -> DataFrame:
     labels = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().select("node", F.col("node").alias("f"), F.col("node").alias("b"))
     labels = scratch.saved(labels)
     while True:
-        ahead = edges.join(labels.select(F.col("node").alias("v"), "f"), "v").groupBy(F.col("u").alias("node")).agg(F.min(F.least("least", "f")).alias("f_2"))
-        behind = edges.join(labels.select(F.col("node").alias("u"), "b"), "u").groupBy(F.col("v").alias("node")).agg(F.min(F.least("least", "b")).alias("b_2"))
-        new = labels.join(ahead, "node", "left").join(behind, "node", "left")
+        ahead = edges.join(_shuffled(labels.select(F.col("node").alias("v"), "f")), "v").groupBy(F.col("u").alias("node")).agg(F.min(F.least("least", "f")).alias("f_2"))
+        behind = edges.join(_shuffled(labels.select(F.col("node").alias("u"), "b")), "u").groupBy(F.col("v").alias("node")).agg(F.min(F.least("least", "b")).alias("b_2"))
+        new = labels.join(_shuffled(ahead), "node", "left").join(_shuffled(behind), "node", "left")
         f, b = F.least("f", "f_2"), F.least("b", "b_2")
         labels = scratch.saved(new.select("node", f.alias("f"), b.alias("b"), ((f < F.col("f")) | (b < F.col("b"))).alias("moved")))
         still = labels.filter("moved").isEmpty()
@@ -176,7 +181,7 @@ def cycle_heads(edges: DataFrame, scratch: Scratch) -> DataFrame:
         heads = scratch.saved(labels.filter("f = b").select(F.col("f").alias("node")).distinct())
         found = heads if found is None else found.unionByName(heads)
         open_ = labels.filter("f <> b")
-        ends = edges.join(open_.select(F.col("node").alias("u"), "f", "b"), "u").join(open_.select(F.col("node").alias("v"), F.col("f").alias("f_2"), F.col("b").alias("b_2")), "v")
+        ends = edges.join(_shuffled(open_.select(F.col("node").alias("u"), "f", "b")), "u").join(_shuffled(open_.select(F.col("node").alias("v"), F.col("f").alias("f_2"), F.col("b").alias("b_2"))), "v")
         edges = scratch.saved(ends.filter("f = f_2 and b = b_2").select("u", "v", "least"))
 
 
@@ -187,32 +192,32 @@ def _layers(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     done = None
     while True:
         importing = edges.select(F.col("u").alias("node")).distinct()
-        settled = scratch.saved(open_.join(importing, "node", "left_anti").select("node", F.col("floor").alias("level")))
+        settled = scratch.saved(open_.join(_shuffled(importing), "node", "left_anti").select("node", F.col("floor").alias("level")))
         done = settled if done is None else done.unionByName(settled)
-        open_ = open_.join(importing, "node", "left_semi")
+        open_ = open_.join(_shuffled(importing), "node", "left_semi")
         if edges.count() <= FINISH:
             # as many nodes at most as the edges have ends
-            used = settled.join(edges.select(F.col("v").alias("node")).distinct(), "node", "left_semi").collect()
+            used = settled.join(_shuffled(edges.select(F.col("v").alias("node")).distinct()), "node", "left_semi").collect()
             above = [(n.node, n.floor) for n in open_.collect()]
             made = _lengths(above + [tuple(n) for n in used], edges.collect())
             kinds = f"node {nodes.schema['node'].dataType.simpleString()}, level long"
             return done.unionByName(edges.sparkSession.createDataFrame(made[: len(above)], kinds))
         # edges to settled nodes become the floor of what imports them
-        reached = edges.join(settled.withColumnRenamed("node", "v"), "v", "left")
+        reached = edges.join(_shuffled(settled.withColumnRenamed("node", "v")), "v", "left")
         floors = reached.groupBy(F.col("u").alias("node")).agg(F.max(F.col("w") + F.col("level")).alias("at_least"))
-        open_ = scratch.saved(open_.join(floors, "node", "left").select("node", F.greatest("floor", "at_least").alias("floor")))
+        open_ = scratch.saved(open_.join(_shuffled(floors), "node", "left").select("node", F.greatest("floor", "at_least").alias("floor")))
         edges = scratch.saved(reached.filter("level is null").groupBy("u", "v").agg(F.max("w").alias("w")))
         singles = _singles(edges)
-        pointers = scratch.saved(edges.join(singles, edges["u"] == singles["v"], "left_semi").join(open_.withColumnRenamed("node", "u"), "u").select(F.col("u").alias("v"), F.col("v").alias("to"), "floor", "w"))
+        pointers = scratch.saved(edges.join(_shuffled(singles), edges["u"] == singles["v"], "left_semi").join(_shuffled(open_.withColumnRenamed("node", "u")), "u").select(F.col("u").alias("v"), F.col("v").alias("to"), "floor", "w"))
         if pointers.isEmpty():
             continue
         # level = max(floor, w + level of the end), and so are two of these one after the other
         ends = chase(pointers, lambda p, q: [F.greatest(F.col(f"{p}.floor"), F.col(f"{p}.w") + F.col(f"{q}.floor")), F.col(f"{p}.w") + F.col(f"{q}.w")], scratch)
         own = ends.select(F.col("v").alias("u"), F.col("to").alias("v"), "w")
         over = ends.select("v", "to", F.col("floor").alias("floor_2"), F.col("w").alias("w_2"))
-        rest = scratch.saved(edges.join(ends.select(F.col("v").alias("u")), "u", "left_anti").join(over, "v", "left").select("u", F.coalesce("to", "v").alias("v"), (F.col("w") + F.coalesce("w_2", F.lit(0))).alias("w"), (F.col("w") + F.col("floor_2")).alias("floor_2")))
+        rest = scratch.saved(edges.join(_shuffled(ends.select(F.col("v").alias("u"))), "u", "left_anti").join(_shuffled(over), "v", "left").select("u", F.coalesce("to", "v").alias("v"), (F.col("w") + F.coalesce("w_2", F.lit(0))).alias("w"), (F.col("w") + F.col("floor_2")).alias("floor_2")))
         raised = rest.groupBy(F.col("u").alias("node")).agg(F.max("floor_2").alias("at_least")).unionByName(ends.select(F.col("v").alias("node"), F.col("floor").alias("at_least")))
-        open_ = scratch.saved(open_.join(raised, "node", "left").select("node", F.greatest("floor", "at_least").alias("floor")))
+        open_ = scratch.saved(open_.join(_shuffled(raised), "node", "left").select("node", F.greatest("floor", "at_least").alias("floor")))
         edges = scratch.saved(rest.select("u", "v", "w").unionByName(own).groupBy("u", "v").agg(F.max("w").alias("w")))
 
 
@@ -227,16 +232,16 @@ def import_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     scratch, lasting = Scratch(nodes.sparkSession, "levels"), Scratch(nodes.sparkSession, "levels-out", lasting=True)
     known = scratch.saved(nodes.select("node").filter("node is not null").distinct())
     ends = edges.filter("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
-    kept = scratch.saved(ends.join(known.withColumnRenamed("node", "u"), "u", "left_semi").join(known.withColumnRenamed("node", "v"), "v", "left_semi").select("u", "v"))
+    kept = scratch.saved(ends.join(_shuffled(known.withColumnRenamed("node", "u")), "u", "left_semi").join(_shuffled(known.withColumnRenamed("node", "v")), "v", "left_semi").select("u", "v"))
     broken = None
     while True:
         heads = scratch.saved(cycle_heads(kept, scratch))
         broken = heads if broken is None else broken.unionByName(heads)
         if heads.isEmpty():
             break
-        kept = scratch.saved(kept.join(heads.withColumnRenamed("node", "u"), "u", "left_anti"))
+        kept = scratch.saved(kept.join(_shuffled(heads.withColumnRenamed("node", "u")), "u", "left_anti"))
     layers = _layers(known, kept, scratch)
     marked = broken.distinct().withColumn("broken", F.lit(True))
-    done = lasting.saved(layers.join(marked, "node", "left").select("node", "level", F.coalesce("broken", F.lit(False)).alias("broken")))
+    done = lasting.saved(layers.join(_shuffled(marked), "node", "left").select("node", "level", F.coalesce("broken", F.lit(False)).alias("broken")))
     scratch.clear()
     return done

@@ -86,3 +86,13 @@ def test_chain_of_ten_thousand_with_a_cycle_at_its_end(spark, monkeypatch):
     assert got[head] == (0, True) and sum(b for _, b in got.values()) == 1
     want = {ids[(at + k) % 100]: k for k in range(100)} | {ids[k]: (99 - at) % 100 + k - 99 for k in range(100, n)}
     assert {i: level for i, (level, _) in got.items()} == want
+
+
+def test_no_join_of_a_round_goes_through_the_driver(spark, monkeypatch):
+    plans, saved = [], graphs.Scratch.saved
+    monkeypatch.setattr(graphs.Scratch, "saved", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or saved(self, df))
+    monkeypatch.setattr(graphs, "FINISH", 0)
+    edges = [(k, k // 2) for k in range(1, 12)] + [(20, 21), (21, 20), (5, 20)]
+    got = found(spark, {n for e in edges for n in e}, edges)
+    assert plans and not [p for p in plans if "Broadcast" in p]
+    assert len(got) == 14
