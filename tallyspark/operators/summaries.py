@@ -40,6 +40,8 @@ STUBS = {
     # a receiver in parentheses, the name, type parameters
     "go": ('"STUB: not implemented"', r"^func[ \t]*(?:\([^()]*\)[ \t]*)?([\pL_][\pL\pN_]*)[ \t]*[(\[]"),
 }
+#: Comparisons and compiler errors of a C++ log, unless asked otherwise.
+CHECKS, ERRORS = 50, 30
 CUT = "\n\n... [truncated] ...\n\n"
 
 
@@ -70,8 +72,9 @@ def _joined(sections: list[Column], text: Column) -> Column:
     return F.coalesce(F.nullif(F.concat_ws("\n\n", *sections), F.lit("")), text)
 
 
-def cpp_sections(text: Column) -> Column:
-    """Failures, totals, 50 comparisons and 30 compiler errors of a GTest, Catch2 or Boost log."""
+def cpp_sections(text: Column, checks: int | None = CHECKS, errors: int | None = ERRORS) -> Column:
+    """Failures, totals, comparisons and compiler errors of a GTest, Catch2 or Boost log; of the
+    last two the first ``checks`` and ``errors``, all of them for None."""
 
     def start(lines: Column) -> Column:
         ran, counted = _first(lines, r"^(\[\s*=+\s*\]\s*Running|~~~+)"), _first(lines, "(?i)test cases|assertions")
@@ -81,7 +84,7 @@ def cpp_sections(text: Column) -> Column:
     def sections(lines: Column) -> Column:
         whole = F.array_join(lines, "\n")
         totals = [F.transform(F.regexp_extract_all(whole, F.lit(f"(?i)({p})"), F.lit(1)), lambda x: F.trim(x)) for p in CPP_TOTALS]
-        return _joined([_matching(lines, r"^\s*\[\s*FAILED\s*\]"), F.concat(*totals), _matching(lines, CPP_CHECKS, 50), _matching(lines, r"^\s*error:|: error:", 30)], whole)
+        return _joined([_matching(lines, r"^\s*\[\s*FAILED\s*\]"), F.concat(*totals), _matching(lines, CPP_CHECKS, checks), _matching(lines, r"^\s*error:|: error:", errors)], whole)
 
     return let(_lines(text), lambda a: let(_from(a, start(a)), sections))
 
@@ -125,18 +128,18 @@ def _without_repeats(texts: DataFrame, error: str) -> DataFrame:
     return kept.join(counts, "doc").select("doc", F.concat(body, note).alias("text"))
 
 
-def sections(docs: DataFrame, runner: str) -> DataFrame:
+def sections(docs: DataFrame, runner: str, checks: int | None = CHECKS, errors: int | None = ERRORS) -> DataFrame:
     """(doc, text): the parts of each log that tell what failed; the whole log where nothing does.
 
-    ``runner`` is cpp, cargo, js or ts. Ids must not repeat.
+    ``runner`` is cpp, cargo, js or ts; ``checks`` and ``errors`` are those of cpp. Ids must not repeat.
     """
     text = F.coalesce("text", F.lit(""))
     if runner in JS_RUNNERS:
         return _without_repeats(docs.select("doc", js_sections(strip_ansi(text), runner).alias("text")), JS_RUNNERS[runner]["error"])
-    return docs.select("doc", {"cpp": cpp_sections, "cargo": cargo_sections}[runner](text).alias("text"))
+    return docs.select("doc", (cpp_sections(text, checks, errors) if runner == "cpp" else cargo_sections(text)).alias("text"))
 
 
-def summaries(docs: DataFrame, runner: str, most: int = 15_000, side: int = 2_000) -> DataFrame:
+def summaries(docs: DataFrame, runner: str, most: int = 15_000, side: int = 2_000, checks: int | None = CHECKS, errors: int | None = ERRORS) -> DataFrame:
     """(doc, tier, text): a log within a budget of ``most`` characters is whole (tier 0), else its
     sections (1), else the ends of the sections (3). Four characters count as a token; tier 2
     would ask a model."""
@@ -144,7 +147,7 @@ def summaries(docs: DataFrame, runner: str, most: int = 15_000, side: int = 2_00
     raw = docs.select("doc", (strip_ansi(text) if runner in JS_RUNNERS else text).alias("raw"))
     fits = lambda c: F.floor(F.length(c) / 4) <= most // 4
     short = F.concat(F.substring("text", 1, side), F.lit(CUT), F.right("text", F.lit(side))) if most >= 2 * side + 40 else F.substring("text", 1, most)
-    return raw.join(sections(docs, runner), "doc").select(
+    return raw.join(sections(docs, runner, checks, errors), "doc").select(
         "doc",
         F.when(fits("raw"), 0).when(fits("text"), 1).otherwise(3).alias("tier"),
         F.when(fits("raw"), F.col("raw")).when(fits("text"), F.col("text")).otherwise(short).alias("text"),

@@ -35,8 +35,8 @@ union all select doc, 2, pos, line from s where ms % 8 = 3 union all select doc,
 union all select doc, 4, 0, string_agg(line, chr(10) order by pos) from s where ms % 8 = 2 group by doc union all select doc, 5, 0, string_agg(line, chr(10) order by pos) from s where ms % 8 = 1 group by doc)
 {_tiers("select doc, string_agg(t, chr(10) || chr(10) order by k, pos) as text from sec group by doc")}""")
 def cpp(spark, d):
-    """2.9.32, 2.9.34: logs of a C++ runner."""
-    return _summaries(spark, d, CPP, "cpp")
+    """2.9.32, 2.9.34: logs of a C++ runner, with all comparisons and errors, as the SQL has them."""
+    return S.summaries(text_of(numbers(spark, d), CPP), "cpp", MOST, SIDE, checks=None, errors=None)
 
 
 @query("cargo_summaries", f"""with {_log(CARGO)}, s as (select l.* from l join (select doc, coalesce(min(pos) filter (where ms % 7 = 0), 0) as f from l group by doc) using (doc) where pos >= f),

@@ -196,3 +196,16 @@ def test_apportion_deals_groups_to_more_tasks_as_rows_grow(spark, monkeypatch):
     out = W.apportion(rows, ["g"], ["i"], "w", "t", place="n")
     assert out.rdd.getNumPartitions() == 100
     assert out.groupBy("g").agg(F.sum("share").alias("s"), F.max("n").alias("n"), F.count("*").alias("c")).filter("s = 5 and n = c").count() == 300
+
+
+def test_sections_of_cpp_keep_all_lines_when_asked(spark):
+    log = "\n".join([f"CHECK({k})" for k in range(60)] + [f"x.cc: error: {k}" for k in range(40)])
+    rows = spark.createDataFrame([(1, log)], "doc int, text string")
+    whole = "\n".join(f"CHECK({k})" for k in range(60)) + "\n\n" + "\n".join(f"x.cc: error: {k}" for k in range(40))
+    assert S.sections(rows, "cpp", checks=None, errors=None).first().text == whole
+    assert S.summaries(rows, "cpp", most=1_000, side=100, checks=None, errors=None).first().text.endswith(whole[-100:])
+
+
+def test_cargo_log_without_sections_is_whole(spark):
+    rows = spark.createDataFrame([(1, "note 1\nrunning 15 tests")], "doc int, text string")
+    assert S.summaries(rows, "cargo", most=600, side=280).first()[:] == (1, 0, "note 1\nrunning 15 tests")
