@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the corpus' labels teach, by a score that
     texts of other languages do not reach; where it has no labels, every document."""
-    picked = langid.sample(docs, by=F.col("doc_id"))
+    picked = langid.labelled(docs)
     profiles = langid.train_on(picked)
     if not profiles.langs:
         return docs

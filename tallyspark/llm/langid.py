@@ -7,6 +7,7 @@ place, and the profile length for n-grams that the profile lacks.
 
 from __future__ import annotations
 
+import math
 import sys
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,15 +19,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyspark.llm.common import with_arrow
+from tallyspark.llm.common import SLICE_ROWS, with_arrow
 from tallyspark.shipping import ship
+from tallyspark.sources.shared import Scratch
 
 #: N-grams in a language profile and in that of a document.
 PROFILE, TOP = 400, 300
 
-#: Bound of the training sample: about so many labelled documents of a language.
+#: Bound of a training sample where one is asked for: about so many labelled documents of a language.
 TRAIN_DOCS = 4_000
 
+#: N-grams that a task counts before it hands them on.
+HELD = 1_000_000
+
 _EDGE = ord("_")
 
 
@@ -104,6 +109,11 @@ class Profiles:
         return self.langs[best], float(1 - far[best] / (PROFILE * len(top)))
 
 
+def labelled(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, text) of all rows with a text and a language."""
+    return docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter("text is not null and lang is not null")
+
+
 def sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", by: Column | None = None, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """(lang, text) of about ``train_docs`` labelled rows of each language, a documented bound,
     picked by a hash of ``by`` (default: the text); rows without text or language never are."""
@@ -116,13 +126,13 @@ def sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", by:
     return rows.filter(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text")
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", by: Column | None = None, train_docs: int = TRAIN_DOCS) -> Profiles:
-    """Profiles from a sample of the rows with a text and a language.
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", by: Column | None = None, train_docs: int | None = None) -> Profiles:
+    """Profiles from all rows with a text and a language, or from a sample of ``train_docs`` a language.
 
     N-grams are counted in the tasks and summed by Spark. Only the ranked profiles,
     PROFILE n-grams a language, reach the driver; without such rows there are none.
     """
-    return train_on(sample(docs, text_col, lang_col, by, train_docs))
+    return train_on(labelled(docs, text_col, lang_col) if train_docs is None else sample(docs, text_col, lang_col, by, train_docs))
 
 
 def train_on(picked: DataFrame) -> Profiles:
@@ -130,11 +140,22 @@ def train_on(picked: DataFrame) -> Profiles:
     ship(picked.sparkSession)
 
     def count(parts):
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def given():
+            for lang, (grams, n) in held.items():
+                yield pd.DataFrame({"lang": lang, "gram": grams, "n": n})
+            held.clear()
+
         for part in parts:
-            for lang, texts in part.groupby("lang")["text"]:
-                keys, sums = zip(*map(gram_counts, texts), strict=True)
-                both, place = np.unique(np.concatenate(keys), return_inverse=True)
-                yield pd.DataFrame({"lang": lang, "gram": both, "n": np.bincount(place, weights=np.concatenate(sums), minlength=len(both)).astype(np.int64)})
+            for at in range(0, len(part), SLICE_ROWS):
+                for lang, texts in part.iloc[at : at + SLICE_ROWS].groupby("lang")["text"]:
+                    keys, sums = zip(held.get(lang) or gram_counts(None), *map(gram_counts, texts), strict=True)
+                    both, place = np.unique(np.concatenate(keys), return_inverse=True)
+                    held[lang] = both, np.bincount(place, weights=np.concatenate(sums), minlength=len(both)).astype(np.int64)
+                if sum(len(grams) for grams, _ in held.values()) > HELD:
+                    yield from given()
+        yield from given()
 
     grams = picked.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = F.row_number().over(_by_rank())
@@ -175,11 +196,31 @@ def least_score(picked: DataFrame, profiles: Profiles, quantile: float = 0.01, m
 
     Texts of languages that were not learned score about half as high as the lowest labelled ones.
     """
-    scores = identify(picked.filter("text rlike '[A-Za-z]'"), profiles, keep=[]).select("score")
-    found = scores.agg(F.percentile_approx("score", quantile, 10_000)).first()[0]
+    found = exact_quantile(identify(picked.filter("text rlike '[A-Za-z]'"), profiles, keep=[]), "score", quantile)
     return margin * found if found is not None else 0.0
 
 
+def exact_quantile(rows: DataFrame, score: str, quantile: float) -> float | None:
+    """The least score (0 to 1) that the given part of the rows does not exceed; None without rows.
+
+    The driver gets the counts of 10,001 cells, then one cell's different scores.
+    """
+    scratch, cell = Scratch(rows.sparkSession, "quantile"), F.floor(F.col("score") * 10_000)
+    counts = scratch.saved(rows.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n")).filter("score is not null"))
+    cells = sorted((r["cell"], r["n"]) for r in counts.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n")).collect())
+    left, found = max(1, math.ceil(quantile * sum(n for _, n in cells))), None
+    for at, n in cells:
+        if left <= n:
+            for r in sorted(counts.filter(cell == at).collect()):
+                left, found = left - r["n"], r["score"]
+                if left <= 0:
+                    break
+            break
+        left -= n
+    scratch.clear()
+    return found
+
+
 def held_out() -> Column:
     """Rows that never train: the remainder 2 of crc32(doc_id as text) by 4."""
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2

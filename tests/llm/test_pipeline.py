@@ -83,3 +83,18 @@ def test_dedup_stage_keeps_documents_that_share_an_id(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = sorted([(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()], key=repr)
     assert kept == sorted([(1, text), (1, text[::-1]), (2, None), (None, "a b c d e f")], key=repr)
+
+
+def test_language_stage_learns_from_all_labelled_documents(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    monkeypatch.setattr(langid, "SLICE_ROWS", 7)
+    whole = langid.train_on(langid.labelled(docs))
+    seen = []
+    monkeypatch.setattr(langid, "train_on", lambda picked: seen.append(picked.count()) or whole)
+    monkeypatch.setattr(langid, "sample", None)
+    corpus_pipeline.language_id(spark, docs, sf_dir)
+    assert seen == [docs.filter("text is not null and lang is not null").count()]
+    scores = sorted([0.5] * 30 + [k / 977 for k in range(977)])
+    got = [langid.exact_quantile(spark.createDataFrame([(x,) for x in scores], "s double"), "s", q) for q in (0.0, 0.01, 0.5, 1.0)]
+    assert got == [scores[0], scores[10], scores[503], scores[-1]]
+    assert langid.exact_quantile(spark.createDataFrame([], "s double"), "s", 0.5) is None
